@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from quillstone.llm.embedding_dedup import op7_embedding_near_dedup
 from quillstone.llm.ngram_join import op1_ngram_jaccard_join
+from quillstone.llm.packing import op4_packing
 from quillstone.llm.token_counts import op2_token_counts
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op7_embedding_near_dedup": op7_embedding_near_dedup}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op7_embedding_near_dedup": op7_embedding_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
