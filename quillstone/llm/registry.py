@@ -7,10 +7,11 @@ from quillstone.llm.ngram_join import op1_ngram_jaccard_join
 from quillstone.llm.packing import op4_packing
 from quillstone.llm.token_counts import op2_token_counts
 from quillstone.llm.token_files import op6_token_id_files
+from quillstone.llm.warc import op5_warc_packages
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op6_token_id_files": op6_token_id_files, "op7_embedding_near_dedup": op7_embedding_near_dedup}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op4_packing": op4_packing, "op5_warc_packages": op5_warc_packages, "op6_token_id_files": op6_token_id_files, "op7_embedding_near_dedup": op7_embedding_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
