@@ -1,11 +1,315 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the adapters' domain tables, each beside the SQL that must give the same rows.
+
+The SQL is written on its own: FIFO matches there by overlapping intervals, as-of prices by ranges, where the
+operators use windows and equality joins. Doubles are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.functions import scalars
+from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads
+from quillstone.operators.filters import DonationFilter, IssuerFilter, PoliticianFilter, PortfolioFilter, TradeFilter, any_of
+from quillstone.sources.adapters import AS_OF, Domain, ctes
+
+_QUERIES: dict[str, tuple[Callable[[Domain], DataFrame], str | None]] = {}
+
+
+def _add(name: str, make: Callable[[Domain], DataFrame], sql: str | None, *tables: str) -> None:
+    _QUERIES[name] = (make, sql if sql is None else (ctes(*tables).rstrip() + (",\n" if sql.lstrip().startswith("+") else "\n") if tables else "") + sql.lstrip().removeprefix("+"))
+
+
+def r4(*cols: str) -> list[Column]:
+    return [F.round(c, 4).alias(c) for c in cols]
+
+
+# Shared plans.
+
+
+def analytics_trades(d: Domain) -> DataFrame:
+    rows = fifo.eligible(d.trades).join(d.issuers.select("issuer_id", "gics_sector"), "issuer_id")
+    return rows.withColumn("has_sector_benchmark", F.col("gics_sector").isNotNull() & F.col("benchmark_price").isNotNull())
+
+
+def closed(d: Domain) -> DataFrame:
+    return fifo.closed_lots(analytics_trades(d))
+
+
+def joined(d: Domain) -> DataFrame:
+    return reads.joined_trades(d.trades, d.politicians, d.issuers)
+
+
+def people_positions(d: Domain) -> DataFrame:
+    return fifo.positions(fifo.eligible(d.trades))
+
+
+def gifts(d: Domain) -> DataFrame:
+    return donations.listed(d.donations, donations.bridge(d.donation_sync), d.politicians, d.fec_committees)
+
+
+def matched_gifts(d: Domain) -> DataFrame:
+    return donations.with_issuers(d.donations, donations.bridge(d.donation_sync), d.employer_lookup, d.employer_mappings, d.issuers)
+
+
+_FIFO = """+ elig as (select t.*, i.gics_sector, i.gics_sector is not null and t.benchmark_price is not null as flag from trades t join issuers i using (issuer_id)
+    where asset_type in ('stock', 'unknown') and tx_type in ('buy', 'receive', 'sell') and shares is not null and price is not null),
+f1 as (select *, sum(case when tx_type = 'sell' then -shares else shares end) over (partition by politician_id, ticker order by tx_date, tx_id rows unbounded preceding) as s from elig),
+f2 as (select *, s - least(0, min(s) over (partition by politician_id, ticker order by tx_date, tx_id rows unbounded preceding)) as pos from f1),
+f3 as (select *, case when tx_type = 'sell' then least(shares, coalesce(lag(pos) over (partition by politician_id, ticker order by tx_date, tx_id), 0)) else 0 end as e from f2),
+f4 as (select *, sum(case when tx_type <> 'sell' then shares else 0 end) over (partition by politician_id, ticker order by tx_date, tx_id rows unbounded preceding) as b_end,
+    sum(e) over (partition by politician_id, ticker order by tx_date, tx_id rows unbounded preceding) as e_end from f3),
+lots as (select * from (select b.politician_id, b.ticker, least(b.b_end, x.e_end) - greatest(b.b_end - b.shares, x.e_end - x.e) as shares, b.tx_id as buy_tx_id, x.tx_id as sell_tx_id,
+    b.tx_date as buy_date, x.tx_date as sell_date, b.price as buy_price, x.price as sell_price, b.benchmark_price as buy_benchmark, x.benchmark_price as sell_benchmark, b.gics_sector, b.flag as buy_flag, x.flag as sell_flag
+    from f4 b join f4 x on b.politician_id = x.politician_id and b.ticker = x.ticker and b.tx_type <> 'sell' and x.tx_type = 'sell' and x.e > 0 and b.b_end - b.shares < x.e_end and x.e_end - x.e < b.b_end) where shares > 1e-4)"""
+_METRICS = (
+    _FIFO
+    + """,
+m1 as (select *, (sell_price - buy_price) / buy_price * 100 as return_pct, cast(sell_date - buy_date as bigint) as holding_days,
+    case when buy_benchmark is not null and sell_benchmark is not null and buy_benchmark > 1e-4 then (sell_benchmark - buy_benchmark) / buy_benchmark * 100 end as bench from lots),
+tm as (select *, return_pct - bench as alpha, case when holding_days >= 30 then (pow(1 + return_pct / 100, 365.0 / holding_days) - 1) * 100 end as annualized,
+    case when bench is not null and buy_flag and sell_flag then 'sector' when bench is not null and not buy_flag and not sell_flag then 'spy' end as benchmark_type from m1)"""
+)
+
+
+def _pm(where: str = "true") -> str:
+    return (
+        _METRICS
+        + f""",
+pm as (select politician_id, count(*) as total_trades, count(*) filter (return_pct > 0) as win_count, avg(return_pct) as avg_return, avg(alpha) filter (benchmark_type = 'spy') as avg_alpha_spy,
+    avg(alpha) filter (benchmark_type = 'sector') as avg_alpha_sector, cast(floor(sum(holding_days) / count(holding_days)) as bigint) as avg_holding_days, count(*) filter (return_pct > 0) * 100.0 / count(*) as win_rate from tm where {where} group by 1)"""
+    )
+
+
+_FIFO_TABLES = ("trades", "issuers")
+_PM = ["win_rate", "avg_return", "avg_alpha_spy", "avg_alpha_sector"]
+_PM_SQL = "total_trades, win_count, avg_holding_days, " + ", ".join(f"round({c}, 4) as {c}" for c in _PM)
+
+# Reads.
+_JOINED = "trades t join politicians p using (politician_id) join issuers i using (issuer_id)"
+_T = ["tx_id", "politician_id", "full_name", "party", "issuer_name", "ticker", "tx_type", "tx_date", "pub_date", "value"]
+_T_SQL = "tx_id, politician_id, full_name, party, issuer_name, t.ticker, tx_type, tx_date, pub_date, value"
+_add("trades_joined", lambda d: reads.joined_trades(d.trades, d.politicians, d.issuers, d.politician_committees).groupBy("party", "chamber", "gics_sector", F.array_join("committees", ",").alias("committees")).agg(F.count("*").alias("n"), F.sum("value").alias("volume")),
+     f"""+ c as (select politician_id, string_agg(committee, ',' order by committee) as committees from politician_committees group by 1)
+     select party, chamber, gics_sector, committees, count(*) as n, cast(sum(value) as bigint) as volume from {_JOINED} left join c using (politician_id) group by all""", "politicians", "issuers", "trades", "politician_committees")
+_add("trades_filtered", lambda d: reads.query_trades(joined(d), TradeFilter(party=("Democrat", "republican"), tx_type=("buy", "sell"), issuer="brand 1", since=dt.date(1997, 1, 1), until=dt.date(1999, 12, 31), name="member 0000"), limit=None).select(*_T),
+     f"select {_T_SQL} from {_JOINED} where party in ('democrat', 'republican') and tx_type in ('buy', 'sell') and (issuer_name ilike '%brand 1%' or t.ticker ilike '%brand 1%') and pub_date between date '1997-01-01' and date '1999-12-31' and full_name ilike '%member 0000%'", "politicians", "issuers", "trades")
+_add("trades_top_recent", lambda d: reads.query_trades(joined(d), TradeFilter(chamber=("senate",), sector=("energy", "financials")), limit=100).select(*_T),
+     f"select {_T_SQL} from {_JOINED} where chamber = 'senate' and sector in ('energy', 'financials') order by pub_date desc nulls last, tx_id limit 100", "politicians", "issuers", "trades")
+_add("trades_by_reporting_gap", lambda d: reads.query_trades(joined(d), TradeFilter(country=("gb",), tx_since=dt.date(2000, 1, 1)), "reporting-gap", True, 50).select(*_T, F.col("reporting_gap").cast("bigint").alias("reporting_gap")),
+     f"select {_T_SQL}, cast(pub_date - tx_date as bigint) as reporting_gap from {_JOINED} where country = 'gb' and tx_date >= date '2000-01-01' order by reporting_gap, tx_id limit 50", "politicians", "issuers", "trades")
+_add("stats_by_issuer", lambda d: reads.trade_stats(d.trades, "issuer_id", "politician_id"),
+     "select issuer_id, count(*) as count_trades, count(distinct politician_id) as count_politicians, cast(sum(value) as bigint) as volume, max(tx_date) as date_last_traded from trades group by 1", "trades")
+_add("stats_by_politician", lambda d: reads.trade_stats(d.trades, "politician_id", "issuer_id"),
+     "select politician_id, count(*) as count_trades, count(distinct issuer_id) as count_issuers, cast(sum(value) as bigint) as volume, max(tx_date) as date_last_traded from trades group by 1", "trades")
+_add("politicians_summary", lambda d: reads.query_politicians(d.politicians, reads.trade_stats(d.trades, "politician_id", "issuer_id"), d.politician_committees, PoliticianFilter(chamber=("house",), party=("democrat", "other"))).select("politician_id", "full_name", "state", "party", "count_trades", "count_issuers", "volume", F.array_join("committees", ",").alias("committees")),
+     """+ s as (select politician_id, count(*) as count_trades, count(distinct issuer_id) as count_issuers, cast(sum(value) as bigint) as volume from trades group by 1), c as (select politician_id, string_agg(committee, ',' order by committee) as committees from politician_committees group by 1)
+     select politician_id, full_name, state, party, count_trades, count_issuers, volume, committees from politicians left join s using (politician_id) left join c using (politician_id) where chamber = 'house' and party in ('democrat', 'other')""", "politicians", "trades", "politician_committees")
+_add("issuers_summary", lambda d: reads.query_issuers(d.issuers, reads.trade_stats(d.trades, "issuer_id", "politician_id"), IssuerFilter(country=("us",), search="brand"), limit=10).select("issuer_id", "issuer_name", "ticker", "sector", "count_trades", "count_politicians", "volume"),
+     """+ s as (select issuer_id, count(*) as count_trades, count(distinct politician_id) as count_politicians, cast(sum(value) as bigint) as volume from trades group by 1)
+     select issuer_id, issuer_name, ticker, sector, count_trades, count_politicians, volume from issuers left join s using (issuer_id) where country = 'us' and issuer_name ilike '%brand%' order by volume desc nulls last, issuer_id limit 10""", "issuers", "trades")
+_add("top_traded_tickers", lambda d: reads.top_traded_tickers(d.trades, 10), "select ticker, count(*) as count_trades from trades where ticker is not null and ticker <> '' group by 1 order by 2 desc, 1 limit 10", "trades")
+_add("trades_by_month", lambda d: reads.trades_by_month(d.trades), "select strftime(tx_date, '%Y-%m') as month, count(*) as count_trades, cast(sum(value) as bigint) as volume from trades group by 1", "trades")
+_add("volume_by_party", lambda d: reads.volume_by(joined(d), "party"), f"select party, count(*) as count_trades, cast(sum(value) as bigint) as volume from {_JOINED} group by 1", "politicians", "issuers", "trades")
+_add("high_water_mark", lambda d: reads.high_water_mark(d.trades), "select count(*) as count_trades, max(pub_date) as max_pub_date from trades", "trades")
+_add("volume_rollup", lambda d: reads.rollup_volume(joined(d), "party", "sector"), f"select party, sector, cast(grouping(party, sector) as bigint) as level, count(*) as count_trades, cast(sum(value) as bigint) as volume from {_JOINED} group by rollup(party, sector)", "politicians", "issuers", "trades")
+
+# FIFO, metrics, leaderboards.
+_add("fifo_closed_lots", lambda d: closed(d).select("politician_id", "ticker", "buy_tx_id", "sell_tx_id", "buy_date", "sell_date", *r4("shares", "buy_price", "sell_price"), "gics_sector"),
+     _FIFO + "\nselect politician_id, ticker, buy_tx_id, sell_tx_id, buy_date, sell_date, round(shares, 4) as shares, round(buy_price, 4) as buy_price, round(sell_price, 4) as sell_price, gics_sector from lots", *_FIFO_TABLES)
+_POSITIONS = (
+    _FIFO
+    + """,
+sold as (select buy_tx_id, politician_id, ticker, sum(shares) as shares, sum(shares * (sell_price - buy_price)) as pnl from lots group by all),
+pos as (select b.politician_id, b.ticker, sum(b.shares - coalesce(s.shares, 0)) as shares_held, sum((b.shares - coalesce(s.shares, 0)) * b.price) as cost, sum(coalesce(s.pnl, 0)) as realized_pnl
+    from f4 b left join sold s on b.tx_id = s.buy_tx_id where b.tx_type <> 'sell' group by all),
+positions as (select politician_id, ticker, shares_held, case when shares_held > 1e-4 then cost / shares_held else 0 end as cost_basis, realized_pnl from pos)"""
+)
+_add("fifo_positions", lambda d: people_positions(d).select("politician_id", "ticker", *r4("shares_held", "cost_basis", "realized_pnl")),
+     _POSITIONS + "\nselect politician_id, ticker, round(shares_held, 4) as shares_held, round(cost_basis, 4) as cost_basis, round(realized_pnl, 4) as realized_pnl from positions", *_FIFO_TABLES)
+_add("trade_metrics", lambda d: metrics.trade_metrics(closed(d)).select("buy_tx_id", "sell_tx_id", "holding_days", *r4("return_pct", "annualized", "alpha"), "benchmark_type"),
+     _METRICS + "\nselect buy_tx_id, sell_tx_id, holding_days, round(return_pct, 4) as return_pct, round(annualized, 4) as annualized, round(alpha, 4) as alpha, benchmark_type from tm", *_FIFO_TABLES)
+_add("politician_metrics", lambda d: metrics.politician_metrics(metrics.trade_metrics(closed(d))).select("politician_id", "total_trades", "win_count", "avg_holding_days", *r4(*_PM)),
+     _pm() + f"\nselect politician_id, {_PM_SQL} from pm", *_FIFO_TABLES)
+
+
+def _board(name: str, where: str, order: str, top: int, filters: str = "true", least: int = 1, **options) -> None:
+    who = options.pop("who", None)
+    _add(name, lambda d: metrics.leaderboard(closed(d), d.politicians, AS_OF, min_trades=least, top=top, who=who, **options).select("rank", "politician_id", "full_name", "party", "state", "total_trades", "win_count", "avg_holding_days", *r4(*_PM, "percentile")),
+         _pm(where) + f""",
+ranked as (select *, case when count(*) over () > 1 then 1 - (row_number() over (order by avg_return desc nulls last, politician_id) - 1) * 1e0 / (count(*) over () - 1) else 1 end as percentile
+    from pm join politicians using (politician_id) where total_trades >= {least} and {filters})
+select row_number() over (order by {order} desc nulls last, politician_id) as rank, politician_id, full_name, party, state, {_PM_SQL}, round(percentile, 4) as percentile from ranked order by {order} desc nulls last, politician_id limit {top}""", *_FIFO_TABLES, "politicians")
+
+
+_board("leaderboard", "true", "avg_return", 25)
+_board("leaderboard_alpha", "true", "coalesce(avg_alpha_spy, avg_alpha_sector)", 25, "party in ('republican')", sort="alpha", who=PoliticianFilter(party=("republican",)))
+_board("leaderboard_1y", f"sell_date >= date '{AS_OF}' - 365", "win_rate", 10, least=5, period="1y", sort="win-rate")
+_board("leaderboard_ytd", f"sell_date >= date_trunc('year', date '{AS_OF}')", "avg_return", 25, period="ytd")
+_LATEST = _METRICS + """,
+latest as (select * from (select *, row_number() over (partition by politician_id, ticker order by sell_date desc, sell_tx_id desc, buy_date desc, buy_tx_id desc) as k from tm) where k = 1)"""
+_add("trades_with_metrics", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).where(F.col("tx_date") >= "2001-01-01").select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
+     _LATEST + """ select t.tx_id, t.tx_type, cast(l.holding_days as double) as holding_days, round(l.return_pct, 4) as return_pct, round(l.alpha, 4) as alpha, l.benchmark_type from trades t left join latest l on t.tx_type = 'sell' and t.politician_id = l.politician_id and t.ticker = l.ticker where t.tx_date >= date '2001-01-01'""", *_FIFO_TABLES)
+_add("politicians_with_metrics", lambda d: metrics.politicians_with_metrics(d.politicians, metrics.trade_metrics(closed(d))).select("politician_id", "party", "total_trades", *r4("avg_return", "win_rate", "percentile")),
+     _pm() + """ select politician_id, party, total_trades, round(avg_return, 4) as avg_return, round(win_rate, 4) as win_rate, round(percentile * 100, 4) as percentile from politicians left join (select *, case when count(*) over () > 1
+     then 1 - (row_number() over (order by avg_return desc nulls last, politician_id) - 1) * 1e0 / (count(*) over () - 1) else 1 end as percentile from pm) using (politician_id)""", *_FIFO_TABLES, "politicians")
+
+# Portfolio and conflicts.
+_PRICES = "latest_price as (select ticker, max_by(current_price, (price_enriched_at, tx_id)) as current_price from trades where current_price is not null and price_enriched_at is not null group by 1)"
+_add("portfolio", lambda d: PortfolioFilter(party=("democrat",)).apply(portfolio.valued(people_positions(d), portfolio.latest_prices(d.trades)), d.politicians).select("politician_id", "ticker", *r4("shares_held", "cost_basis", "current_price", "current_value", "unrealized_pnl", "unrealized_pct")),
+     _POSITIONS + f""", {_PRICES}
+     select politician_id, ticker, round(shares_held, 4) as shares_held, round(cost_basis, 4) as cost_basis, round(current_price, 4) as current_price, round(shares_held * current_price, 4) as current_value, round((current_price - cost_basis) * shares_held, 4) as unrealized_pnl,
+     round(case when current_price is null then null when cost_basis > 1e-4 then (current_price - cost_basis) / cost_basis * 100 else 0 end, 4) as unrealized_pct from positions left join latest_price using (ticker) join politicians using (politician_id) where party = 'democrat' and shares_held > 1e-4""", *_FIFO_TABLES, "politicians")
+_FIRST = "firsts as (select committee, min(entry) as entry from jurisdictions group by 1), seats as (select distinct c.politician_id, j.sector from politician_committees c join jurisdictions j using (committee) join firsts f on j.committee = f.committee and j.entry = f.entry)"
+_add("portfolio_conflict_flags", lambda d: portfolio.with_conflict_flags(PortfolioFilter().apply(people_positions(d), d.politicians), d.issuers, conflicts.committee_sectors(d.politician_committees, d.jurisdictions)).select("politician_id", "ticker", *r4("shares_held"), "gics_sector", F.col("in_committee_sector").cast("string").alias("in_committee_sector")),
+     _POSITIONS + f""", {_FIRST} select p.politician_id, p.ticker, round(shares_held, 4) as shares_held, i.gics_sector, case when i.gics_sector is null then null when s.sector is not null then 'true' else 'false' end as in_committee_sector
+     from positions p left join issuers i using (ticker) left join seats s on p.politician_id = s.politician_id and i.gics_sector = s.sector where shares_held > 1e-4""", *_FIFO_TABLES, "politicians", "politician_committees", "jurisdictions")
+_add("option_trade_count", lambda d: portfolio.option_count(d.trades), "select count(*) as count_options from trades where asset_type = 'stock-option'", "trades")
+_add("committee_semi_join", lambda d: conflicts.on_committee(d.politicians, d.politician_committees, "hsba").select("politician_id", "full_name"), "select politician_id, full_name from politicians where exists (select 1 from politician_committees c where c.politician_id = politicians.politician_id and committee = 'hsba')", "politicians", "politician_committees")
+_add("members_with_committees", lambda d: conflicts.members_with_committees(d.politicians, d.politician_committees), "select politician_id, full_name, string_agg(committee, ', ' order by committee) as committees from politicians join politician_committees using (politician_id) group by all", "politicians", "politician_committees")
+_add("committee_conflict_score", lambda d: conflicts.committee_scores(closed(d), conflicts.committee_sectors(d.politician_committees, d.jurisdictions), 5.0).select("politician_id", "scored", "related", *r4("pct")),
+     _FIFO + f""", {_FIRST} select * from (select l.politician_id, count(l.gics_sector) as scored, count(s.sector) as related, round(coalesce(count(s.sector) * 100e0 / nullif(count(l.gics_sector), 0), 0), 4) as pct
+     from lots l left join seats s on l.politician_id = s.politician_id and l.gics_sector = s.sector group by 1) where pct >= 5""", *_FIFO_TABLES, "politicians", "politician_committees", "jurisdictions")
+
+# Donations.
+_GIFTS = "donations d join (select politician_id, committee_id from donation_sync) b using (committee_id) join politicians p using (politician_id) left join fec_committees c using (committee_id)"
+_G_TABLES = ("politicians", "donations", "donation_sync", "fec_committees")
+_SUMS = "round(sum(amount), 2) as total_amount, count(*) as count_donations, round(avg(amount), 4) as avg_amount"
+_add("donations_detail", lambda d: donations.listed(d.donations, donations.bridge(d.donation_sync), d.politicians, d.fec_committees, DonationFilter(min_amount=50.0, employer="corp", cycle=2024), 200).select("sub_id", "politician_id", "full_name", "committee_name", "contributor_name", "amount"),
+     f"select sub_id, politician_id, full_name, c.name as committee_name, contributor_name, amount from {_GIFTS} where amount >= 50 and contributor_employer ilike '%corp%' and d.cycle = 2024 order by amount desc, sub_id, politician_id limit 200", *_G_TABLES)
+_round_sums = [F.round("total_amount", 2).alias("total_amount"), "count_donations", F.round("avg_amount", 4).alias("avg_amount")]
+_add("donations_by_contributor", lambda d: donations.rolled_up(gifts(d), "contributor").select("contributor_name", "contributor_state", *_round_sums, "max_amount", "first_date", "last_date"),
+     f"select coalesce(contributor_name, 'Unknown') as contributor_name, coalesce(contributor_state, '') as contributor_state, {_SUMS}, max(amount) as max_amount, min(receipt_date) as first_date, max(receipt_date) as last_date from {_GIFTS} group by 1, 2", *_G_TABLES)
+_add("donations_by_employer", lambda d: donations.rolled_up(gifts(d), "employer").select("contributor_employer", *_round_sums, "count_contributors"), f"select coalesce(contributor_employer, 'Unknown') as contributor_employer, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
+_add("donations_by_state", lambda d: donations.rolled_up(gifts(d), "state").select("contributor_state", *_round_sums, "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
+_add("donations_by_state_once", lambda d: donations.rolled_up(donations.listed(d.donations, donations.bridge(d.donation_sync, True), d.politicians, d.fec_committees), "state").select("contributor_state", *_round_sums, "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS.replace('(select politician_id', '(select distinct politician_id')} group by 1", *_G_TABLES)
+_MATCHED = "donations d join employer_lookup l on lower(trim(d.contributor_employer)) = l.raw_employer_lower join employer_mappings m using (normalized_employer) join issuers i on i.ticker = m.issuer_ticker join (select politician_id, committee_id from donation_sync) b using (committee_id)"
+_M_TABLES = ("politicians", "donations", "donation_sync", "employer_lookup", "employer_mappings", "issuers")
+_add("donor_context", lambda d: donations.donor_context(matched_gifts(d), "P000004", "Consumer Staples", 5).select("contributor_employer", F.round("total_amount", 2).alias("total_amount"), "count_donations"),
+     f"select contributor_employer, round(sum(amount), 2) as total_amount, count(*) as count_donations from {_MATCHED} where politician_id = 'P000004' and gics_sector = 'Consumer Staples' group by 1 order by sum(amount) desc, 1 limit 5", *_M_TABLES)
+_add("donation_sector_summary", lambda d: donations.sector_summary(matched_gifts(d)).select("politician_id", "gics_sector", F.round("total_amount", 2).alias("total_amount"), "count_employers", F.col("rank").cast("bigint").alias("rank")),
+     f"""+ s as (select politician_id, gics_sector, round(sum(amount), 2) as total_amount, count(distinct contributor_employer) as count_employers, row_number() over (partition by politician_id order by sum(amount) desc, gics_sector) as rank from {_MATCHED} where gics_sector is not null group by 1, 2)
+     select * from s where rank <= 5""", *_M_TABLES)
+_add("donation_totals", lambda d: donations.totals(gifts(d)).select("politician_id", F.round("total_amount", 2).alias("total_amount"), "count_donations"), f"select politician_id, round(sum(amount), 2) as total_amount, count(*) as count_donations from {_GIFTS} group by 1 having sum(amount) is not null", *_G_TABLES)
+_add("unmatched_employers", lambda d: donations.unmatched_employers(d.donations, d.employer_lookup), "select distinct contributor_employer from donations d where contributor_employer is not null and contributor_employer <> '' and not exists (select 1 from employer_lookup l where l.raw_employer_lower = lower(d.contributor_employer))", "donations", "employer_lookup")
+_add("donation_trade_correlation", lambda d: donations.trade_correlation(d.trades, matched_gifts(d).withColumn("confidence", F.col("confidence").cast("double")), 0.8).select("politician_id", "ticker", "count_donations", F.round("total_amount", 2).alias("total_amount"), *r4("avg_confidence"), "employers", "count_trades"),
+     f"""+ g as (select distinct sub_id, politician_id, issuer_ticker as ticker, amount, cast(confidence as double) as confidence, contributor_employer from {_MATCHED} where confidence >= 0.8),
+     a as (select politician_id, ticker, count(distinct sub_id) as count_donations, round(sum(amount), 2) as total_amount, round(avg(confidence), 4) as avg_confidence, string_agg(distinct contributor_employer, ', ' order by contributor_employer) as employers from g group by 1, 2),
+     t as (select politician_id, ticker, count(*) as count_trades from trades group by 1, 2) select politician_id, ticker, count_donations, total_amount, avg_confidence, employers, count_trades from a join t using (politician_id, ticker)""", *_M_TABLES, "trades")
+_add("donations_min_amount_by_party", lambda d: gifts(d).where(any_of("party", ("democrat", "republican")) & (F.col("amount") >= 20)).groupBy("party").agg(F.count("*").alias("n")), f"select party, count(*) as n from {_GIFTS} where party in ('democrat', 'republican') and amount >= 20 group by 1", *_G_TABLES)
+
+# Anomalies.
+_add("pre_move_signals", lambda d: anomaly.pre_move_signals(anomaly.later_prices(d.trades)).select("tx_id", "politician_id", "ticker", "direction", "later_date", *r4("later_price", "change_pct")),
+     """+ daily as (select ticker, tx_date, min_by(price, tx_id) as later_price from trades group by 1, 2),
+     later as (select t.tx_id, t.politician_id, t.ticker, t.tx_type, t.price, min_by(d.later_price, d.tx_date) as later_price, min(d.tx_date) as later_date from (select distinct ticker, tx_date from trades) k join daily d on k.ticker = d.ticker and d.tx_date between k.tx_date + 28 and k.tx_date + 32 join trades t on t.ticker = k.ticker and t.tx_date = k.tx_date group by all)
+     select tx_id, politician_id, ticker, (case when tx_type = 'buy' then 'buy' else 'sell' end) || (case when later_price > price then '_before_rise' else '_before_drop' end) as direction, later_date, round(later_price, 4) as later_price, round((later_price - price) / price * 100, 4) as change_pct
+     from later where abs((later_price - price) / price * 100) > 10""", "trades")
+_VOLUME = f"""vol as (select {{0}}, count(*) filter (tx_date between date '{AS_OF}' - 90 and date '{AS_OF}') as recent, count(*) filter (tx_date >= date '{AS_OF}' - 455 and tx_date < date '{AS_OF}' - 90) as baseline from trades group by 1),
+sig as (select *, baseline / (365e0 / 90) as usual, case when baseline > 0 then recent / (baseline / (365e0 / 90)) else 0 end as ratio from vol)"""
+_add("volume_anomaly", lambda d: anomaly.volume_signals(d.trades, AS_OF, "customer_id").select("customer_id", "recent", "baseline", *r4("usual", "ratio"), "unusual"),
+     "+" + _VOLUME.format("customer_id") + " select customer_id, recent, baseline, round(usual, 4) as usual, round(ratio, 4) as ratio, ratio > 2 as unusual from sig", "trades")
+
+
+def _values(d: Domain) -> DataFrame:
+    held = people_positions(d).where(F.col("shares_held") > 0.01).join(portfolio.latest_prices(d.trades), "ticker")
+    return held.join(d.issuers.select("ticker", "gics_sector"), "ticker").select("politician_id", "gics_sector", (F.col("shares_held") * F.col("current_price")).alias("value"))
+
+
+_HHI = f""", {_PRICES}, sums as (select politician_id, gics_sector, sum(shares_held * current_price) as v from positions join latest_price using (ticker) join issuers using (ticker) where shares_held > 0.01 and gics_sector is not null and shares_held * current_price > 0 group by 1, 2),
+w as (select *, v / sum(v) over (partition by politician_id) as w from sums), hhi as (select politician_id, sum(w * w) as hhi, max_by(gics_sector, (w, gics_sector)) as dominant_sector from w group by 1)"""
+_add("sector_hhi", lambda d: anomaly.sector_concentration(_values(d)).select("politician_id", *r4("hhi"), "dominant_sector", "concentrated"),
+     _POSITIONS + _HHI + " select politician_id, round(hhi, 4) as hhi, dominant_sector, hhi > 0.25 as concentrated from hhi", *_FIFO_TABLES)
+
+
+def _composite(d: Domain) -> DataFrame:
+    moves = anomaly.pre_move_signals(anomaly.later_prices(d.trades)).groupBy("politician_id").agg(F.count("*").alias("pre_moves"))
+    return anomaly.composite_scores(moves, anomaly.volume_signals(d.trades, AS_OF), anomaly.sector_concentration(_values(d)), 0.1, 0.5)
+
+
+_add("anomaly_composite", lambda d: _composite(d).select("politician_id", F.col("pre_moves").cast("bigint").alias("pre_moves"), *r4("ratio", "hhi", "score", "confidence")),
+     _POSITIONS + _HHI + ", " + _VOLUME.format("politician_id") + """, daily as (select ticker, tx_date, min_by(price, tx_id) as later_price from trades group by 1, 2),
+     nearest as (select k.ticker, k.tx_date, min_by(d.later_price, d.tx_date) as later_price from (select distinct ticker, tx_date from trades) k join daily d on k.ticker = d.ticker and d.tx_date between k.tx_date + 28 and k.tx_date + 32 group by 1, 2),
+     moves as (select politician_id, count(*) as pre_moves from trades join nearest using (ticker, tx_date) where abs((later_price - price) / price * 100) > 10 group by 1),
+     parts as (select politician_id, coalesce(pre_moves, 0) as pre_moves, coalesce(ratio, 0) as ratio, coalesce(hhi, 0) as hhi from sig left join moves using (politician_id) left join hhi using (politician_id)),
+     scored as (select *, (least(1, pre_moves / 10e0) + least(1, ratio / 5) + least(1, hhi)) / 3 as score, ((pre_moves > 0)::int + (ratio > 0)::int + (hhi > 0)::int) / 3e0 as confidence from parts)
+     select politician_id, pre_moves, round(ratio, 4) as ratio, round(hhi, 4) as hhi, round(score, 4) as score, round(confidence, 4) as confidence from scored where score >= 0.1 and confidence >= 0.5""", *_FIFO_TABLES)
+
+# Prices.
+_add("share_estimates", lambda d: d.trades.select("tx_id", F.round(scalars.range_middle("size_range_low", "size_range_high"), 4).alias("middle"), F.round(scalars.estimated_shares("size_range_low", "size_range_high", "value", "price"), 4).alias("shares")),
+     "select tx_id, round((size_range_low + size_range_high) / 2e0, 4) as middle, round(coalesce(case when size_range_low <= size_range_high and price > 0 then (size_range_low + size_range_high) / 2e0 / price end, case when value > 0 and price > 0 then value / price end), 4) as shares from trades", "trades")
+_RAW = "case issuer_id % 7 when 0 then ticker || ':US' when 1 then ' ' || ticker || ':LN ' when 2 then '$$' || ticker when 3 then substr(ticker, 1, 2) || '/' || substr(ticker, 3) || ':HK' when 4 then ticker || ':xx' when 5 then '' else substr(ticker, 1, 2) || '.' || substr(ticker, 3) end"
+_add("ticker_normalized", lambda d: d.issuers.withColumn("raw", F.expr(_RAW)).select("issuer_id", "raw", scalars.price_ticker("raw").alias("price_ticker"), scalars.exchange_suffix("raw").alias("suffix")),
+     f"""+ r as (select issuer_id, {_RAW} as raw from issuers), s as (select *, trim(raw) as t from r)
+     select issuer_id, raw, case when t = '' then null when t like '$$%' then substr(t, 3) || '-USD' when contains(t, ':') then replace(replace(split_part(t, ':', 1), '/', '-'), '.', '-') || (case upper(split_part(t, ':', 2)) when 'LN' then '.L' when 'HK' then '.HK' else '' end) else replace(replace(t, '/', '-'), '.', '-') end as price_ticker,
+     case when contains(raw, ':') then substr(raw, instr(raw, ':') + 1) else '(none)' end as suffix from s""", "issuers")
+_add("price_asof_backfill", lambda d: pricing.as_of_prices(d.trades.where("ticker in ('BR01', 'BR02', 'BR04')"), d.prices.where("day(price_date) % 3 = 0")).select("tx_id", "asof_date", *r4("asof_price")),
+     """+ p as (select * from prices where day(price_date) % 3 = 0), t as (select * from trades where ticker in ('BR01', 'BR02', 'BR04'))
+     select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from t left join p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id""", "trades", "prices")
+_add("benchmark_assignment", lambda d: pricing.benchmarks(d.trades, d.issuers, d.sector_benchmarks).groupBy("gics_sector", "benchmark").agg(F.count("*").alias("n")), "select gics_sector, coalesce(etf, 'SPY') as benchmark, count(*) as n from trades join issuers using (issuer_id) left join (select * from sector_benchmarks where sector is not null) b on b.sector = gics_sector group by 1, 2", "trades", "issuers", "sector_benchmarks")
+_add("enrichment_diagnostics", lambda d: pricing.diagnostics(d.trades)["totals"].select("total", "tried", "priced", "failed", *r4("priced_pct")),
+     "select count(*) as total, count(price_enriched_at) as tried, count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) as priced, count(*) filter (price_enriched_at is not null and current_price is null) as failed, round(count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) * 100e0 / count(*), 4) as priced_pct from trades", "trades")
+_add("enrichment_failed_tickers", lambda d: pricing.diagnostics(d.trades)["tickers"], "select ticker, count(*) as n from trades where price_enriched_at is not null and current_price is null group by 1 order by 2 desc, 1 limit 30", "trades")
+_add("enrichment_queue", lambda d: pricing.queue(d.trades, pricing.needs_price(), "tx_id", 500).select("tx_id", "ticker", "tx_date"), "select tx_id, ticker, tx_date from trades where ticker <> '' and tx_date is not null and price_enriched_at is null order by tx_id limit 500", "trades")
+_add("benchmark_queue", lambda d: pricing.queue(d.trades, pricing.needs_benchmark(), "tx_id", 500).select("tx_id", "ticker", "tx_date"), "select tx_id, ticker, tx_date from trades where ticker <> '' and tx_date is not null and benchmark_price is null order by tx_id limit 500", "trades")
+
+# Names.
+_ENDINGS = "(" + "|".join(x.replace(".", r"\.") for x in scalars.D.COMPANY_ENDINGS) + ")$"
+_NORMAL = f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({{0}})), '{_ENDINGS}', ''), '[., ]+$', ''), '\\s+', ' ', 'g'))"
+_NONE = "(" + " or ".join(f"starts_with(lower(trim(contributor_employer)), '{x}')" for x in scalars.D.NO_EMPLOYER) + ")"
+_add("employer_normalized", lambda d: d.donations.where("contributor_employer is not null").select("contributor_employer").distinct().select("contributor_employer", scalars.employer_name("contributor_employer").alias("normalized"), scalars.is_no_employer("contributor_employer").alias("no_employer")),
+     f"select distinct contributor_employer, {_NORMAL.format('contributor_employer')} as normalized, {_NONE} as no_employer from donations where contributor_employer is not null", "donations")
+_MATCH = f"""+ e as (select distinct contributor_employer as employer, {_NORMAL.format("contributor_employer")} as normalized from donations where contributor_employer is not null and not {_NONE}),
+n as (select issuer_id, ticker, {_NORMAL.format("issuer_name")} as issuer from issuers), x as (select normalized, min(issuer_id) as issuer_id from (select distinct normalized from e) join n on normalized = issuer group by 1)"""
+_add("employer_exact_match", lambda d: matching.match_employers(d.donations, d.issuers, 1.1).select("employer", "normalized", "issuer_id", "ticker"), _MATCH + " select employer, normalized, issuer_id, ticker from e join x using (normalized) join n using (issuer_id)", "donations", "issuers")
+_add("employer_fuzzy_match", lambda d: matching.match_employers(d.donations, d.issuers, 0.75).select("employer", "normalized", "issuer_id", "ticker", F.round("confidence", 4).alias("confidence"), "match_type"),
+     _MATCH + """, s as (select normalized, issuer_id, jaro_winkler_similarity(normalized, issuer) as score from (select distinct normalized from e where normalized not in (select normalized from x) and strlen(normalized) >= 5) cross join n),
+     best as (select normalized, max_by(issuer_id, (score, -issuer_id)) as issuer_id, max(score) as confidence from s where score >= 0.75 group by 1)
+     select employer, normalized, issuer_id, ticker, round(confidence, 4) as confidence, match_type from e join (select normalized, issuer_id, 1e0 as confidence, 'exact' as match_type from x union all select normalized, issuer_id, confidence, 'fuzzy' from best) using (normalized) join n using (issuer_id)""", "donations", "issuers")
+_LEGISLATORS = "select struct(concat('B', politician_id) as bioguide, array(concat('H', politician_id), concat('S', politician_id)) as fec) as id, struct('x' as first, upper(last_name) as last, full_name as official_full) as name, array(struct('rep' as type, '' as start, '' as end, 'ZZ' as state, '' as party), struct('rep' as type, '' as start, '' as end, lower(state) as state, '' as party)) as terms from {p}"
+_add("fec_name_match", lambda d: matching.match_legislators(d.spark.sql(_LEGISLATORS, p=d.politicians), d.politicians.unionByName(d.politicians.where("party = 'other'").withColumn("politician_id", F.concat("politician_id", F.lit("x"))))),
+     "+ p as (select politician_id, last_name, state from politicians where party <> 'other') select politician_id, 'B' || politician_id as bioguide_id, unnest(['H' || politician_id, 'S' || politician_id]) as fec_candidate_id from p", "politicians")
+_add("committee_class", lambda d: matching.classified(d.fec_committees).select("committee_id", "committee_type", "designation", "class"),
+     "select committee_id, committee_type, designation, case when designation = 'D' then 'leadership_pac' when designation = 'J' then 'joint_fundraising' when committee_type in ('H', 'S', 'P') then case when designation in ('A', 'P') then 'campaign' else 'other' end when committee_type in ('X', 'Y', 'Z') then 'party' when committee_type in ('N', 'Q', 'O') then 'pac' else 'other' end as class from fec_committees", "politicians", "donation_sync", "fec_committees")
+
+# Merges.
+_SPLIT = ["tx_id", "asset_type", "value", "comment", "current_price"]
+
+
+def _merged(d: Domain) -> DataFrame:
+    stored = d.trades.where("tx_date < date '2000-01-01'").select(*_SPLIT)
+    coming = d.trades.where("tx_date >= date '1999-01-01'").select("tx_id", F.when(F.col("value") % 2 == 0, "unknown").otherwise(F.col("asset_type")).alias("asset_type"), (F.col("value") + 1).alias("value"), F.when(F.col("value") % 3 == 0, F.col("comment")).alias("comment"), F.lit(0.0).alias("current_price"))
+    return merge.upsert_trades(stored, coming)
+
+
+_add("merge_trades", lambda d: _merged(d).select("tx_id", "asset_type", "value", "comment", *r4("current_price")),
+     """+ s as (select tx_id, asset_type, value, comment, current_price from trades where tx_date < date '2000-01-01'),
+     n as (select tx_id, case when value % 2 = 0 then 'unknown' else asset_type end as asset_type, value + 1 as value, case when value % 3 = 0 then comment end as comment from trades where tx_date >= date '1999-01-01')
+     select coalesce(n.tx_id, s.tx_id) as tx_id, case when n.asset_type <> 'unknown' then n.asset_type else coalesce(s.asset_type, n.asset_type) end as asset_type, coalesce(n.value, s.value) as value, coalesce(n.comment, s.comment) as comment, round(s.current_price, 4) as current_price from s full join n on s.tx_id = n.tx_id""", "trades")
+_add("merge_donations_dedup", lambda d: merge.insert_donations(d.donations.where("cast(sub_id as bigint) % 3 = 0"), d.donations.unionByName(d.donations)).groupBy("committee_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount")), "select committee_id, count(*) as n, round(sum(amount), 2) as amount from donations group by 1", "donations")
+_add("backfill_shares", lambda d: merge.backfill_shares(d.trades.select("tx_id", "value", F.col("price").alias("trade_date_price"), F.when(F.col("asset_type") == "stock", F.col("shares")).alias("estimated_shares"))).select("tx_id", *r4("estimated_shares")), "select tx_id, round(case when asset_type = 'stock' then shares when price > 0 and value > 0 then value / price end, 4) as estimated_shares from trades", "trades")
+_add("membership_replace", lambda d: merge.replace_memberships(d.politician_committees.unionByName(d.politician_committees), d.politicians.where("chamber = 'house'")), "select politician_id, committee from politician_committees where politician_id in (select politician_id from politicians where chamber = 'house')", "politicians", "politician_committees")
+_add("orphan_donations", lambda d: merge.orphans(d.donations, d.fec_committees, "committee_id").groupBy("committee_id").agg(F.count("*").alias("n")), "select committee_id, count(*) as n from donations where committee_id not in (select committee_id from fec_committees) group by 1", "donations", "politicians", "donation_sync", "fec_committees")
+
+# Pages and formats.
+_add("html_extract", lambda d: d.base("pages").select("page_id", F.regexp_extract("html", r"<html lang=\"([a-z]+)\"", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).cast("bigint").alias("links"), scalars.filing_id(F.concat("url", F.lit("/"), "page_id", F.lit(".pdf?x=1"))).alias("filing_id")),
+     r"""select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, cast(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) as bigint) as links, case when contains(url, '?') then try_cast(nullif(regexp_extract(split_part(url, '?', 1), '(?:^|/)([0-9]+)(?:\.pdf)*$', 1), '') as bigint) else page_id end as filing_id from pages""")
+_add("compact_number_parse", lambda d: d.trades.select("tx_id", scalars.format_value("value").alias("shown"), scalars.compact_number(scalars.format_value("value")).alias("read")),
+     "+ v as (select tx_id, case when value >= 1000000 then printf('$%.1fM', value / 1e6) when value >= 1000 then printf('$%.1fK', value / 1e3) else '$' || value end as shown from trades) select tx_id, shown, cast(round(cast(regexp_replace(shown, '[$KM]', '', 'g') as double) * case when shown like '%M' then 1e6 when shown like '%K' then 1e3 else 1 end) as bigint) as read from v", "trades")
+
+
+def _bound(make: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(Domain(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quillstone.streaming import incremental
 
-def queries() -> dict:
-    return {}
+    return {n: _bound(make) for n, (make, _) in _QUERIES.items()} | incremental.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql for n, (_, sql) in _QUERIES.items() if sql is not None}
