@@ -16,7 +16,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ByteGru:
     """Labels every position of byte windows with class probabilities."""
 
-    def __init__(self, classes: int, hidden: int = 16, seed: int = 0, dtype: type = np.float32):
+    def __init__(self, classes: int, hidden: int = 12, seed: int = 0, dtype: type = np.float32):
         rng = np.random.Generator(np.random.PCG64(seed))
         h = self.hidden = hidden
         self.p = {
@@ -47,9 +47,43 @@ class ByteGru:
             out[t_max - 1 - t, :, h:] = s[1]
         return out
 
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        """The same states without what training keeps: gates are halved beforehand so that a sigmoid is one tanh, and buffers are reused."""
+        h, p = self.hidden, self.p
+        n, t_max = x.shape
+        half = p["h"].dtype.type(0.5)
+        table, weight = p["x"].copy(), p["h"].copy()
+        table[:, :, : 2 * h] *= half
+        weight[:, :, : 2 * h] *= half
+        s = np.zeros((2, n, h), weight.dtype)
+        out = np.empty((t_max, n, 2 * h), weight.dtype)
+        gx, gh = np.empty((2, n, 3 * h), weight.dtype), np.empty((2, n, 3 * h), weight.dtype)
+        zr, c = np.empty((2, n, 2 * h), weight.dtype), np.empty((2, n, h), weight.dtype)
+        xt = np.ascontiguousarray(x.T)
+        for t in range(t_max):
+            for k, at in ((0, t), (1, t_max - 1 - t)):
+                np.take(table[k], xt[at], axis=0, out=gx[k], mode="clip")
+                np.matmul(s[k], weight[k], out=gh[k])
+            np.add(gx[:, :, : 2 * h], gh[:, :, : 2 * h], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            np.multiply(zr[:, :, h:], gh[:, :, 2 * h :], out=c)
+            c += gx[:, :, 2 * h :]
+            np.tanh(c, out=c)
+            s -= c
+            s *= zr[:, :, :h]
+            s += c
+            out[t, :, :h] = s[0]
+            out[t_max - 1 - t, :, h:] = s[1]
+        return out
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(positions, windows, classes)."""
-        return self._softmax(self.states(x) @ self.p["o"] + self.p["b"])
+        """(classes, positions, windows)."""
+        states = self.forward(x)
+        a = self.p["o"].T @ states.reshape(-1, states.shape[2]).T + self.p["b"][:, None]
+        a = np.exp(a - a.max(axis=0))
+        return (a / a.sum(axis=0)).reshape(-1, *states.shape[:2])
 
     @staticmethod
     def _softmax(a: np.ndarray) -> np.ndarray:

@@ -50,7 +50,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return first.select("lang", F.explode(pieces).alias("piece")).toPandas()
 
 
-def fit(sample: pd.DataFrame, hidden: int = 16, steps: int = 220, seed: int = 5) -> tuple[ByteGru, list[str]] | None:
+def fit(sample: pd.DataFrame, hidden: int = 12, steps: int = 220, seed: int = 5) -> tuple[ByteGru, list[str]] | None:
     languages = sorted(set(sample["lang"]))
     if not languages:
         return None
@@ -92,10 +92,10 @@ def pooled(net: ByteGru, texts: list[bytes], window: int = WINDOW, halo: int = H
         at = start[ix][:, None] + np.arange(-halo, width + halo)[None, :]
         inside = (at >= 0) & (at < sizes[doc[ix]][:, None])
         x = np.where(inside, data[np.where(inside, begins[doc[ix]][:, None] + at, 0)], 0).astype(np.uint8)
-        prob = net.probabilities(x)[halo : halo + width]
+        prob = net.probabilities(x)[:, halo : halo + width]
         core = x[:, halo : halo + width].T
         counted = (_LETTER[core] & (np.arange(width)[:, None] < length[ix][None, :])).astype(np.float32)
-        np.add.at(total, doc[ix], np.einsum("tnc,tn->nc", prob, counted))
+        np.add.at(total, doc[ix], np.einsum("ctn,tn->nc", prob, counted))
         np.add.at(weight, doc[ix], counted.sum(axis=0))
     return total / np.maximum(weight, 1)[:, None]
 
