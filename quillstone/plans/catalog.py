@@ -132,7 +132,7 @@ positions as (select politician_id, ticker, shares_held, case when shares_held >
 _add("fifo_positions", lambda d: people_positions(d).select("politician_id", "ticker", *r4("shares_held", "cost_basis", "realized_pnl")),
      _POSITIONS + "\nselect politician_id, ticker, round(shares_held, 4) as shares_held, round(cost_basis, 4) as cost_basis, round(realized_pnl, 4) as realized_pnl from positions", *_FIFO_TABLES)
 _add("trade_metrics", lambda d: metrics.trade_metrics(closed(d)).select("buy_tx_id", "sell_tx_id", "holding_days", *r4("return_pct", "annualized", "alpha"), "benchmark_type"),
-     _METRICS + "\nselect buy_tx_id, sell_tx_id, holding_days, round(return_pct, 4) as return_pct, round(annualized, 4) as annualized, round(alpha, 4) as alpha, benchmark_type from tm", *_FIFO_TABLES)
+     _METRICS + "\nselect buy_tx_id, sell_tx_id, holding_days, round(return_pct, 4) + 0e0 as return_pct, round(annualized, 4) + 0e0 as annualized, round(alpha, 4) + 0e0 as alpha, benchmark_type from tm", *_FIFO_TABLES)
 _add("politician_metrics", lambda d: metrics.politician_metrics(metrics.trade_metrics(closed(d))).select("politician_id", "total_trades", "win_count", "avg_holding_days", *r4(*_PM)),
      _pm() + f"\nselect politician_id, {_PM_SQL} from pm", *_FIFO_TABLES)
 
