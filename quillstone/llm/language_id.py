@@ -27,7 +27,7 @@ from quillstone.llm.common import short_batches, table
 
 FOLDS, HELD = 5, 0
 PER_LANGUAGE, WINDOWS, TRAIN_CHARS, TRAIN_BYTES = 400, 3, 96, 64
-WINDOW, HALO, AT_ONCE = 224, 16, 2048
+WINDOW, HALO, AT_ONCE, STEP = 224, 16, 2048, 32
 
 
 def held_out(doc_id: str) -> Column:
@@ -83,12 +83,13 @@ def pooled(net: ByteGru, texts: list[bytes], window: int = WINDOW, halo: int = H
     each = -(-sizes // window)
     doc = np.repeat(np.arange(len(texts)), each)
     start = (np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)) * window
-    # Windows of like length stand together, so short ones aren't run at full width.
+    # A window's width follows from its length alone, so no result depends on the texts beside it; short ones aren't run at full width.
     length = np.minimum(window, sizes[doc] - start)
-    order = np.argsort(-length, kind="stable")
-    for a in range(0, len(order), at_once):
-        ix = order[a : a + at_once]
-        width = int(length[ix].max())
+    wide = np.minimum(window, -(-length // STEP) * STEP)
+    order = np.argsort(-wide, kind="stable")
+    runs = np.split(order, np.flatnonzero(np.diff(wide[order])) + 1) if len(order) else []
+    for ix in (run[a : a + at_once] for run in runs for a in range(0, len(run), at_once)):
+        width = int(wide[ix[0]])
         at = start[ix][:, None] + np.arange(-halo, width + halo)[None, :]
         inside = (at >= 0) & (at < sizes[doc[ix]][:, None])
         x = np.where(inside, data[np.where(inside, begins[doc[ix]][:, None] + at, 0)], 0).astype(np.uint8)

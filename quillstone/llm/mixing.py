@@ -56,6 +56,8 @@ def split(amount: int, weights: list[float], limits: list[int]) -> list[int]:
 
 def budgets(leaves: dict[tuple, int], weights: dict[tuple, float], total: int, most_epochs: int) -> dict[tuple, int]:
     """Each leaf's tokens. weights: of nodes by path, 1.0 where none is given; leaves: tokens there by path."""
+    if not leaves:
+        return {}
     depth = len(next(iter(leaves), ()))
     limit: dict[tuple, int] = {}
     for path, tokens in leaves.items():

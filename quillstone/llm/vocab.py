@@ -7,7 +7,7 @@ Two quick ways stand beside the library, each used only where it gives the libra
   every such character in context); any other text goes to the library itself.
 * WordBpe: this vocabulary encodes words one by one, so each new word is encoded once, by the same merges
   written as ranks (a trailing blank stands for the word end), and a bounded memo of words gives the rest.
-  Texts with characters from U+0250 on or with special strings go to the library whole.
+  Texts with characters from U+0250 on, before or after lower-casing, or with special strings go to the library whole.
 """
 
 from __future__ import annotations
@@ -106,10 +106,6 @@ def _plain_word_pattern() -> re.Pattern:
     return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^{space}{letters}{digits}]+")
 
 
-#: Lower-casing that changes more than one character for one, or composes, is left to the library.
-_LOWER_APART = re.compile("[İ]")
-
-
 def _byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -169,9 +165,10 @@ class WordBpe:
     def bytes_of(self, text: str) -> bytes:
         if not text:
             return b""
-        if (not text.isascii() and (_NOT_PLAIN.search(text) or _LOWER_APART.search(text))) or any(s in text for s in self.specials):
+        low = text.lower()
+        if (not text.isascii() and (_NOT_PLAIN.search(text) or _NOT_PLAIN.search(low))) or any(s in text for s in self.specials):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, memo = self.findall(text.lower()), self.memo
+        words, memo = self.findall(low), self.memo
         if new := {w for w in words if w not in memo}:
             if len(memo) + len(new) > self.memo_words:
                 memo.clear()
