@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def jaro(a: str, b: str) -> float:
@@ -37,6 +37,11 @@ def jaro_winkler_score(a: str, b: str) -> float:
     return s + 0.1 * same * (1 - s)
 
 
-@F.pandas_udf(T.DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def jaro_winkler(a: str, b: str) -> Column:
+    """The score of two columns; null where either is."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else jaro_winkler_score(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)

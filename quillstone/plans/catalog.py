@@ -28,6 +28,10 @@ def r4(*cols: str) -> list[Column]:
     return [F.round(c, 4).alias(c) for c in cols]
 
 
+def _round_sums() -> list:
+    return [F.round("total_amount", 2).alias("total_amount"), "count_donations", F.round("avg_amount", 4).alias("avg_amount")]
+
+
 # Shared plans.
 
 
@@ -181,12 +185,11 @@ _G_TABLES = ("politicians", "donations", "donation_sync", "fec_committees")
 _SUMS = "round(sum(amount), 2) as total_amount, count(*) as count_donations, round(avg(amount), 4) as avg_amount"
 _add("donations_detail", lambda d: donations.listed(d.donations, donations.bridge(d.donation_sync), d.politicians, d.fec_committees, DonationFilter(min_amount=50.0, employer="corp", cycle=2024), 200).select("sub_id", "politician_id", "full_name", "committee_name", "contributor_name", "amount"),
      f"select sub_id, politician_id, full_name, c.name as committee_name, contributor_name, amount from {_GIFTS} where amount >= 50 and contributor_employer ilike '%corp%' and d.cycle = 2024 order by amount desc, sub_id, politician_id limit 200", *_G_TABLES)
-_round_sums = [F.round("total_amount", 2).alias("total_amount"), "count_donations", F.round("avg_amount", 4).alias("avg_amount")]
-_add("donations_by_contributor", lambda d: donations.rolled_up(gifts(d), "contributor").select("contributor_name", "contributor_state", *_round_sums, "max_amount", "first_date", "last_date"),
+_add("donations_by_contributor", lambda d: donations.rolled_up(gifts(d), "contributor").select("contributor_name", "contributor_state", *_round_sums(), "max_amount", "first_date", "last_date"),
      f"select coalesce(contributor_name, 'Unknown') as contributor_name, coalesce(contributor_state, '') as contributor_state, {_SUMS}, max(amount) as max_amount, min(receipt_date) as first_date, max(receipt_date) as last_date from {_GIFTS} group by 1, 2", *_G_TABLES)
-_add("donations_by_employer", lambda d: donations.rolled_up(gifts(d), "employer").select("contributor_employer", *_round_sums, "count_contributors"), f"select coalesce(contributor_employer, 'Unknown') as contributor_employer, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
-_add("donations_by_state", lambda d: donations.rolled_up(gifts(d), "state").select("contributor_state", *_round_sums, "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
-_add("donations_by_state_once", lambda d: donations.rolled_up(donations.listed(d.donations, donations.bridge(d.donation_sync, True), d.politicians, d.fec_committees), "state").select("contributor_state", *_round_sums, "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS.replace('(select politician_id', '(select distinct politician_id')} group by 1", *_G_TABLES)
+_add("donations_by_employer", lambda d: donations.rolled_up(gifts(d), "employer").select("contributor_employer", *_round_sums(), "count_contributors"), f"select coalesce(contributor_employer, 'Unknown') as contributor_employer, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
+_add("donations_by_state", lambda d: donations.rolled_up(gifts(d), "state").select("contributor_state", *_round_sums(), "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS} group by 1", *_G_TABLES)
+_add("donations_by_state_once", lambda d: donations.rolled_up(donations.listed(d.donations, donations.bridge(d.donation_sync, True), d.politicians, d.fec_committees), "state").select("contributor_state", *_round_sums(), "count_contributors"), f"select coalesce(contributor_state, '') as contributor_state, {_SUMS}, count(distinct contributor_name) as count_contributors from {_GIFTS.replace('(select politician_id', '(select distinct politician_id')} group by 1", *_G_TABLES)
 _MATCHED = "donations d join employer_lookup l on lower(trim(d.contributor_employer)) = l.raw_employer_lower join employer_mappings m using (normalized_employer) join issuers i on i.ticker = m.issuer_ticker join (select politician_id, committee_id from donation_sync) b using (committee_id)"
 _M_TABLES = ("politicians", "donations", "donation_sync", "employer_lookup", "employer_mappings", "issuers")
 _add("donor_context", lambda d: donations.donor_context(matched_gifts(d), "P000004", "Consumer Staples", 5).select("contributor_employer", F.round("total_amount", 2).alias("total_amount"), "count_donations"),
