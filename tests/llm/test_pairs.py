@@ -194,6 +194,27 @@ def test_fuzzy_line_groups_against_brute_force(spark):
     assert len(gone) >= 20, "fuzzy copies are found"
 
 
+@pytest.mark.parametrize("least,most", [(5, 9), (10, 24), (25, 60)])
+def test_all_pairs_of_similar_lines_meet(spark, least, most):
+    """Every group of lines with up to a fifth of their words edited is what brute force finds."""
+    rng = random.Random(least)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    rows = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(least, most))]
+        for share in (0, 0.1, 0.2, 0.25):
+            words = list(base)
+            for _ in range(int(share * len(base) + 0.5)):
+                at, how = rng.randrange(len(words)), rng.random()
+                words[at : at + 1] = [] if how < 0.2 else [words[at], rng.choice(vocabulary)] if how < 0.4 else [words[at] + "x"]
+            rows.append((len(rows), " ".join(words)))
+    split = {d: t.split(" ") for d, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(split, 2) if min(len(split[a]), len(split[b])) >= 5 and 5 * edits(split[a], split[b]) <= max(len(split[a]), len(split[b]))]
+    top = roots_of(split, links)
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in out if r.removed} == {d for d in split if top[d] != d}
+
+
 def test_line_dedup_of_empty_and_huge(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long_line = " ".join(f"word{i}" for i in range(3000))
