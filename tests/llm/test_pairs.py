@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
 from quillstone.llm.embedding_dedup import embedding_links, hadamard
-from quillstone.llm.line_dedup import dedup_lines
+from quillstone.llm.line_dedup import dedup_lines, op8_line_dedup
 from quillstone.llm.ngram_join import Trie, ngram_components, op1_ngram_jaccard_join
 
 SMALL = "/root/testdata/sf0.001"
@@ -215,6 +215,13 @@ def test_all_pairs_of_similar_lines_meet(spark, least, most):
     assert {r.doc_id for r in out if r.removed} == {d for d in split if top[d] != d}
 
 
+def test_exact_repeats_of_short_lines_go_in_the_query(spark, tmp_path):
+    a, b, c = "Chapter one", "これは同じ文です。", "alpha beta gamma delta"
+    rows = [(1, f"{a}\n\n{b}\n---\n{c}"), (2, f"chapter ONE.\n\n---\n{b}\nalpha beta gamma other"), (3, f"{b}\n{b}\n{c}!")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in op8_line_dedup(spark, str(tmp_path)).collect()} == {1: [], 2: [0, 3], 3: [0, 1, 2]}
+
+
 def test_line_dedup_of_empty_and_huge(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long_line = " ".join(f"word{i}" for i in range(3000))
