@@ -135,6 +135,13 @@ def test_stages_keep_clean_documents_and_drop_what_they_should(spark):
             docs = spark.createDataFrame(out.collect(), docs.schema)
 
 
+def test_line_stage_keeps_what_is_nowhere_else(spark):
+    shared = "\n".join(f"passage {i} that two documents share word for word {i}" for i in range(30))
+    rows = [(1, shared, "en", "s", len(shared)), (2, f"{shared}\nonly here", "en", "s", len(shared) + 10), (3, f"{shared}\n---", "en", "s", len(shared) + 4)]
+    left = {r.doc_id: (r.text, r.n_chars) for r in P.line_stage(spark, spark.createDataFrame(rows, DOCS), SMALL).collect()}
+    assert left[2] == ("only here", 9) and set(left) == {1, 2}
+
+
 def test_stages_take_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for _, stage in P.STAGES:
