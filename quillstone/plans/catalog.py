@@ -252,6 +252,9 @@ _add("ticker_normalized", lambda d: d.issuers.withColumn("raw", F.expr(_RAW)).se
 _add("price_asof_backfill", lambda d: pricing.as_of_prices(d.trades.where("ticker in ('BR01', 'BR02', 'BR04')"), d.prices.where("day(price_date) % 3 = 0")).select("tx_id", "asof_date", *r4("asof_price")),
      """+ p as (select * from prices where day(price_date) % 3 = 0), t as (select * from trades where ticker in ('BR01', 'BR02', 'BR04'))
      select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from t left join p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id""", "trades", "prices")
+# The same over all trades and prices; the one above has gaps in its prices for the look-back.
+_add("price_asof_backfill_all", lambda d: pricing.as_of_prices(d.trades, d.prices).select("tx_id", "asof_date", *r4("asof_price")),
+     """select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from trades t left join prices p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id""", "trades", "prices")
 _add("benchmark_assignment", lambda d: pricing.benchmarks(d.trades, d.issuers, d.sector_benchmarks).groupBy("gics_sector", "benchmark").agg(F.count("*").alias("n")), "select gics_sector, coalesce(etf, 'SPY') as benchmark, count(*) as n from trades join issuers using (issuer_id) left join (select * from sector_benchmarks where sector is not null) b on b.sector = gics_sector group by 1, 2", "trades", "issuers", "sector_benchmarks")
 _add("enrichment_diagnostics", lambda d: pricing.diagnostics(d.trades)["totals"].select("total", "tried", "priced", "failed", *r4("priced_pct")),
      "select count(*) as total, count(price_enriched_at) as tried, count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) as priced, count(*) filter (price_enriched_at is not null and current_price is null) as failed, round(count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) * 100e0 / count(*), 4) as priced_pct from trades", "trades")
