@@ -158,6 +158,9 @@ _LATEST = _METRICS + """,
 latest as (select * from (select *, row_number() over (partition by politician_id, ticker order by sell_date desc, sell_tx_id desc, buy_date desc, buy_tx_id desc) as k from tm) where k = 1)"""
 _add("trades_with_metrics", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).where(F.col("tx_date") >= "2001-01-01").select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
      _LATEST + """ select t.tx_id, t.tx_type, cast(l.holding_days as double) as holding_days, round(l.return_pct, 4) as return_pct, round(l.alpha, 4) as alpha, l.benchmark_type from trades t left join latest l on t.tx_type = 'sell' and t.politician_id = l.politician_id and t.ticker = l.ticker where t.tx_date >= date '2001-01-01'""", *_FIFO_TABLES)
+# The same over all dates.
+_add("trades_with_metrics_all", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
+     _LATEST + """ select t.tx_id, t.tx_type, cast(l.holding_days as double) as holding_days, round(l.return_pct, 4) as return_pct, round(l.alpha, 4) as alpha, l.benchmark_type from trades t left join latest l on t.tx_type = 'sell' and t.politician_id = l.politician_id and t.ticker = l.ticker""", *_FIFO_TABLES)
 _add("politicians_with_metrics", lambda d: metrics.politicians_with_metrics(d.politicians, metrics.trade_metrics(closed(d))).select("politician_id", "party", "total_trades", *r4("avg_return", "win_rate", "percentile")),
      _pm() + """ select politician_id, party, total_trades, round(avg_return, 4) as avg_return, round(win_rate, 4) as win_rate, round(percentile * 100, 4) as percentile from politicians left join (select *, case when count(*) over () > 1
      then 1 - (row_number() over (order by avg_return desc nulls last, politician_id) - 1) * 1e0 / (count(*) over () - 1) else 1 end as percentile from pm) using (politician_id)""", *_FIFO_TABLES, "politicians")

@@ -47,7 +47,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["price_asof_backfill_all"])
+@pytest.mark.parametrize("name", ["price_asof_backfill_all", "trades_with_metrics_all"])
 def test_query_has_every_trade(spark, name):
     assert catalog.queries()[name](spark, SMALL).count() == catalog.queries()["share_estimates"](spark, SMALL).count()
 
