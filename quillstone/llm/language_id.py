@@ -38,12 +38,12 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """(lang, piece): at most per_language * windows rows for each language."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), text_col).alias("seed"))
-    counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count("*").alias("c")).collect()}
+    counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.countDistinct("seed").alias("c")).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "piece": []})
-    # A share of each language by hash leaves about three times the bound; ranking then sees little.
+    # Equal texts count once. A share of each language by hash leaves about three times the bound; ranking then sees little.
     share = F.create_map(*[F.lit(v) for lang, c in sorted(counts.items()) for v in (lang, min(1.0, (3.0 * per_language + 50) / c))])
-    some = rows.where(F.pmod("seed", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    some = rows.where(F.pmod("seed", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).dropDuplicates(["lang", "seed"])
     first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("seed"))).where(F.col("k") <= per_language)
     room = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
     pieces = F.array(*[F.substring(F.col("text"), (F.pmod(F.xxhash64(F.lit(k), "seed"), room) + 1).cast("int"), F.lit(TRAIN_CHARS)) for k in range(windows)])

@@ -142,6 +142,12 @@ def test_line_stage_keeps_what_is_nowhere_else(spark):
     assert left[2] == ("only here", 9) and set(left) == {1, 2}
 
 
+def test_training_sample_takes_equal_texts_once(spark):
+    rows = [(i, f"text number {i if i < 60 else 'again'}", "en") for i in range(3000)]
+    sample = training_sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang", 40, 1)
+    assert len(sample) == 40 == sample["piece"].nunique()
+
+
 def test_stages_take_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for _, stage in P.STAGES:
