@@ -1,6 +1,7 @@
 """The engine's queries against their SQL, and its parts against values worked out by hand."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -254,6 +255,41 @@ def test_page_payloads(spark):
     assert pages.enclosing_object('{"a":{"tradeId":5,"b":1}}', '"tradeId":5') == '{"tradeId":5,"b":1}'
 
 
+def pushed(body):
+    return f'<script>self.__next_f.push([1,{json.dumps(body)}])</script>'
+
+
+def test_trade_details_take_the_trades_own_record(spark):
+    """An id that begins another's, two trades with addresses of their own, and addresses near or far from an id."""
+    both = '{"rows":[{"tradeId":123,"price":9.5,"filingUrl":"http://x/123.pdf"},{"tradeId":12,"price":1.5,"filingUrl":"http://x/12.pdf","asset":{"assetType":"stock"}}]}'
+    near = 'x "tradeId":12, "filingUrl":"http://x/near.pdf" ' + "y" * 2000 + ' "filingUrl":"http://x/far.pdf"'
+    far = '"filingUrl":"http://x/other.pdf"' + " " * 2000 + '"tradeId":12 ' + " " * 600 + '"filingUrl":"http://x/far.pdf"'
+    outer = '{"tradeId":99,"filingUrl":"http://x/99.pdf","inner":{"note":{"tradeId":12}}}' + "z" * 600
+    rows = [(12, pushed(both)), (123, pushed(both)), (12, pushed(near)), (12, pushed(far)), (7, pushed(both)), (12, "<p>none</p>"), (12, None), (None, pushed(both))]
+    got = pages.trade_details(spark.createDataFrame(rows, "trade_id bigint, html string")).collect()
+    assert [(r.price, r.filing_url) for r in got] == [(1.5, "http://x/12.pdf"), (9.5, "http://x/123.pdf"), (None, "http://x/near.pdf"), (None, None), (None, None), (None, None), (None, None), (None, None)]
+    assert got[0].asset_type == "stock"
+    assert pages.trade_record(outer, 99)[0].startswith('{"tradeId":99') and pages.trade_record(outer, 12)[0] == '{"tradeId":12}'
+
+
+def card(key="P000197", name="Ann O'Hara", trades=("Trades", "1,234"), volume="$1.5M", day="2024-05-01", issuers=True):
+    text = lambda t: '{"children":"' + t + '"}'
+    cell = lambda kind, *ts: f'["$","div",null,{{"className":"q-cell cell--{kind}","children":[{",".join(text(t) for t in ts)}]}}]'
+    cells = [cell("name", name), '{"className":"party--democrat"}', '{"className":"us-state-full--ca"}', cell("count-trades", *trades)]
+    cells += [cell("count-issuers", "Issuer", "7")] if issuers else []
+    return f'["$","a",null,{{"href":"/politicians/{key}","children":[{",".join([*cells, cell("volume", "Volume", volume), cell("last-traded", "Last Traded", day)])}]}}]'
+
+
+def test_politician_cards(spark):
+    """Two cards, singular labels, a page without cards, and a card that lacks a cell."""
+    df = lambda *bodies: spark.createDataFrame([(pushed(b),) for b in bodies], "html string")
+    page = card() + "," + card("S000033", "Bo Li", ("Trade", "1"), "-", "2023-01-02")
+    got = [tuple(r) for r in pages.politician_cards(df(page, "no cards")).collect()]
+    assert got == [("P000197", "Ann O'Hara", "democrat", "CA", 1234, 7, 1500000, dt.date(2024, 5, 1)), ("S000033", "Bo Li", "democrat", "CA", 1, 7, None, dt.date(2023, 1, 2))]
+    with pytest.raises(Exception, match="incomplete card: P000197"):
+        pages.politician_cards(df(card(issuers=False))).collect()
+
+
 def test_streams_write_each_row_once(spark):
     assert incremental.stream_incremental_ingest(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").distinct().count()
     out = incremental.stream_volume_window(spark, SMALL)
