@@ -5,25 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: long texts make wide rows, so batches stay short.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir as the session has it.
+    """The folder that the driver and all executors share: spark.checkpoint.dir as the session has it, or the checkpoint folder set on the context. 
 
-    Only where that is unset, as in tests, a temporary folder is made and set as the checkpoint folder.
+    Where all are unset, a session in local mode, as in tests, gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        kept = sc._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
+    kept = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or (kept.get() if kept.isDefined() else None)
+    if not found and sc.master.startswith("local"):
         found = tempfile.mkdtemp(prefix="quillstone-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not kept.isDefined():
         sc.setCheckpointDir(found)
     return found
 
@@ -48,5 +49,18 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def column(*path: str) -> Column:
+    """A column, or a field within one, whatever characters its name holds."""
+    return F.col(".".join("`" + p.replace("`", "``") + "`" for p in path))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
