@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.llm.byte_gru import ByteGru
-from quillstone.llm.common import short_batches, table
+from quillstone.llm.common import column, fresh, table
 
 FOLDS, HELD = 5, 0
 PER_LANGUAGE, WINDOWS, TRAIN_CHARS, TRAIN_BYTES = 400, 3, 96, 64
@@ -129,12 +129,11 @@ def predictor(model: tuple[ByteGru, list[str]] | None):
 
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> DataFrame:
-    """docs with a struct column _language: lang_pred, score."""
-    short_batches(docs.sparkSession)
+    """docs with one more column at the end, a struct of lang_pred and score: language, or with underscores where docs has such a column."""
     model = fit(training_sample(docs, id_col, text_col, lang_col, per_language, windows))
-    return docs.withColumn("_language", predictor(model)(F.col(text_col)))
+    return docs.withColumn(fresh(docs, "language"), predictor(model)(column(text_col)))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "_language.lang_pred", "_language.score")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score")

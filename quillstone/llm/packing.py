@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short_batches, staged, table
+from quillstone.llm.common import short, staged, table
 from quillstone.llm.vocab import ByteBpe, default_path, loaded
 
 _CUT = "doc_id bigint, part int, row bigint, doc_tokens bigint, full_before bigint, crcs array<bigint>, rest int, rest_rank bigint, rest_crc bigint, rest_ids binary"
@@ -37,7 +37,7 @@ def _cut(path: str, window: int, end_id: int):
         enc, part = loaded(ByteBpe, path), TaskContext.get().partitionId()
         wide = "<u2" if len(enc.lengths) <= 1 << 16 else "<u4"
         ranks, full, row = np.zeros(window, np.int64), 0, 0
-        for batch in batches:
+        for batch in short(batches):
             out: list[list] = [[] for _ in range(10)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(enc.ids(text.as_py() or ""), end_id).astype("<u4")
@@ -154,7 +154,7 @@ def _pieces(plan: Plan, full_total: int):
     window = plan.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             num = {n: col[n].to_numpy(zero_copy_only=False) for n in ("part", "row", "doc_tokens", "full_at", "rest", "rank", "rest_crc")}
             seq, off, loose = plan.place(num["rest"], num["rank"])
@@ -183,7 +183,7 @@ def _pieces(plan: Plan, full_total: int):
 
 def _crc_of_cut(wide: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             crcs = []
             for raw, cut, length in zip(col["rest_ids"].to_pylist(), col["cut"].to_pylist(), col["length"].to_pylist(), strict=True):
@@ -198,7 +198,6 @@ def _crc_of_cut(wide: str):
 def packed(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     path = vocabulary or default_path("byte_bpe_50k.json")
-    short_batches(docs.sparkSession)
     cut = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(path, window, end_id), _CUT), "pack-cut")
     lengths = cut.groupBy("part", "rest").agg(F.count("*").alias("c"))
     windows = cut.groupBy("part").agg(F.max(F.col("full_before") + F.size("crcs")).alias("c"))

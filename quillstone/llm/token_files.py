@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import new_folder, short_batches, staged, table
+from quillstone.llm.common import new_folder, short, staged, table
 from quillstone.llm.files import opened, written
 from quillstone.llm.simple8b import Reader, Writer
 from quillstone.llm.vocab import WordBpe, default_path, loaded
@@ -27,11 +27,11 @@ from quillstone.llm.vocab import WordBpe, default_path, loaded
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; the manifest: (part, path, n_docs, n_ids), a row for each file."""
     spark = docs.sparkSession
-    short_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        batches = short(batches)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -56,7 +56,7 @@ def read_token_files(manifest: DataFrame, run_ids: int = 1 << 20) -> DataFrame:
     starts = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, place = opened(path)
                 with system.open_input_file(place) as source:

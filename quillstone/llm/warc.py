@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import new_folder, short_batches, staged, table
+from quillstone.llm.common import new_folder, short, staged, table
 from quillstone.llm.files import opened, written
 from quillstone.llm.zipread import directory, place
 
@@ -99,7 +99,6 @@ def read_package(source, fetch_bytes: int = FETCH_BYTES) -> Iterator[dict]:
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes one package for each task; the manifest: (path, n_records)."""
     spark = pages.sparkSession
-    short_batches(spark, 500)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).where("c > 1").select("key", "best")
@@ -108,6 +107,7 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        batches = short(batches, 500)
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -132,7 +132,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record; one task for each package."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 500):
             for path in batch.column(0).to_pylist():
                 system, at = opened(path)
                 with system.open_input_file(at) as source:
