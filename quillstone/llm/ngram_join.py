@@ -5,7 +5,9 @@ Documents are sets of word n-grams; two link when 100 * intersection >= threshol
 1. One pass over the texts makes, for each block of an Arrow batch, its postings (n-gram hash, document)
    packed into one row per hash range. A task for each range counts the documents of every n-gram and sends
    back what is shared. A document with more n-grams of its own than a link allows (1 - t of its set) is
-   done: it links with nothing. Packing makes hot n-grams cheap: a block sends at most its own documents.
+   done: it links with nothing. An n-gram that is common within a block is counted there: its range gets one
+   number for it, and its documents go past the count to the block, so no task holds a row for each document
+   of an n-gram that is everywhere.
 2. What is left is ordered globally, rare n-grams first. Linked sets share an n-gram among the first
    n - ceil(t n) + 1 of each. Each such n-gram names a pivot, the holder that has the fewest n-grams of its
    own; a document meets all its candidates in the buckets of its pivots, so a set is sent once for each
@@ -31,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short_batches, staged, table
+from quillstone.llm.common import short, staged, table
 from quillstone.llm.components import components
 from quillstone.llm.shingles import mix, shingle_sets
 
+#: Documents of a block (of at most 1000) from which on an n-gram is common there.
+COMMON = 32
+#: Bytes of text for each hash range; a range's postings are some twice that.
+RANGE_BYTES = 8 << 20
 #: Sets and n-grams that a chunk of a bucket holds.
 CHUNK_SETS, CHUNK_GRAMS = 256, 1 << 19
 
@@ -54,10 +60,16 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def _dealt(buckets: int, hashes: np.ndarray, beside: np.ndarray) -> list[tuple]:
+    """(range, hashes, beside) of sorted hashes for each range that has any."""
+    cuts = np.searchsorted(hashes, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)).tolist()
+    return [(k, hashes[a:b], beside[a:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True)) if b > a]
+
+
 def _postings(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in _POSTINGS.split(", ")]
-        for batch in batches:
+        for batch in short(batches):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = shingle_sets(part.column(1), width)
@@ -71,36 +83,53 @@ def _postings(width: int, buckets: int):
                 rows = [(blk % buckets, blk, 0, None, None, meta)]
                 hashes = np.concatenate(sets)
                 docs = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
-                order = np.argsort(hashes)
+                order = np.argsort(hashes, kind="stable")
                 hashes, docs = hashes[order], docs[order]
-                cuts = np.searchsorted(hashes, np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
-                for k, (a, b) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(hashes)], strict=True)):
-                    if b > a:
-                        rows.append((k, blk, 1, _planes(docs[a:b]), _planes(hashes[a:b]), None))
+                first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+                each = np.diff(np.append(first, len(hashes)))
+                often = each >= COMMON
+                if often.any():
+                    passed = np.repeat(often, each)
+                    rows.append((blk % buckets, blk, 3, _planes(docs[passed]), _planes(hashes[passed]), None))
+                    rows += [(k, blk, 2, None, _planes(h), c.tobytes()) for k, h, c in _dealt(buckets, hashes[first[often]], each[often].astype(np.uint16))]
+                    hashes, docs = hashes[~passed], docs[~passed]
+                rows += [(k, blk, 1, _planes(d), _planes(h), None) for k, h, d in _dealt(buckets, hashes, docs)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
     return run
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """The postings of a hash range: of each n-gram that several documents hold, the class of its count, sent back to its blocks."""
+    """The postings of a hash range: of each n-gram that several documents hold, the class of its count, sent back to its blocks.
+
+    Kinds: 0 a block's description and 3 the documents of what is common there, both handed on; 1 postings; 2 counts of what is common in a block.
+    """
     kinds, blks = group.column("kind").to_pylist(), group.column("blk").to_pylist()
-    out = [(b, 0, None, None, x) for k, b, x in zip(kinds, blks, group.column("extra").to_pylist(), strict=True) if k == 0]
-    rows = [(b, d, h) for k, b, d, h in zip(kinds, blks, group.column("docs").to_pylist(), group.column("hashes").to_pylist(), strict=True) if k == 1]
+    every = list(zip(kinds, blks, *(group.column(c).to_pylist() for c in ("docs", "hashes", "extra")), strict=True))
+    out = [(b, k, d, h, x) for k, b, d, h, x in every if k in (0, 3)]
+    rows = [r for r in every if r[0] in (1, 2)]
     if rows:
-        parts = [_unplanes(h, np.uint64) for _, _, h in rows]
-        every = np.sort(np.concatenate(parts))
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        counts = np.diff(np.append(first, len(every)))
-        shared, counts = every[first][counts > 1], counts[counts > 1]
+        parts, counted = [_unplanes(r[3], np.uint64) for r in rows], []
+        for r, h in zip(rows, parts, strict=True):
+            if r[0] == 2:
+                counted.append((h, np.frombuffer(r[4], np.uint16).astype(np.int64)))
+            else:
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                counted.append((h[first], np.diff(np.append(first, len(h)))))
+        hashes, each = (np.concatenate(side) for side in zip(*counted, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes, each = hashes[order], each[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        counts = np.add.reduceat(each, first)
+        shared, counts = hashes[first][counts > 1], counts[counts > 1]
         classes = np.minimum(np.ceil(np.log2(counts)), 255).astype(np.uint8)
-        for (blk, docs, _), hashes in zip(rows, parts, strict=True):
+        for (kind, blk, docs, _, _), h in zip(rows, parts, strict=True):
             if not len(shared):
                 break
-            at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
-            keep = shared[at] == hashes
+            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+            keep = shared[at] == h
             if keep.any():
-                out.append((blk, 1, _planes(_unplanes(docs, np.uint16)[keep]), _planes(hashes[keep]), classes[at[keep]].tobytes()))
+                out.append((blk, kind, _planes(_unplanes(docs, np.uint16)[keep]) if kind == 1 else None, _planes(h[keep]), classes[at[keep]].tobytes()))
     cols = list(zip(*out, strict=True)) or [[]] * 5
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["blk", "kind", "docs", "hashes", "extra"])
 
@@ -118,9 +147,19 @@ def _nodes(threshold: int):
         meta = np.frombuffer(metas[0], np.int64).reshape(5, -1)
         ids, known, n, k1, k2 = meta
         shared = list(seen.values())
-        docs = np.concatenate([_unplanes(r["docs"], np.uint16) for r in shared]) if shared else np.zeros(0, np.uint16)
-        hashes = np.concatenate([_unplanes(r["hashes"], np.uint64) for r in shared]) if shared else np.zeros(0, np.uint64)
-        classes = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in shared]) if shared else np.zeros(0, np.uint8)
+        docs = [_unplanes(r["docs"], np.uint16) for r in shared]
+        hashes = [_unplanes(r["hashes"], np.uint64) for r in shared]
+        classes = [np.frombuffer(r["extra"], np.uint8) for r in shared]
+        common = next((r for r in rows if r["kind"] == 3), None)
+        if common:
+            counted = {r["hashes"]: r for r in rows if r["kind"] == 2}.values()
+            known_hashes = np.concatenate([_unplanes(r["hashes"], np.uint64) for r in counted])
+            order = np.argsort(known_hashes)
+            h = _unplanes(common["hashes"], np.uint64)
+            docs.append(_unplanes(common["docs"], np.uint16))
+            hashes.append(h)
+            classes.append(np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in counted])[order][np.searchsorted(known_hashes[order], h)])
+        docs, hashes, classes = (np.concatenate([np.zeros(0, t), *side]) for side, t in ((docs, np.uint16), (hashes, np.uint64), (classes, np.uint8)))
         order = np.lexsort((hashes, classes, docs))
         docs, hashes, classes = docs[order], hashes[order], classes[order]
         ends = np.searchsorted(docs, np.arange(len(n) + 1))
@@ -260,8 +299,8 @@ def _block_join(threshold: int):
 def ngram_nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Steps 1 and 2: every document with its set's size and key, and the shared n-grams of those that may link."""
     spark = docs.sparkSession
-    short_batches(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     packed = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_postings(width, buckets), _POSTINGS)
     shared = packed.groupBy("bucket").applyInArrow(_count, _SHARED)
     return shared.groupBy("blk").applyInArrow(_nodes(threshold), _NODES)
@@ -270,13 +309,14 @@ def ngram_nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_
 def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; threshold in hundredths."""
     nodes = staged(ngram_nodes(docs, width, threshold, id_col, text_col), "ngram-nodes")
-    first = nodes.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # Written before it is joined, so that a large group of equal sets can be split among tasks.
+    first = staged(nodes.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "ngram-equal")
     known = staged(nodes.select("doc_id", "n", "k1", "k2").join(first, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "ngram-reps")
     reps = known.where("doc_id = rep").select("doc_id").distinct()
     sets = staged(nodes.where("grams is not null").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "k1", "k2"]).drop("k1", "k2"), "ngram-sets")
 
     held = sets.select("doc_id", "own", F.explode("prefix").alias("gram"))
-    pivots = held.groupBy("gram").agg(F.min(F.struct("own", "doc_id")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select("gram", F.col("pivot.doc_id").alias("v"))
+    pivots = staged(held.groupBy("gram").agg(F.min(F.struct("own", "doc_id")).alias("pivot"), F.count("*").alias("c")).where("c > 1").select("gram", F.col("pivot.doc_id").alias("v")), "ngram-pivots")
     met = staged(held.join(pivots, "gram").select("doc_id", "v").distinct(), "ngram-met")
     sizes = sets.select("doc_id", "n")
     chunks = met.join(sizes, "doc_id").groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("grams")).select("v", F.greatest(F.ceil(F.col("c") / CHUNK_SETS), F.ceil(F.col("grams") / CHUNK_GRAMS)).cast("int").alias("chunks"))
