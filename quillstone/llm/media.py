@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short_batches, table
+from quillstone.llm.common import column, short, table
 from quillstone.llm.mpeg import scan, unwrap, wrap
 
 UNIT = 64
@@ -29,15 +29,14 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media)."""
-    short_batches(docs.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 500):
             raw = [(t.as_py() or "").encode() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([wrap(padded(r)) for r in raw], pa.binary())], [id_col, "n_bytes", "media"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
+    kind = docs.select(column(id_col)).schema[0].dataType.simpleString()
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, media binary")
 
 
 _FACTS = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, frames bigint, samples bigint, rate bigint, seconds_numerator bigint, seconds_denominator bigint, skipped_bytes bigint, failed_checksums bigint, table_frames bigint, seek_offsets array<bigint>"
@@ -59,7 +58,7 @@ def described(media: DataFrame, keep: list[str], media_col: str = "media") -> Da
         return (*(whole or (None, None, None)), len(raw), hashlib.sha256(raw).hexdigest(), len(s.offsets), s.samples, s.headers[0].rate if s.headers else None, s.duration.numerator, s.duration.denominator, s.skipped, s.failed, (s.vbr or {}).get("frames"), s.offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches, 500):
             cols = list(zip(*[facts(x.as_py()) for x in batch.column(len(keep))], strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], [*keep, *names])
 
@@ -70,4 +69,4 @@ def described(media: DataFrame, keep: list[str], media_col: str = "media") -> Da
 def op9_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = described(stored(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("table="), "table_frames"), F.concat(F.lit("samples="), "samples"), F.concat(F.lit("seconds="), "seconds_numerator", F.lit("/"), "seconds_denominator"), F.concat(F.lit("failed="), "failed_checksums"), F.concat(F.lit("seek="), F.md5(F.concat_ws(",", F.col("seek_offsets").cast("array<string>")))))
-    return facts.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return facts.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "frames", "samples", "rate", "seconds_numerator", "seconds_denominator", "seek_offsets")

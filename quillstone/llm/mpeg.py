@@ -1,13 +1,15 @@
 """MPEG audio streams: frame headers, tags, variable-bitrate tables and checksums.
 
 `wrap` stores bytes losslessly: each is the ancillary data of silent Layer III frames, the format's own place
-for other data, with a checksum in every frame, a tag that tells the number of bytes, and a Xing table.
+for other data, with a checksum in every frame, a tag that tells the number of bytes and their SHA-256, and a
+Xing table. A frame's checksum covers its header and side information only, so `unwrap` verifies the digest too.
 `scan` reads any MPEG-1, 2 or 2.5 stream of Layers I to III: it skips tags, looks for a header that another
-follows, and finds its way back after damage.
+follows, finds its way back after damage, and verifies the checksums of all three layers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from fractions import Fraction
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,6 +27,10 @@ RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000,
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 
 
+#: Layer II, fixed values of the format: bits of each subband's allocation, as (bits, subbands) from the lowest on.
+ALLOCATIONS = {"a": ((4, 11), (3, 12), (2, 4)), "b": ((4, 11), (3, 12), (2, 7)), "c": ((4, 2), (3, 6)), "d": ((4, 2), (3, 10)), "low": ((4, 4), (3, 7), (2, 19))}
+
+
 class Header(NamedTuple):
     version: float
     layer: int
@@ -35,6 +41,8 @@ class Header(NamedTuple):
     samples: int
     mono: bool
     side: int
+    #: Subbands that hold both channels apart; the rest share an allocation.
+    bound: int
 
 
 @lru_cache(1 << 12)
@@ -52,7 +60,8 @@ def header(raw: bytes) -> Header | None:
     length = (12 * bitrate // rate + padding) * 4 if layer == 1 else samples // 8 * bitrate // rate + padding
     mono = raw[3] >> 6 == 3
     side = 0 if layer != 3 else ((17 if mono else 32) if version == 1 else (9 if mono else 17))
-    return Header(version, layer, not raw[1] & 1, bitrate, rate, length, samples, mono, side)
+    bound = 4 * ((raw[3] >> 4 & 3) + 1) if raw[3] >> 6 == 1 else 32
+    return Header(version, layer, not raw[1] & 1, bitrate, rate, length, samples, mono, side, bound)
 
 
 @lru_cache(1 << 12)
@@ -66,6 +75,49 @@ def crc16(raw: bytes) -> int:
     return crc
 
 
+def _crc_bits(raw: bytes, bits: int) -> int:
+    """The checksum of so many leading bits."""
+    crc = crc16(raw[: bits // 8])
+    for k in range(bits % 8):
+        top = (crc >> 15 ^ raw[bits // 8] >> (7 - k)) & 1
+        crc = (crc << 1 ^ 0x8005 if top else crc << 1) & 0xFFFF
+    return crc
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in Layer II, by version, rate and bitrate for each channel."""
+    each = h.bitrate // (1 if h.mono else 2) // 1000
+    if h.version != 1:
+        name = "low"
+    elif each in (32, 48):
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in ALLOCATIONS[name] for _ in range(n)]
+
+
+def checksum(raw: bytes, at: int, h: Header) -> int:
+    """What a protected frame's checksum should be: over the header's last bytes, then Layer III's side information, Layer I's allocations, or Layer II's allocations and selections."""
+    body, channels = raw[at + 6 : at + h.length], 1 if h.mono else 2
+    if h.layer == 3:
+        bits = 8 * h.side
+    elif h.layer == 1:
+        bits = 4 * (32 if h.mono else 2 * h.bound + (32 - h.bound))
+    else:
+        value, size, bits, used = int.from_bytes(body[:48], "big"), 8 * min(48, len(body)), 0, 0
+        for band, width in enumerate(_allocation(h)):
+            for _ in range(channels if band < h.bound else 1):
+                bits += width
+                if bits > size:
+                    return -1
+                # A band that shares its allocation has a selection for each channel.
+                used += (channels if band >= h.bound else 1) * bool(value >> (size - bits) & ((1 << width) - 1))
+        bits += 2 * used
+    if bits > 8 * len(body):
+        return -1
+    return _crc_bits(raw[at + 2 : at + 4] + body[: -(-bits // 8)], 16 + bits)
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
 
@@ -114,7 +166,7 @@ def wrap(payload: bytes) -> bytes:
     for percent in range(100):
         toc.append(min(255, 256 * seen[percent * len(sizes) // 100] // total))
     table = b"Xing" + (15).to_bytes(4, "big") + len(frames).to_bytes(4, "big") + total.to_bytes(4, "big") + bytes(toc) + (0).to_bytes(4, "big")
-    return b"".join([text_tag({"payload_bytes": str(len(payload))}), (_head(7) + table).ljust(first, b"\0"), *frames])
+    return b"".join([text_tag({"payload_bytes": str(len(payload)), "payload_sha256": hashlib.sha256(payload).hexdigest()}), (_head(7) + table).ljust(first, b"\0"), *frames])
 
 
 class Stream(NamedTuple):
@@ -193,9 +245,9 @@ def scan(raw: bytes) -> Stream:
             skipped += found - at
             at = found
             continue
-        if h.protected and h.layer == 3:
+        if h.protected:
             checked += 1
-            failed += crc16(raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h.side]) != int.from_bytes(raw[at + 4 : at + 6], "big")
+            failed += checksum(raw, at, h) != int.from_bytes(raw[at + 4 : at + 6], "big")
         if not offsets and vbr is None and (vbr := _vbr(raw, at, h)) is not None:
             pass
         else:
@@ -214,4 +266,7 @@ def unwrap(raw: bytes, stream: Stream | None = None) -> bytes:
     out = b"".join([raw[a + 4 + 2 * h.protected + h.side : a + h.length] for a, h in zip(s.offsets, s.headers, strict=True)])
     if len(out) < size:
         raise ValueError("the stream is cut short")
-    return out[:size]
+    out = out[:size]
+    if hashlib.sha256(out).hexdigest() != s.tags["payload_sha256"]:
+        raise ValueError("the payload isn't the one that was stored")
+    return out
