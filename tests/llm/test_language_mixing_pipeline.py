@@ -1,14 +1,18 @@
 """Language ID, source mixing and the pipeline."""
 
+import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quillstone.llm.byte_gru import ByteGru
 from quillstone.llm.language_id import fit, op3_language_id, pooled, training_sample, with_language
-from quillstone.llm.mixing import DOMAINS, WEIGHTS, budgets, domain_of_source, mixed, op10_source_mixing, split
+from quillstone.llm.mixing import SOURCES, WEIGHTS, budgets, domain_of_source, mixed, op10_source_mixing
+from quillstone.llm.vocab import ByteBpe, default_path, loaded
 
 MIDDLE = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -61,12 +65,12 @@ def test_held_out_accuracy(spark):
 def test_language_edge_rows_and_no_leak(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").limit(400)
     odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", None, "s", 0), (-3, "12 34 !!", "xx", "s", 0), (None, "das ist ein Haus", None, None, 0), (-5, "wort " * 60_000, None, "s", 0)], DOCS)
-    out = {r.doc_id: r for r in with_language(docs.unionByName(odd)).select("doc_id", "_language.*").collect()}
+    out = {r.doc_id: r for r in with_language(docs.unionByName(odd)).select("doc_id", "language.*").collect()}
     assert all(out[d].lang_pred == "und" and out[d].score == 0 for d in (-1, -2, -3))
     assert out[None].lang_pred != "und" and out[-5].lang_pred != "und"
     sample = training_sample(docs, "doc_id", "text", "lang", 3, 2)
     assert sample.groupby("lang").size().max() <= 6
-    none = with_language(odd.where("doc_id = -5 or doc_id is null")).select("doc_id", "_language.*").collect()
+    none = with_language(odd.where("doc_id = -5 or doc_id is null")).select("doc_id", "language.*").collect()
     assert all(r.lang_pred == "und" for r in none), "nothing to learn from"
     assert with_language(spark.createDataFrame([], DOCS)).count() == 0
     assert fit(sample.iloc[:0]) is None
@@ -75,45 +79,141 @@ def test_language_edge_rows_and_no_leak(spark):
 # Mixing.
 
 
-def test_shortages_go_to_siblings_before_ancestors():
-    leaves = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 1000}
-    got = budgets(leaves, {}, 100, 1)
-    assert got == {("a", "x"): 10, ("a", "y"): 40, ("b", "z"): 50}
-    assert budgets(leaves, {}, 400, 1) == {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 290}
-    assert sum(budgets(leaves, {}, 10**6, 2).values()) == 2220
-    assert split(7, [1, 1, 1], [100, 100, 100]) == [3, 2, 2] and split(5, [0.0, 1.0], [9, 9]) == [0, 5]
-
-
-@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.7, 2), (1.0, 1)])
-def test_mixed_leaves_are_prefixes_within_budget(spark, share, epochs):
+def plain_split(amount, children):
+    """children: name -> (weight, most). Who takes all it can is found by trial, the rest is shared and rounded."""
+    out = dict.fromkeys(children, 0)
+    live = {n: (Fraction(str(w)), m) for n, (w, m) in children.items() if w > 0 and m > 0}
+    while live:
+        total = sum(w for w, _ in live.values())
+        full = [n for n, (w, m) in live.items() if amount * w / total >= m]
+        if not full:
+            shares = {n: amount * w / total for n, (w, _) in live.items()}
+            out |= {n: int(x) for n, x in shares.items()}
+            for n in sorted(shares, key=lambda n: (int(shares[n]) - shares[n], n))[: amount - sum(int(x) for x in shares.values())]:
+                out[n] += 1
+            break
+        for n in full:
+            out[n] = live.pop(n)[1]
+            amount -= out[n]
+    return out
+
+
+def plain_budgets(leaves, weights, total, epochs):
+    def most(path):
+        if weights.get(path, 1.0) <= 0 and path:
+            return 0
+        if len(path) == 3:
+            return leaves[path] * epochs
+        return sum(most(c) for c in {p[: len(path) + 1] for p in leaves if p[: len(path)] == path})
+
+    out = {}
+
+    def down(path, amount):
+        if len(path) == 3:
+            out[path] = amount
+            return
+        children = {p[: len(path) + 1] for p in leaves if p[: len(path)] == path}
+        for child, given in plain_split(amount, {c: (weights.get(c, 1.0), most(c)) for c in children}).items():
+            down(child, given)
+
+    down((), min(total, most(())))
+    return out
+
+
+def spark_budgets(spark, leaves, weights, total, epochs):
+    rows = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "domain string, lang string, source string, tokens bigint")
+    return {(r.domain, r.lang, r.source): r.budget for r in budgets(rows, weights, total, epochs).collect()}
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
+    leaves = {("a", "x", "s"): 10, ("a", "y", "s"): 100, ("b", "z", "s"): 1000}
+    assert list(spark_budgets(spark, leaves, {}, 100, 1).values()) == [10, 40, 50]
+    assert list(spark_budgets(spark, leaves, {}, 400, 1).values()) == [10, 100, 290]
+    assert sum(spark_budgets(spark, leaves, {}, 10**6, 2).values()) == 2220
+
+
+def test_children_of_weight_zero_count_nowhere(spark):
+    leaves = {("a", "en", "s"): 100, ("a", "fr", "s"): 900, ("b", "en", "s"): 1000}
+    assert spark_budgets(spark, leaves, {("a", "fr"): 0.0}, 1000, 1) == {("a", "en", "s"): 100, ("a", "fr", "s"): 0, ("b", "en", "s"): 900}
+    assert spark_budgets(spark, leaves, {("a",): 0.0}, 5000, 1) == {("a", "en", "s"): 0, ("a", "fr", "s"): 0, ("b", "en", "s"): 1000}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_are_those_of_plain_fractions(spark, seed):
+    """Random trees, weights with decimals and zeros, and token counts beyond the whole numbers of doubles."""
+    rng = random.Random(seed)
+    scale = (1, 1000, 10**16)[seed]
+    leaves = {(f"d{i}", f"l{j}", f"s{k}"): rng.randint(0, 9) * scale + rng.randint(0, 9) for i in range(3) for j in range(rng.randint(1, 3)) for k in range(rng.randint(1, 4))}
+    weights = {p[:d]: rng.choice([0.0, 0.25, 1.0, 1.5, 3.333333]) for p in leaves for d in (1, 2, 3)}
+    for share in (3, 10):
+        total = sum(leaves.values()) * share // 10
+        assert spark_budgets(spark, leaves, weights, total, 2) == plain_budgets(leaves, weights, total, 2)
+
+
+@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.7, 2), (1.0, 3)])
+def test_mixed_documents_are_those_of_sorted_leaves(spark, share, epochs):
+    """Each leaf sorted whole, its epochs walked one by one: the same documents, as often."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    every = {r.doc_id: r for r in docs.selectExpr("doc_id", "lang", "source", "cast(coalesce(regexp_count(text, '\\\\S+'), 0) as bigint) as n").collect()}
-    chosen = mixed(docs, domain_of_source, WEIGHTS, share, epochs, 17).collect()
-    leaves, used = {}, {}
-    crc = lambda s: DOMAINS[zlib.crc32((s or "").encode()) % 3]
-    for r in every.values():
-        key = (crc(r.source), r.lang or "", r.source or "")
-        leaves[key] = leaves.get(key, 0) + r.n
-    given = budgets(leaves, WEIGHTS, int(sum(leaves.values()) * share), epochs)
-    for r in chosen:
-        key = (r._domain, r.lang or "", r.source or "")
-        assert r._leaf_budget == given[key] and r._tokens == every[r.doc_id].n and 1 <= r._copies <= epochs
-        used[key] = used.get(key, 0) + r._tokens * r._copies
-    longest = max(r.n for r in every.values())
-    for key, n in given.items():
-        assert used.get(key, 0) <= n and n - used.get(key, 0) <= longest
-    again = mixed(docs.repartition(7), domain_of_source, WEIGHTS, share, epochs, 17).collect()
-    assert sorted((r.doc_id, r._copies) for r in again) == sorted((r.doc_id, r._copies) for r in chosen)
+    enc, seed = loaded(ByteBpe, default_path("byte_bpe_50k.json")), 17
+    weights = WEIGHTS | {("web", "fr"): 0.0, ("books",): 0.5}
+    domain = {s: d for d, ss in SOURCES.items() for s in ss}
+    leaves = {}
+    for r in docs.withColumn("u", F.xxhash64("doc_id", "text")).collect():
+        leaves.setdefault((domain.get(r.source, "other"), r.lang or "", r.source or ""), []).append((r.u, r.doc_id, len(enc.ids(r.text or ""))))
+    sums = {p: sum(n for _, _, n in rows) for p, rows in leaves.items()}
+    given = plain_budgets(sums, weights, int(sum(sums.values()) * Fraction(str(share))), epochs)
+    keys = spark.createDataFrame([(u, w) for rows in leaves.values() for u, _, _ in rows for w in range(epochs + 1)], "u bigint, w int")
+    key = {(r.u, r.w): r.k for r in keys.select("u", "w", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "w", "u"), 1).alias("k")).collect()}
+    want = {}
+    for p, rows in leaves.items():
+        left, epoch = given[p], 0
+        while sums[p] and left >= sums[p]:
+            left, epoch = left - sums[p], epoch + 1
+            for _, d, _ in rows:
+                want[d] = want.get(d, 0) + 1
+        for u, d, n in sorted(rows, key=lambda r: key[r[0], epoch]) if left else []:
+            left -= n
+            if left < 0:
+                break
+            want[d] = want.get(d, 0) + 1
+    chosen = mixed(docs.repartition(7), domain_of_source, weights, share, epochs, seed).collect()
+    assert {r.doc_id: r.copies for r in chosen if sums[r.domain, r.lang or "", r.source or ""]} == want
+    assert all(r.leaf_budget == given[r.domain, r.lang or "", r.source or ""] for r in chosen)
 
 
 def test_mixing_edge_rows(spark):
     rows = [(1, None, None, None, 0), (2, "", "en", "", 0), (3, "a b c", "en", "s1", 5), (3, "a b c", "en", "s1", 5), (None, "d e", "fr", None, 3)]
     out = mixed(spark.createDataFrame(rows, DOCS), domain_of_source, WEIGHTS, 1.0).collect()
-    assert sorted((r.doc_id or 0, r._tokens) for r in out) == [(0, 2), (1, 0), (2, 0), (3, 3), (3, 3)]
+    assert sorted((r.doc_id or 0, r.tokens) for r in out) == [(0, 2), (1, 0), (2, 0), (3, 3), (3, 3)]
     assert mixed(spark.createDataFrame([], DOCS), domain_of_source, WEIGHTS, 0.5).count() == 0
     assert op10_source_mixing(spark, SMALL).count() > 0
 
 
+CLASHING = ["removed", "n_lines", "_k", "_whole", "_tokens", "_u", "_copies", "_key", "_language", "language", "_before", "drop", "_d", "part", "d", "u", "k", "doc", "tokens", "copies", "domain", "leaf_budget", "key", "h", "line", "words", "_maybe", "_slot", "component_id", "n", "blk", "a.b", "a`b"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_carry_columns_of_any_name(spark, name):
+    base = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    docs = base.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    stage = dict(P.STAGES)[name]
+    out = stage(spark, docs, SMALL)
+    rows, plain = out.collect(), stage(spark, docs.select(*base.columns), SMALL).collect()
+    assert len(rows) == len(plain)
+    if name != "packing":
+        assert out.columns == docs.columns
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASHING)
+
+
+def test_ngram_stage_judges_rows_by_id_and_text(spark):
+    one, two = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(1, one), (1, two), (1, one), (2, one + " more"), (None, two + " more"), (None, "something else that nobody wrote before here"), (5, None), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    left = sorted(((r.doc_id, r.text) for r in P.ngram_stage(spark, docs, SMALL).collect()), key=str)
+    assert left == sorted([(1, one), (1, two), (None, rows[5][1]), (5, None), (6, ""), (7, None)], key=str)
+
+
 # The pipeline.
 
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 import zlib
 from fractions import Fraction
@@ -80,6 +81,21 @@ def test_special_strings_across_chunk_ends():
         assert spliced_ids(enc, text, chunk, 4).tolist() == enc.ids(text).tolist()
 
 
+@pytest.mark.parametrize("chars", [1_000_000, 4_000_000])
+def test_texts_without_blanks_take_linear_time(chars):
+    """A run without any boundary is encoded once: some four times as long for four times the text, and about what the library takes."""
+    rng = random.Random(chars)
+    text = "".join(rng.choices("abcdefgh", k=chars))
+    enc = loaded(ByteBpe, default_path("byte_bpe_50k.json"))
+    begin = time.perf_counter()
+    ids = spliced_ids(enc, text)
+    took = time.perf_counter() - begin
+    begin = time.perf_counter()
+    want = enc.ids(text)
+    assert (ids == want).all() and len(ids) == len(want)
+    assert took < 5 * (time.perf_counter() - begin) + 2
+
+
 def test_token_counts_of_odd_and_all_small_documents(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(0, None, "x"), (None, "b", "x")]
     out = token_counts(spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string"), chunk_chars=500, overlap_chars=16).collect()
@@ -272,6 +288,47 @@ def test_mpeg_finds_its_way_back_and_checks_frames():
     assert mpeg.scan(b"").samples == 0 and mpeg.scan(b"no audio at all").offsets == []
 
 
+def test_a_flipped_payload_byte_is_found():
+    stream = bytearray(mpeg.wrap(bytes(range(256)) * 4))
+    s = mpeg.scan(bytes(stream))
+    stream[s.offsets[0] + 4 + 2 + s.headers[0].side + 10] ^= 1
+    assert mpeg.scan(bytes(stream)).failed == 0, "no frame's checksum covers it"
+    with pytest.raises(ValueError, match="isn't the one"):
+        mpeg.unwrap(bytes(stream))
+
+
+@pytest.mark.parametrize("head,covered", [("fffe9404", 256), ("fffe94c4", 128), ("fffe9454", 160)])
+def test_checksums_of_layer_one(head, covered):
+    """Stereo, mono, and joint stereo whose subbands from the ninth on share an allocation of four bits."""
+    raw = bytes.fromhex(head)
+    h = mpeg.header(raw)
+    assert h.layer == 1 and h.protected
+    body = bytes(range(1, 40)).ljust(h.length - 6, b"\0")
+    crc = mpeg.crc16(raw[2:] + body[: covered // 8])
+    frame = raw + crc.to_bytes(2, "big") + body
+    assert mpeg.checksum(frame, 0, h) == crc and mpeg.scan(frame * 3).failed == 0
+    broken = bytearray(frame * 3)
+    broken[8] ^= 4
+    assert mpeg.scan(bytes(broken)).failed == 1
+
+
+def test_checksums_of_layer_two():
+    """192 kbit/s stereo at 44.1 kHz: 30 subbands, allocations of 4, 3 and 2 bits for each channel, and two bits more for each that isn't zero."""
+    raw = bytes.fromhex("fffca004")
+    h = mpeg.header(raw)
+    assert h.layer == 2 and [mpeg._allocation(h).count(n) for n in (4, 3, 2)] == [11, 12, 7]
+    bits = "".join(format(k % 3, "04b") for k in range(22)) + "000" * 24 + "00" * 14
+    used = sum(k % 3 > 0 for k in range(22))
+    covered = len(bits) + 2 * used
+    body = int((bits + "10" * used).ljust(8 * 60, "1"), 2).to_bytes(60, "big").ljust(h.length - 6, b"\0")
+    crc = 0xFFFF
+    for bit in format(int.from_bytes(raw[2:] + body, "big"), f"0{8 * (2 + len(body))}b")[: 16 + covered]:
+        top = (crc >> 15) ^ int(bit)
+        crc = ((crc << 1) ^ (0x8005 if top else 0)) & 0xFFFF
+    frame = raw + crc.to_bytes(2, "big") + body
+    assert mpeg.checksum(frame, 0, h) == crc and mpeg.scan(frame * 3).failed == 0
+
+
 def test_frame_lengths_of_known_headers():
     assert mpeg.header(bytes.fromhex("fffb9064")).length == 417  # 128 kbit/s at 44.1 kHz
     assert mpeg.header(bytes.fromhex("fffb9264")).length == 418  # padded
