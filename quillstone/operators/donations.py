@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from quillstone.operators.filters import DonationFilter
 
 
+def money(column: str = "amount") -> Column:
+    """The sum of amounts, in decimals until it is whole: no order of the rows changes it."""
+    return F.sum(F.col(column).cast("decimal(18, 4)")).cast("double")
+
+
 def bridge(sync: DataFrame, distinct: bool = False) -> DataFrame:
     out = sync.select("politician_id", "committee_id")
     return out.distinct() if distinct else out
@@ -27,7 +32,7 @@ def listed(donations: DataFrame, links: DataFrame, politicians: DataFrame, commi
 
 def rolled_up(rows: DataFrame, by: str) -> DataFrame:
     """by: contributor, employer or state; sums, counts and averages, and what else belongs to that view."""
-    sums = [F.sum("amount").alias("total_amount"), F.count("*").alias("count_donations"), F.avg("amount").alias("avg_amount")]
+    sums = [money().alias("total_amount"), F.count("*").alias("count_donations"), (money() / F.count("amount")).alias("avg_amount")]
     donors = F.count_distinct("contributor_name").alias("count_contributors")
     state = F.coalesce("contributor_state", F.lit("")).alias("contributor_state")
     if by == "contributor":
@@ -52,21 +57,21 @@ def with_issuers(donations: DataFrame, links: DataFrame, lookup: DataFrame, mapp
 
 def donor_context(matched: DataFrame, politician_id: str, sector: str, limit: int) -> DataFrame:
     rows = matched.where((F.col("politician_id") == politician_id) & (F.col("gics_sector") == sector))
-    return rows.groupBy("contributor_employer").agg(F.sum("amount").alias("total_amount"), F.count("*").alias("count_donations")).orderBy(F.desc("total_amount"), "contributor_employer").limit(limit)
+    return rows.groupBy("contributor_employer").agg(money().alias("total_amount"), F.count("*").alias("count_donations")).orderBy(F.desc("total_amount"), "contributor_employer").limit(limit)
 
 
 def sector_summary(matched: DataFrame, top: int = 5) -> DataFrame:
     """For each politician the sectors whose employees gave most, ranked."""
     from pyspark.sql import Window
 
-    sums = matched.where("gics_sector is not null").groupBy("politician_id", "gics_sector").agg(F.sum("amount").alias("total_amount"), F.count_distinct("contributor_employer").alias("count_employers"))
+    sums = matched.where("gics_sector is not null").groupBy("politician_id", "gics_sector").agg(money().alias("total_amount"), F.count_distinct("contributor_employer").alias("count_employers"))
     order = Window.partitionBy("politician_id").orderBy(F.desc("total_amount"), "gics_sector")
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def totals(rows: DataFrame) -> DataFrame:
     """Each politician's total and count; no row where there is no amount."""
-    return rows.groupBy("politician_id").agg(F.sum("amount").alias("total_amount"), F.count("*").alias("count_donations")).where("total_amount is not null")
+    return rows.groupBy("politician_id").agg(money().alias("total_amount"), F.count("*").alias("count_donations")).where("total_amount is not null")
 
 
 def unmatched_employers(donations: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def trade_correlation(trades: DataFrame, matched: DataFrame, min_confidence: flo
     Trades and donations are each summed by (politician, ticker) before they meet, so neither multiplies the other.
     """
     gifts = matched.where(F.col("confidence") >= min_confidence).dropDuplicates(["sub_id", "politician_id", "issuer_ticker"]).groupBy("politician_id", F.col("issuer_ticker").alias("ticker")).agg(
-        F.count_distinct("sub_id").alias("count_donations"), F.sum("amount").alias("total_amount"), F.avg("confidence").alias("avg_confidence"),
+        F.count_distinct("sub_id").alias("count_donations"), money().alias("total_amount"), F.avg("confidence").alias("avg_confidence"),
         F.array_join(F.array_sort(F.collect_set("contributor_employer")), ", ").alias("employers"))
     deals = trades.groupBy("politician_id", "ticker").agg(F.count("*").alias("count_trades"))
     return gifts.join(deals, ["politician_id", "ticker"]).where("count_donations > 0")

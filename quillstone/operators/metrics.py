@@ -47,11 +47,19 @@ def politician_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def with_percentile(df: DataFrame, by: str = "avg_return", tie: str = "politician_id", name: str = "percentile") -> DataFrame:
-    """1.0 for the best down to 0.0; rows in a tie get values of their own, in order of `tie`. One row for each politician, so the window is small."""
-    everyone = Window.partitionBy(F.lit(1))
-    place = F.row_number().over(everyone.orderBy(F.col(by).desc_nulls_last(), tie)) - 1
-    n = F.count("*").over(everyone)
-    return df.withColumn(name, F.when(n > 1, 1 - place / (n - 1)).otherwise(1.0))
+    """1.0 for the best down to 0.0; rows in a tie get values of their own, in order of `tie`; nulls come last.
+
+    Rows are numbered within bands of the score, evenly wide on a logarithmic scale, and set off by the number
+    of rows in better bands: no task holds more than a band, and only the bands' counts meet in one place.
+    """
+    # The inverse hyperbolic sine is logarithmic on both sides of 0; a null's band is beyond all others.
+    banded = df.withColumn("_band", F.coalesce(-F.floor(F.asinh(F.col(by)) * 16), F.lit(1 << 40)))
+    rows = banded.withColumn("_row", F.row_number().over(Window.partitionBy("_band").orderBy(F.col(by).desc_nulls_last(), tie)))
+    every = Window.partitionBy(F.lit(1))
+    sizes = banded.groupBy("_band").agg(F.count("*").alias("_c")).select(F.col("_band").alias("_b"), (F.sum("_c").over(every.orderBy("_band")) - F.col("_c")).alias("_before"), F.sum("_c").over(every).alias("_all"))
+    place = F.col("_before") + F.col("_row") - 1
+    out = rows.join(sizes, F.col("_band") == F.col("_b")).withColumn(name, F.when(F.col("_all") > 1, 1 - place / (F.col("_all") - 1)).otherwise(1.0))
+    return out.drop("_band", "_row", "_b", "_before", "_all")
 
 
 SORTS = {"return": lambda: F.col("avg_return"), "win-rate": lambda: F.col("win_rate"), "alpha": lambda: F.coalesce("avg_alpha_spy", "avg_alpha_sector")}

@@ -185,7 +185,7 @@ _add("committee_conflict_score", lambda d: conflicts.committee_scores(closed(d),
 # Donations.
 _GIFTS = "donations d join (select politician_id, committee_id from donation_sync) b using (committee_id) join politicians p using (politician_id) left join fec_committees c using (committee_id)"
 _G_TABLES = ("politicians", "donations", "donation_sync", "fec_committees")
-_SUMS = "round(sum(amount), 2) as total_amount, count(*) as count_donations, round(avg(amount), 4) as avg_amount"
+_SUMS = "round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as total_amount, count(*) as count_donations, round((cast(sum(cast(amount as decimal(18, 4))) as double) / count(amount)), 4) as avg_amount"
 _add("donations_detail", lambda d: donations.listed(d.donations, donations.bridge(d.donation_sync), d.politicians, d.fec_committees, DonationFilter(min_amount=50.0, employer="corp", cycle=2024), 200).select("sub_id", "politician_id", "full_name", "committee_name", "contributor_name", "amount"),
      f"select sub_id, politician_id, full_name, c.name as committee_name, contributor_name, amount from {_GIFTS} where amount >= 50 and contributor_employer ilike '%corp%' and d.cycle = 2024 order by amount desc, sub_id, politician_id limit 200", *_G_TABLES)
 _add("donations_by_contributor", lambda d: donations.rolled_up(gifts(d), "contributor").select("contributor_name", "contributor_state", *_round_sums(), "max_amount", "first_date", "last_date"),
@@ -196,15 +196,15 @@ _add("donations_by_state_once", lambda d: donations.rolled_up(donations.listed(d
 _MATCHED = "donations d join employer_lookup l on lower(trim(d.contributor_employer)) = l.raw_employer_lower join employer_mappings m using (normalized_employer) join issuers i on i.ticker = m.issuer_ticker join (select politician_id, committee_id from donation_sync) b using (committee_id)"
 _M_TABLES = ("politicians", "donations", "donation_sync", "employer_lookup", "employer_mappings", "issuers")
 _add("donor_context", lambda d: donations.donor_context(matched_gifts(d), "P000004", "Consumer Staples", 5).select("contributor_employer", F.round("total_amount", 2).alias("total_amount"), "count_donations"),
-     f"select contributor_employer, round(sum(amount), 2) as total_amount, count(*) as count_donations from {_MATCHED} where politician_id = 'P000004' and gics_sector = 'Consumer Staples' group by 1 order by sum(amount) desc, 1 limit 5", *_M_TABLES)
+     f"select contributor_employer, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as total_amount, count(*) as count_donations from {_MATCHED} where politician_id = 'P000004' and gics_sector = 'Consumer Staples' group by 1 order by cast(sum(cast(amount as decimal(18, 4))) as double) desc, 1 limit 5", *_M_TABLES)
 _add("donation_sector_summary", lambda d: donations.sector_summary(matched_gifts(d)).select("politician_id", "gics_sector", F.round("total_amount", 2).alias("total_amount"), "count_employers", F.col("rank").cast("bigint").alias("rank")),
-     f"""+ s as (select politician_id, gics_sector, round(sum(amount), 2) as total_amount, count(distinct contributor_employer) as count_employers, row_number() over (partition by politician_id order by sum(amount) desc, gics_sector) as rank from {_MATCHED} where gics_sector is not null group by 1, 2)
+     f"""+ s as (select politician_id, gics_sector, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as total_amount, count(distinct contributor_employer) as count_employers, row_number() over (partition by politician_id order by cast(sum(cast(amount as decimal(18, 4))) as double) desc, gics_sector) as rank from {_MATCHED} where gics_sector is not null group by 1, 2)
      select * from s where rank <= 5""", *_M_TABLES)
-_add("donation_totals", lambda d: donations.totals(gifts(d)).select("politician_id", F.round("total_amount", 2).alias("total_amount"), "count_donations"), f"select politician_id, round(sum(amount), 2) as total_amount, count(*) as count_donations from {_GIFTS} group by 1 having sum(amount) is not null", *_G_TABLES)
+_add("donation_totals", lambda d: donations.totals(gifts(d)).select("politician_id", F.round("total_amount", 2).alias("total_amount"), "count_donations"), f"select politician_id, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as total_amount, count(*) as count_donations from {_GIFTS} group by 1 having cast(sum(cast(amount as decimal(18, 4))) as double) is not null", *_G_TABLES)
 _add("unmatched_employers", lambda d: donations.unmatched_employers(d.donations, d.employer_lookup), "select distinct contributor_employer from donations d where contributor_employer is not null and contributor_employer <> '' and not exists (select 1 from employer_lookup l where l.raw_employer_lower = lower(d.contributor_employer))", "donations", "employer_lookup")
 _add("donation_trade_correlation", lambda d: donations.trade_correlation(d.trades, matched_gifts(d).withColumn("confidence", F.col("confidence").cast("double")), 0.8).select("politician_id", "ticker", "count_donations", F.round("total_amount", 2).alias("total_amount"), *r4("avg_confidence"), "employers", "count_trades"),
      f"""+ g as (select distinct sub_id, politician_id, issuer_ticker as ticker, amount, cast(confidence as double) as confidence, contributor_employer from {_MATCHED} where confidence >= 0.8),
-     a as (select politician_id, ticker, count(distinct sub_id) as count_donations, round(sum(amount), 2) as total_amount, round(avg(confidence), 4) as avg_confidence, string_agg(distinct contributor_employer, ', ' order by contributor_employer) as employers from g group by 1, 2),
+     a as (select politician_id, ticker, count(distinct sub_id) as count_donations, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as total_amount, round(avg(confidence), 4) as avg_confidence, string_agg(distinct contributor_employer, ', ' order by contributor_employer) as employers from g group by 1, 2),
      t as (select politician_id, ticker, count(*) as count_trades from trades group by 1, 2) select politician_id, ticker, count_donations, total_amount, avg_confidence, employers, count_trades from a join t using (politician_id, ticker)""", *_M_TABLES, "trades")
 _add("donations_min_amount_by_party", lambda d: gifts(d).where(any_of("party", ("democrat", "republican")) & (F.col("amount") >= 20)).groupBy("party").agg(F.count("*").alias("n")), f"select party, count(*) as n from {_GIFTS} where party in ('democrat', 'republican') and amount >= 20 group by 1", *_G_TABLES)
 
@@ -298,7 +298,7 @@ _add("merge_trades", lambda d: _merged(d).select("tx_id", "asset_type", "value",
      """+ s as (select tx_id, asset_type, value, comment, current_price from trades where tx_date < date '2000-01-01'),
      n as (select tx_id, case when value % 2 = 0 then 'unknown' else asset_type end as asset_type, value + 1 as value, case when value % 3 = 0 then comment end as comment from trades where tx_date >= date '1999-01-01')
      select coalesce(n.tx_id, s.tx_id) as tx_id, case when n.asset_type <> 'unknown' then n.asset_type else coalesce(s.asset_type, n.asset_type) end as asset_type, coalesce(n.value, s.value) as value, coalesce(n.comment, s.comment) as comment, round(s.current_price, 4) as current_price from s full join n on s.tx_id = n.tx_id""", "trades")
-_add("merge_donations_dedup", lambda d: merge.insert_donations(d.donations.where("cast(sub_id as bigint) % 3 = 0"), d.donations.unionByName(d.donations)).groupBy("committee_id").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount")), "select committee_id, count(*) as n, round(sum(amount), 2) as amount from donations group by 1", "donations")
+_add("merge_donations_dedup", lambda d: merge.insert_donations(d.donations.where("cast(sub_id as bigint) % 3 = 0"), d.donations.unionByName(d.donations)).groupBy("committee_id").agg(F.count("*").alias("n"), F.round(donations.money(), 2).alias("amount")), "select committee_id, count(*) as n, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as amount from donations group by 1", "donations")
 _add("backfill_shares", lambda d: merge.backfill_shares(d.trades.select("tx_id", "value", F.col("price").alias("trade_date_price"), F.when(F.col("asset_type") == "stock", F.col("shares")).alias("estimated_shares"))).select("tx_id", *r4("estimated_shares")), "select tx_id, round(case when asset_type = 'stock' then shares when price > 0 and value > 0 then value / price end, 4) as estimated_shares from trades", "trades")
 _add("membership_replace", lambda d: merge.replace_memberships(d.politician_committees.unionByName(d.politician_committees), d.politicians.where("chamber = 'house'")), "select politician_id, committee from politician_committees where politician_id in (select politician_id from politicians where chamber = 'house')", "politicians", "politician_committees")
 _add("orphan_donations", lambda d: merge.orphans(d.donations, d.fec_committees, "committee_id").groupBy("committee_id").agg(F.count("*").alias("n")), "select committee_id, count(*) as n from donations where committee_id not in (select committee_id from fec_committees) group by 1", "donations", "politicians", "donation_sync", "fec_committees")
@@ -321,4 +321,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in _QUERIES.items() if sql is not None}
+    from quillstone.streaming import incremental
+
+    from quillstone.streaming import incremental
+
+    return {n: sql for n, (_, sql) in _QUERIES.items() if sql is not None} | incremental.oracle_sql() | incremental.oracle_sql()

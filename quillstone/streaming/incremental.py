@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    """State and sinks live in the shared folder that the session names; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstone-")
+    """State and sinks live in the shared folder that the session names. Where it names none, a session in local mode gets a temporary one; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="quillstone-")
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -21,33 +25,76 @@ def read_new(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def upsert_stream(rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str) -> None:
-    """Merges each micro-batch into versions of a table: a batch that is run again writes the same version, so the merge is exactly once."""
+def upsert_stream(rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str, keep: int = 2) -> None:
+    """Merges each micro-batch into versions of a table: a batch that is run again writes the same version, so the merge is exactly once. Only the newest `keep` versions stay."""
     spark = rows.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
         stored = latest(spark, target, number)
         out = batch if stored is None else merge(stored, batch)
         out.write.mode("overwrite").parquet(f"{target}/v={number:09d}")
+        fs, path = _files(spark, target)
+        for old in _versions(spark, target)[:-keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, old), True)
 
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of a table (older than a batch number)."""
+def append_stream(rows: DataFrame, keys: list[str], target: str, checkpoint: str) -> None:
+    """Appends the rows of each micro-batch whose keys are new: a batch adds one folder of its own and reads only the keys of those before, so no batch rewrites the table."""
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        first = batch.dropDuplicates(keys)
+        before = [v for v in _versions(spark, target) if int(v[2:]) < number]
+        if before:
+            first = first.join(spark.read.schema(batch.schema).parquet(*[f"{target}/{v}" for v in before]).select(*keys), keys, "left_anti")
+        first.write.mode("overwrite").parquet(f"{target}/v={number:09d}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _files(spark: SparkSession, target: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, target: str) -> list[str]:
+    fs, path = _files(spark, target)
     if not fs.exists(path):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
-    names = [n for n in names if before is None or int(n[2:]) < before]
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
+
+
+def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table (older than a batch number)."""
+    names = [n for n in _versions(spark, target) if before is None or int(n[2:]) < before]
     return spark.read.parquet(f"{target}/{names[-1]}") if names else None
 
 
-def volume_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
-    """Counts and sums by window and type; rows later than the watermark are left out."""
+def volume_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str | None = "2 hours") -> DataFrame:
+    """Counts and sums by window and type. With a watermark rows later than that are left out, and in append mode a window comes out once it has passed; late=None takes all rows."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+    total = F.sum(F.col("value").cast("decimal(18, 4)")).cast("double")
+    marked = events.withWatermark("ts", late) if late else events
+    return marked.groupBy(w, "event_type").agg(F.count("*").alias("n"), total.alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+
+
+def changes_stream(rows: DataFrame, target: str, checkpoint: str) -> None:
+    """Keeps what an aggregation in update mode changes, a folder for each micro-batch; nothing is rewritten."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/v={number:09d}")
+
+    rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def current(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last state of each key that changes_stream wrote."""
+    rows = spark.read.parquet(target)
+    values = [c for c in rows.columns if c not in (*keys, "v")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "v").alias("last"))
+    return last.select(*keys, "last.*")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -61,21 +108,27 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_volume_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of the events, closed or still open when they end."""
     base = _folder(spark)
-    out = volume_windows(_events(spark, sf_dir))
-    out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    changes_stream(volume_windows(_events(spark, sf_dir), late=None), f"{base}/out", f"{base}/state")
+    return current(spark, f"{base}/out", ["start", "end", "event_type"])
 
 
 def stream_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as donations, in batches: the first of each sub_id stays."""
-    from quillstone.operators.merge import insert_donations
-
     base = _folder(spark)
     rows = _events(spark, sf_dir).select(F.col("event_id").cast("string").alias("sub_id"), F.col("user_id"), F.col("value").alias("amount"))
-    upsert_stream(rows, insert_donations, f"{base}/donations", f"{base}/state")
-    return latest(spark, f"{base}/donations")
+    append_stream(rows, ["sub_id"], f"{base}/donations", f"{base}/state")
+    return spark.read.parquet(f"{base}/donations").drop("v")
 
 
 def queries() -> dict:
     return {"stream_volume_window": stream_volume_window, "stream_incremental_ingest": stream_incremental_ingest}
+
+
+def oracle_sql() -> dict[str, str]:
+    start = "time_bucket(interval '1 hour', cast(ts as timestamp))"
+    return {
+        "stream_volume_window": f"select {start} as start, {start} + interval '1 hour' as \"end\", event_type, count(*) as n, cast(sum(cast(value as decimal(18, 4))) as double) as total from events group by all",
+        "stream_incremental_ingest": "select cast(event_id as string) as sub_id, user_id, value as amount from events",
+    }
