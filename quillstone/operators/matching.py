@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import committee_class, employer_name, is_no_employer
@@ -10,28 +10,57 @@ from quillstone.functions.similarity import jaro_winkler
 
 #: Names shorter than this match exactly or not at all; similarity a fuzzy match needs.
 LEAST_LETTERS, THRESHOLD = 5, 0.85
-#: Issuers beyond this number are not broadcast: names then meet by equal first letters only through a shuffle.
-BROADCAST_ISSUERS = 100_000
+
+
+def _letters(name: str) -> Column:
+    """The letters of a name, each with its number among equal ones, scarce ones (later numbers) first: two names have as many such in common as letters."""
+    chars = F.filter(F.split(name, ""), lambda c: c != "")
+    return F.array_sort(F.transform(chars, lambda c, i: F.concat(F.lpad((F.lit(99) - F.least(F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)), F.lit(99))).cast("string"), 2, "0"), c)))
+
+
+def _least_jaro(threshold: float, same: int) -> float:
+    """What Jaro must be at least where so many first letters are equal: they add a tenth of the rest each, but only above 0.7."""
+    return min(threshold, max(0.7, (threshold - 0.1 * same) / (1 - 0.1 * same)))
+
+
+def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of names that may reach the threshold, a superset of those that do, by equality joins.
+
+    Jaro of names with m letters in common is at most (m / |a| + m / |b| + 1) / 3. Names with an equal first
+    letter meet by it. All others get nothing for their beginning, so they need more letters in common: of
+    the letters in one order they share one among the first |a| - least + 1 of each. What meets is held
+    against the bound by its letters before it is scored.
+    """
+    shape = lambda df, c: df.select(F.col(c), F.length(c).alias(f"n{c}"), _letters(c).alias(f"l{c}"))
+    one, two = shape(left, "a"), shape(right, "b")
+    apart = max(0.0, 3 * _least_jaro(threshold, 0) - 2)
+    prefix = lambda df, c: df.withColumn("key", F.explode(F.slice(f"l{c}", F.lit(1), F.greatest(F.lit(0), F.col(f"n{c}") - F.greatest(F.lit(1), F.ceil(F.col(f"n{c}") * apart - 1e-9)) + 1).cast("int"))))
+    begin = lambda df, c: df.withColumn("key", F.substring(c, 1, 1))
+    met = begin(one, "a").join(begin(two, "b"), "key").unionByName(prefix(one, "a").join(prefix(two, "b"), "key").where(F.substring("a", 1, 1) != F.substring("b", 1, 1)))
+    same = F.lit(4)
+    for k in (4, 3, 2, 1):
+        same = F.when(F.substring("a", 1, k) != F.substring("b", 1, k), k - 1).otherwise(same)
+    least = F.element_at(F.array(*[F.lit(3 * _least_jaro(threshold, k) - 1) for k in range(5)]), same + 1)
+    common = F.size(F.array_intersect("la", "lb"))
+    return met.where(common * (1 / F.col("na") + 1 / F.col("nb")) >= least - 1e-9).select("a", "b").distinct()
 
 
 def match_employers(employers: DataFrame, issuers: DataFrame, threshold: float = THRESHOLD, column: str = "contributor_employer") -> DataFrame:
     """(employer, normalized, issuer_id, ticker, confidence, match_type) of the best issuer for each distinct employer.
 
-    Names that are no employer go first, then equal names match, and only what is left meets every issuer,
-    once for each distinct name. The issuers are a table of fixed, checked size and stand on every executor.
+    Names that are no employer go first, then equal names match, and only what is left is compared, each
+    distinct name once with each issuer's distinct name that may be near enough.
     """
     raw = employers.where(F.col(column).isNotNull() & ~is_no_employer(column)).select(F.col(column).alias("employer")).distinct().withColumn("normalized", employer_name("employer")).where("normalized != ''")
     names = issuers.where("issuer_name is not null and issuer_name != ''").select("issuer_id", "ticker", employer_name("issuer_name").alias("issuer"))
     distinct = raw.select("normalized").distinct()
     exact = distinct.join(names, F.col("normalized") == F.col("issuer")).groupBy("normalized").agg(F.min(F.struct("issuer_id", "ticker")).alias("m")).select("normalized", "m.*", F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_type"))
     rest = distinct.join(exact, "normalized", "left_anti").where(F.octet_length("normalized") >= LEAST_LETTERS)
-    few = names.limit(BROADCAST_ISSUERS + 1).count() <= BROADCAST_ISSUERS
-    side = F.broadcast(names) if few else names.repartition("issuer_id")
-    # Jaro is at most (2 + shorter / longer) / 3, and the common beginning adds at most 0.4 of the rest.
-    ratio = max(0.0, 3 * (threshold - 0.4) / 0.6 - 2)
-    near = F.least(F.length("issuer"), F.length("normalized")) >= F.greatest(F.length("issuer"), F.length("normalized")) * ratio
-    scored = rest.join(side, near).withColumn("score", jaro_winkler("normalized", "issuer")).where(F.col("score") >= threshold)
-    fuzzy = scored.groupBy("normalized").agg(F.max_by(F.struct("issuer_id", "ticker", "score"), F.struct("score", -F.col("issuer_id"))).alias("m")).select("normalized", "m.issuer_id", "m.ticker", F.col("m.score").alias("confidence"), F.lit("fuzzy").alias("match_type"))
+    pairs = near_names(rest.select(F.col("normalized").alias("a")), names.select(F.col("issuer").alias("b")).distinct(), threshold)
+    scored = pairs.withColumn("score", jaro_winkler("a", "b")).where(F.col("score") >= threshold)
+    # Of issuers that share a name, the one of the smallest id.
+    first = names.groupBy("issuer").agg(F.min(F.struct("issuer_id", "ticker")).alias("m")).select(F.col("issuer").alias("b"), "m.*")
+    fuzzy = scored.join(first, "b").groupBy(F.col("a").alias("normalized")).agg(F.max_by(F.struct("issuer_id", "ticker", "score"), F.struct("score", -F.col("issuer_id"))).alias("m")).select("normalized", "m.issuer_id", "m.ticker", F.col("m.score").alias("confidence"), F.lit("fuzzy").alias("match_type"))
     return raw.join(exact.unionByName(fuzzy), "normalized").select("employer", "normalized", "issuer_id", "ticker", "confidence", "match_type")
 
 

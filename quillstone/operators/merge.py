@@ -131,6 +131,58 @@ def update_prices(stored: DataFrame, found: DataFrame, at: str | dt.datetime) ->
     return upsert(stored, found.withColumn("price_enriched_at", F.lit(at).cast("timestamp")), ["tx_id"], {"price_source": fill})
 
 
+def update_benchmark_prices(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Benchmark prices found for trades, null or not; nothing else of them changes. found: (tx_id, benchmark_price)."""
+    return upsert(stored, found.select("tx_id", "benchmark_price").join(stored.select("tx_id"), "tx_id", "left_semi"), ["tx_id"])
+
+
+def update_current_prices(stored: DataFrame, found: DataFrame, at: str | dt.datetime) -> DataFrame:
+    """Current prices of tickers, on all their trades, which are stamped. found: (ticker, price)."""
+    new_prices = found.dropDuplicates(["ticker"]).select("ticker", F.col("price").alias("_p"), F.lit(True).alias("_there"))
+    out = stored.join(new_prices, "ticker", "left")
+    values = {"current_price": F.when(F.col("_there"), F.col("_p")).otherwise(F.col("current_price")), "price_enriched_at": F.when(F.col("_there"), F.lit(at).cast("timestamp")).otherwise(F.col("price_enriched_at"))}
+    return out.withColumns(values).select(*stored.columns)
+
+
+def upsert_stats(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Counts of politicians or issuers: the incoming row replaces the stored one whole."""
+    return upsert(stored, incoming, [key])
+
+
+def upsert_positions(stored: DataFrame, computed: DataFrame, at: str | dt.datetime) -> DataFrame:
+    """Positions by politician and ticker: what was computed replaces what was stored and is stamped; others stay."""
+    return upsert(stored, computed.withColumn("last_updated", F.lit(at).cast("timestamp")), ["politician_id", "ticker"])
+
+
+def upsert_mappings(stored: DataFrame, found: DataFrame, cycle: int, at: str | dt.datetime) -> DataFrame:
+    """Candidate ids of politicians: the person's id and the cycle anew, known committees stay."""
+    rows = found.withColumns({"election_cycle": F.lit(cycle).cast("int"), "last_synced": F.lit(at).cast("timestamp")})
+    return upsert(stored, rows, ["politician_id", "fec_candidate_id"], {"committee_ids": fill})
+
+
+def update_committees(stored: DataFrame, politician_id: str, committees: list[str], at: str | dt.datetime) -> DataFrame:
+    """The committee ids of all of a politician's mappings."""
+    his = F.col("politician_id") == politician_id
+    return stored.withColumns({"committee_ids": F.when(his, F.array(*map(F.lit, committees))).otherwise(F.col("committee_ids")), "last_synced": F.when(his, F.lit(at).cast("timestamp")).otherwise(F.col("last_synced"))})
+
+
+def upsert_fec_committees(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Committees by id; the cycles are kept as JSON text."""
+    rows = incoming.withColumn("cycles", F.to_json("cycles")) if dict(incoming.dtypes).get("cycles", "string") != "string" else incoming
+    return upsert(stored, rows, ["committee_id"])
+
+
+def update_issuer_details(stored: DataFrame, detail: DataFrame, at: str | dt.datetime) -> DataFrame:
+    """Issuers from their detail pages: what a page lacks stays, and every issuer with a page is stamped."""
+    known = detail.join(stored.select("issuer_id"), "issuer_id", "left_semi").withColumn("enriched_at", F.lit(at).cast("timestamp"))
+    return upsert(stored, known, ["issuer_id"], {"enriched_at": new}, fill)
+
+
+def replace_performance(stored: DataFrame, feed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Performance rows of the issuers in a feed: a whole performance replaces what is stored, an incomplete or missing one removes it. The same goes for prices: use replace_children with the issuers of the feed."""
+    return replace_children(stored, complete_performance(feed, fields), feed.select(F.col("_issuerId").alias("issuer_id")), "issuer_id")
+
+
 def apply_sectors(issuers: DataFrame, mappings: DataFrame) -> DataFrame:
     """Sets gics_sector by ticker, with or without :US. mappings: (ticker, sector)."""
     names = mappings.select(F.regexp_replace("ticker", ":US$", "").alias("_t"), F.col("sector").alias("_s"))

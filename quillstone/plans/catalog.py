@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quillstone.functions import scalars
 from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads
 from quillstone.operators.filters import DonationFilter, IssuerFilter, PoliticianFilter, PortfolioFilter, TradeFilter, any_of
-from quillstone.sources.adapters import AS_OF, Domain, ctes
+from quillstone.sources import exports, pages, seeds
+from quillstone.sources.adapters import AS_OF, JURISDICTIONS, Domain, ctes
 
 _QUERIES: dict[str, tuple[Callable[[Domain], DataFrame], str | None]] = {}
 
@@ -310,6 +311,40 @@ _add("compact_number_parse", lambda d: d.trades.select("tx_id", scalars.format_v
      "+ v as (select tx_id, case when value >= 1000000 then printf('$%.1fM', value / 1e6) when value >= 1000 then printf('$%.1fK', value / 1e3) else '$' || value end as shown from trades) select tx_id, shown, cast(round(cast(regexp_replace(shown, '[$KM]', '', 'g') as double) * case when shown like '%M' then 1e6 when shown like '%K' then 1e3 else 1 end) as bigint) as read from v", "trades")
 
 
+# Tables kept by hand, and pages: the texts are made of the domain tables, the SQL reads those tables.
+_SECTOR_FILE = "mappings:\n" + "".join(f"  - ticker: BR{i:02d}{':US' if i % 2 else ''}\n    sector: {'energy' if i % 3 else 'Health Care'}\n" for i in range(1, 20))
+_ALIAS_FILE = "aliases:\n" + "".join(f'  - from: "BR{i:02d}"\n    to: {"~" if i % 4 == 0 else f"X{i}"}\n' for i in range(1, 30, 3))
+_COMMITTEE_FILE = "committees:\n" + "".join(f"  - committee_name: {c}\n    chamber: {'House' if c.startswith('h') else 'Senate'}\n    full_name: Committee {i}\n    sectors: [{', '.join(x.upper() for x in ss)}]\n" for i, (c, ss) in enumerate(JURISDICTIONS))
+_EMPLOYER_FILE = "".join(f'[[mapping]]\nemployer_names = ["Brand {i} Holdings Inc", "BRAND {i} HOLDINGS LLC"]\nissuer_ticker = "BR{i:02d}"\nsector = "Energy"\nconfidence = 1.0\n' for i in (2, 7, 12, 3, 99))
+_add("sectors_from_file", lambda d: merge.apply_sectors(d.issuers, seeds.sector_mappings(d.spark, _SECTOR_FILE)).select("issuer_id", "ticker", "gics_sector"),
+     "select issuer_id, ticker, case when issuer_id between 1 and 19 then case when issuer_id % 3 = 0 then 'Health Care' else 'Energy' end else gics_sector end as gics_sector from issuers", "issuers")
+_add("committee_sectors_from_file", lambda d: conflicts.committee_sectors(d.politician_committees, seeds.jurisdictions(d.spark, _COMMITTEE_FILE).select("entry", "committee", "sector")).select("politician_id", F.array_join("sectors", ", ").alias("sectors")),
+     f"+ {_FIRST} select politician_id, string_agg(distinct sector, ', ' order by sector) as sectors from seats group by 1", "politician_committees", "jurisdictions")
+_add("ticker_aliases", lambda d: pricing.resolved_tickers(d.trades.select("tx_id", "ticker"), seeds.ticker_aliases(d.spark, _ALIAS_FILE)).select("tx_id", "ticker", "price_ticker"),
+     "select tx_id, ticker, case when (issuer_id - 1) % 3 = 0 and issuer_id < 30 then case when issuer_id % 4 = 0 then null else 'X' || issuer_id end else ticker end as price_ticker from trades", "trades")
+_add("employers_from_file", lambda d: d.donations.where("contributor_employer is not null").withColumn("raw_employer_lower", F.rtrim(F.lower(F.trim("contributor_employer")), F.lit("."))).join(seeds.seeded_employers(seeds.employer_seeds(d.spark, _EMPLOYER_FILE), d.issuers)[1], "raw_employer_lower").groupBy("contributor_employer", "normalized_employer").agg(F.count("*").alias("n")),
+     "select contributor_employer, 'brand 2 holdings' as normalized_employer, count(*) as n from donations where contributor_employer = 'Brand 2 Holdings Inc.' group by 1", "donations")
+_add("tickers_resolved", lambda d: matching.resolve_tickers(d.trades.select(F.regexp_replace("ticker", "BR0", "BR").alias("ticker")).distinct(), d.issuers.withColumn("ticker", F.when(F.col("issuer_id") % 2 == 0, F.concat("ticker", F.lit(":US"))).otherwise(F.col("ticker"))).withColumn("ticker", F.regexp_replace("ticker", "BR0", "BR"))),
+     "+ w as (select distinct replace(ticker, 'BR0', 'BR') as ticker, issuer_id from trades) select ticker, ticker || case when issuer_id % 2 = 0 then ':US' else '' end as issuer_ticker from w", "trades")
+_add("committees_resolved", lambda d: matching.resolve_committees(d.politicians, [matching.committees_of(d.donation_sync.where("cycle is null").groupBy("politician_id").agg(F.collect_list("committee_id").alias("committee_ids"))), matching.committees_of(d.donation_sync.groupBy("politician_id").agg(F.collect_list(F.concat("committee_id", F.lit("x"))).alias("committee_ids")))]).select("politician_id", F.array_join("committee_ids", ",").alias("committees")),
+     "select politician_id, coalesce(string_agg(distinct committee_id, ',') filter (cycle is null), string_agg(distinct committee_id || 'x', ',')) as committees from donation_sync group by 1", "donation_sync")
+_braced = lambda sql: sql.replace("{", "{{").replace("}", "}}")
+_CARD_BODY = """concat('["$","a",null,{"href":"/politicians/', politician_id, '","children":[{"className":"cell--name","children":"', full_name, '"},{"className":"party--', party, '"},{"className":"us-state-full--', lower(substr(state, 1, 2)), '"},{"className":"cell--count-trades","a":{"children":"Trades"},"b":{"children":"', cast(cast(substr(politician_id, 2) as bigint) * 7 % 5000 as string), '"}},{"className":"cell--count-issuers","a":{"children":"Issuers"},"b":{"children":"12"}},{"className":"cell--volume","a":{"children":"Volume"},"b":{"children":"$1.5M"}},{"className":"cell--last-traded","a":{"children":"Last Traded"},"b":{"children":"2001-05-06"}}]}]')"""
+_add("politician_cards", lambda d: pages.politician_cards(d.spark.sql(f"select concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_CARD_BODY)})), 2, length(to_json(array({_braced(_CARD_BODY)}))) - 2), '])</script>') as html from {{p}}", p=d.politicians.where("state rlike '^[A-Z]{2}'"))),
+     "select politician_id, full_name as name, party, upper(substr(state, 1, 2)) as state, cast(substr(politician_id, 2) as bigint) * 7 % 5000 as trades, cast(12 as bigint) as issuers, cast(1500000 as bigint) as volume, date '2001-05-06' as last_traded from politicians where regexp_matches(state, '^[A-Z]{2}')", "politicians")
+_TRADE_BODY = """concat('{"trades":[{"tradeId":', tx_id, '0,"filingUrl":"http://x/other.pdf"},{"tradeId":', tx_id, ',"size":', value, ',"filingUrl":"http://x/', tx_id, '.pdf","assetType":"', asset_type, '"}]}')"""
+_add("trade_detail_pages", lambda d: pages.trade_details(d.spark.sql(f"select tx_id as trade_id, concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_TRADE_BODY)})), 2, length(to_json(array({_braced(_TRADE_BODY)}))) - 2), '])</script>') as html from {{t}}", t=d.trades)).select("trade_id", "size", "filing_url", "asset_type"),
+     "select tx_id as trade_id, value as size, 'http://x/' || tx_id || '.pdf' as filing_url, asset_type from trades", "trades")
+_add("positions_stored", lambda d: merge.upsert_positions(people_positions(d).where("ticker < 'BR12'").select("politician_id", "ticker", F.lit(0.0).alias("shares_held"), F.lit(None).cast("timestamp").alias("last_updated")), people_positions(d).where("ticker >= 'BR06'").select("politician_id", "ticker", "shares_held"), AS_OF).select("politician_id", "ticker", *r4("shares_held"), F.to_date("last_updated").alias("last_updated")),
+     _POSITIONS + f" select politician_id, ticker, case when ticker >= 'BR06' then round(shares_held, 4) else 0 end as shares_held, case when ticker >= 'BR06' then date '{AS_OF}' end as last_updated from positions", *_FIFO_TABLES)
+_add("prices_stored", lambda d: merge.update_current_prices(d.trades.select("tx_id", "ticker", "current_price", F.col("price_enriched_at").cast("timestamp").alias("price_enriched_at")), d.issuers.where("issuer_id % 3 = 0").select("ticker", F.when(F.col("issuer_id") % 2 == 0, F.col("issuer_id") * 1.5).alias("price")), AS_OF).select("tx_id", *r4("current_price"), F.to_date("price_enriched_at").alias("price_enriched_at")),
+     f"select tx_id, round(case when issuer_id % 3 = 0 then case when issuer_id % 2 = 0 then issuer_id * 1.5e0 end else current_price end, 4) as current_price, case when issuer_id % 3 = 0 then date '{AS_OF}' else price_enriched_at end as price_enriched_at from trades", "trades")
+_add("trades_as_xml", lambda d: exports.xml_rows(d.trades.select("tx_id", "ticker", "value", F.when(F.col("value") % 2 == 0, F.array("owner", "tx_type")).alias("labels")), "trade"),
+     "select '<trade><tx_id>' || tx_id || '</tx_id><ticker>' || ticker || '</ticker><value>' || value || '</value>' || case when value % 2 = 0 then '<labels><label>' || owner || '</label><label>' || tx_type || '</label></labels>' else '' end || '</trade>' as line from trades", "trades")
+_add("trades_as_markdown", lambda d: exports.markdown_rows(d.trades.select("tx_id", F.concat("ticker", F.lit("|x")).alias("ticker"), F.when(F.col("value") % 2 == 0, F.col("owner")).alias("owner"))),
+     r"select '| ' || tx_id || ' | ' || ticker || '\|x | ' || coalesce(case when value % 2 = 0 then owner end, '') || ' |' as line from trades", "trades")
+
+
 def _bound(make: Callable[[Domain], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: make(Domain(spark, sf_dir))
 

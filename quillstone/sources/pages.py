@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from quillstone import schemas as S
 
-_PUSH = r'self\.__next_f\.push\(\[1,"((?:[^"\\]|\\.)*)"'
+_PUSH = "self.__next_f.push([1,"
+#: The inside of a JSON string. Runs without an escape are taken whole, so that the matcher's stack doesn't grow with the text.
+_INSIDE = r'((?:[^"\\]++|\\.)*+)'
 
 
 def payload(html: str = "html") -> Column:
-    """All pushed strings of a page, unescaped and joined; null where there is none."""
-    parts = F.regexp_extract_all(F.col(html), F.lit(_PUSH), F.lit(1))
-    texts = F.transform(parts, lambda p: F.get(F.from_json(F.concat(F.lit('["'), p, F.lit('"]')), "array<string>"), F.lit(0)))
+    """All pushed strings of a page, unescaped and joined; null where there is none. What follows a mark is read as JSON, which ends where the string does."""
+    parts = F.slice(F.split(F.col(html), r"\Q" + _PUSH + r"\E"), 2, 1 << 30)
+    texts = F.transform(parts, lambda p: F.get(F.from_json(F.concat(F.lit("["), p), "array<string>"), F.lit(0)))
     return F.when(F.size(parts) > 0, F.array_join(texts, ""))
 
 
@@ -119,7 +121,7 @@ def number_after(text: Column, key: str) -> Column:
 
 
 def text_after(text: Column, key: str) -> Column:
-    raw = F.regexp_extract(text, f'"{key}":"((?:[^"\\\\]|\\\\.)*)"', 1)
+    raw = F.regexp_extract(text, f'"{key}":"{_INSIDE}"', 1)
     return F.when(raw != "", F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0)))
 
 
@@ -139,14 +141,15 @@ def trade_details(pages: DataFrame) -> DataFrame:
         return pd.DataFrame([(None, None) if t is None or pd.isna(i) else trade_record(t, int(i)) for t, i in zip(texts, ids, strict=True)], columns=["object", "address"], dtype=object)
 
     rows = pages.withColumn("_o", around(payload(), "trade_id")).withColumn("r", F.from_json("_o.object", S.FEED_TRADE))
-    url = F.coalesce("r.filingUrl", "r.filingURL", "_o.address")
+    # Two spellings that differ in case only are told apart by path, not by column.
+    url = F.coalesce(F.get_json_object("_o.object", "$.filingUrl"), F.get_json_object("_o.object", "$.filingURL"), "_o.address")
     return rows.select("trade_id", "r.price", "r.size", F.col("r.sizeRangeHigh").alias("size_range_high"), F.col("r.sizeRangeLow").alias("size_range_low"), url.alias("filing_url"), F.coalesce("r.asset.assetType", "r.assetType").alias("asset_type"), F.col("r.hasCapitalGains").alias("has_capital_gains"), "r.committees", "r.labels")
 
 
 #: A card begins with its politician's link; its cells are named by their style and hold a label and a value.
 _LINK = r'"href":"/politicians/'
 _CELL = "cell--"
-_TEXTS = r'"children":"((?:[^"\\]|\\.)*)"'
+_TEXTS = r'"children":"' + _INSIDE + '"'
 
 
 def _cell(name: str) -> Column:
@@ -185,20 +188,23 @@ def eod_prices(issuers: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str, schema, field: str = "data") -> DataFrame:
-    """Captured responses (one JSON document a file) to the records of their data array."""
+    """Captured responses (one JSON document a file) to the records of their data array. The text is parsed by from_json, for a reader of JSON takes no two names that differ in case only."""
     from pyspark.sql import types as T
 
     whole = T.StructType([T.StructField(field, T.ArrayType(schema))])
-    return spark.read.schema(whole).option("multiLine", True).json(path).select(F.explode(field).alias("r")).select("r.*")
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(F.explode(F.from_json("value", whole)[field]).alias("r")).select("r.*")
 
 
 def trades_of(feed: DataFrame) -> DataFrame:
     """Feed trades as flat rows; parties and types in lower case."""
+    # Two spellings that differ in case only are renamed by place, for names can't tell them apart.
+    feed = feed.toDF(*["filing_url_2" if c == "filingURL" else c for c in feed.columns])
     return feed.select(
         F.col("_txId").alias("tx_id"), F.col("_politicianId").alias("politician_id"), F.col("_assetId").alias("asset_id"), F.col("_issuerId").alias("issuer_id"), F.col("pubDate").alias("pub_date"),
         F.col("filingDate").alias("filing_date"), F.col("txDate").alias("tx_date"), F.lower("txType").alias("tx_type"), F.col("txTypeExtended").alias("tx_type_extended"), F.col("hasCapitalGains").alias("has_capital_gains"),
         "owner", "chamber", "price", "size", F.col("sizeRangeHigh").alias("size_range_high"), F.col("sizeRangeLow").alias("size_range_low"), "value", F.col("filingId").alias("filing_id"),
-        F.coalesce("filingUrl", "filingURL").alias("filing_url"), F.col("reportingGap").alias("reporting_gap"), "comment", "committees", "labels", F.coalesce("asset.assetType", "assetType").alias("asset_type"),
+        F.coalesce("filingUrl", "filing_url_2").alias("filing_url"), F.col("reportingGap").alias("reporting_gap"), "comment", "committees", "labels", F.coalesce("asset.assetType", "assetType").alias("asset_type"),
         F.coalesce("issuer.issuerTicker", "asset.assetTicker").alias("ticker"), F.lower("politician.party").alias("party"), F.upper("politician._stateId").alias("state"), F.concat_ws(" ", "politician.firstName", "politician.lastName").alias("full_name"),
     )
 

@@ -9,11 +9,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import schemas as S
 from quillstone.functions import scalars, validation
 from quillstone.functions.similarity import jaro_winkler_score
 from quillstone.operators import anomaly, conflicts, donations, fifo, filters, matching, merge, metrics, portfolio, pricing, reads
 from quillstone.plans import catalog
-from quillstone.sources import pages
+from quillstone.sources import exports, pages, seeds
 from quillstone.streaming import incremental
 from tests.conftest import SMALL
 
@@ -175,6 +176,27 @@ def test_jaro_winkler(a, b, want):
     assert jaro_winkler_score(a, b) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.85, 0.95])
+def test_no_near_name_is_missed(spark, threshold):
+    """The pairs that meet hold all that reach the threshold when every pair is scored."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 18))).strip() + "z" for _ in range(60)]
+
+    def edited(name):
+        out = list(name)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(out))
+            out[at : at + 1] = rng.choice(([], [out[at], rng.choice("abcxyz")], [rng.choice("abcxyz")]))
+            out = out or ["q"]
+        return "".join(out)
+
+    left, right = sorted({edited(b) for b in base for _ in range(3)}), sorted(set(base))
+    met = {(r.a, r.b) for r in matching.near_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), threshold).collect()}
+    near = {(a, b) for a in left for b in right if jaro_winkler_score(a, b) >= threshold}
+    assert near <= met and len(near) > 50
+    assert len(met) < 0.8 * len(left) * len(right)
+
+
 def test_validators():
     assert validation.party("D") == "democrat" and validation.state(" ca ") == "CA" and validation.days(3650) == 3650 and validation.politician_id("P000197") == "P000197"
     assert validation.several("buy,sell", validation.tx_type) == ("buy", "sell") and validation.date("2024-02-29") == dt.date(2024, 2, 29) and validation.trade_size("3") == 3
@@ -259,6 +281,14 @@ def pushed(body):
     return f'<script>self.__next_f.push([1,{json.dumps(body)}])</script>'
 
 
+def test_feed_files_become_flat_trades(spark, tmp_path):
+    """Both spellings of the address, nested names, and records that lack most fields."""
+    rows = [{"_txId": 1, "txType": "BUY", "filingURL": "http://x/1", "value": 7, "issuer": {"issuerTicker": "AA:US"}, "politician": {"firstName": "Ann", "lastName": "Lee", "party": "Other", "_stateId": "ca"}}, {"_txId": 2, "filingUrl": "http://x/2", "asset": {"assetType": "stock", "assetTicker": "BB"}}]
+    (tmp_path / "a.json").write_text(json.dumps({"meta": {}, "data": rows}, indent=1))
+    got = pages.trades_of(pages.read_feed(spark, str(tmp_path), S.FEED_TRADE)).orderBy("tx_id").collect()
+    assert [(r.tx_id, r.tx_type, r.filing_url, r.ticker, r.party, r.state, r.full_name, r.asset_type) for r in got] == [(1, "buy", "http://x/1", "AA:US", "other", "CA", "Ann Lee", None), (2, None, "http://x/2", "BB", None, None, "", "stock")]
+
+
 def test_trade_details_take_the_trades_own_record(spark):
     """An id that begins another's, two trades with addresses of their own, and addresses near or far from an id."""
     both = '{"rows":[{"tradeId":123,"price":9.5,"filingUrl":"http://x/123.pdf"},{"tradeId":12,"price":1.5,"filingUrl":"http://x/12.pdf","asset":{"assetType":"stock"}}]}'
@@ -290,6 +320,90 @@ def test_politician_cards(spark):
         pages.politician_cards(df(card(issuers=False))).collect()
 
 
+# Tables kept by hand, and exports.
+
+
+def test_seed_files_are_checked(spark):
+    ok = seeds.sector_mappings(spark, "mappings:\n- {ticker: A, sector: energy}\n- {ticker: B, sector: Health Care}").collect()
+    assert [tuple(r) for r in ok] == [("A", "Energy"), ("B", "Health Care")]
+    with pytest.raises(ValueError, match="repeated ticker: A"):
+        seeds.sector_mappings(spark, "mappings:\n- {ticker: A, sector: energy}\n- {ticker: A, sector: energy}")
+    with pytest.raises(ValueError):
+        seeds.sector_mappings(spark, "mappings:\n- {ticker: A, sector: Farming}")
+    with pytest.raises(ValueError, match="no list"):
+        seeds.sector_mappings(spark, "")
+    with pytest.raises(ValueError, match="chamber of hsag: Lords"):
+        seeds.jurisdictions(spark, "committees:\n- {committee_name: hsag, chamber: Lords, sectors: [Energy]}")
+    with pytest.raises(ValueError, match="repeated alias: X"):
+        seeds.ticker_aliases(spark, "aliases:\n- {from: X, to: ~}\n- {from: X, to: Y}")
+    assert [tuple(r) for r in seeds.ticker_aliases(spark, "aliases:\n- {from: X, to: ~}").collect()] == [("X", None)]
+
+
+def test_employers_of_files_and_reviews_round_trip(spark, tmp_path):
+    issuers = spark.createDataFrame([(1, "Acme Widgets Inc", "ACME:US"), (2, "Globex", "GBX"), (3, "=Odd Corporation", "ODD")], "issuer_id bigint, issuer_name string, ticker string")
+    text = '[[mapping]]\nemployer_names = ["Acme Widgets", "ACME Widgets LLC"]\nissuer_ticker = "ACME"\nsector = "industrials"\n[[mapping]]\nemployer_names = ["Nobody"]\nissuer_ticker = "NONE"\nsector = "Energy"\n'
+    mappings, lookups = seeds.seeded_employers(seeds.employer_seeds(spark, text), issuers)
+    assert [tuple(r) for r in mappings.collect()] == [("acme widgets", "ACME:US", 1.0, "exact")]
+    assert sorted(r.raw_employer_lower for r in lookups.collect()) == ["acme widgets", "acme widgets llc"]
+    unmatched = spark.createDataFrame([("Acme Widget Co",), ("=Odd Corporation",), ("Retired",), ("Something Else Entirely",)], "contributor_employer string")
+    review = exports.employers_for_review(unmatched, issuers, 0.85)
+    rows = {r.employer: r for r in review.collect()}
+    assert set(rows) == {"Acme Widget Co", "\t=Odd Corporation", "Something Else Entirely"}
+    assert rows["Acme Widget Co"].suggestion_ticker == "ACME:US" and rows["Acme Widget Co"].confidence == "0.98" and rows["Something Else Entirely"].suggestion_ticker == ""
+    confirmed = review.withColumn("confirmed_ticker", F.when(F.col("employer").startswith("Acme"), "ACME").when(F.col("employer").startswith("Some"), "NOPE").otherwise(""))
+    confirmed.coalesce(1).write.option("header", True).csv(f"{tmp_path}/review")
+    mappings, lookups = seeds.confirmed_employers(spark, f"{tmp_path}/review", issuers)
+    assert [tuple(r) for r in mappings.collect()] == [("acme widget", "ACME:US", 1.0, "manual")]
+    assert [tuple(r) for r in lookups.collect()] == [("acme widget co", "acme widget")]
+    with pytest.raises(ValueError):
+        exports.employers_for_review(unmatched, issuers, 1.5)
+
+
+def test_legislators_of_two_files(spark):
+    now = "- id: {bioguide: B1, fec: [H1, S1]}\n  name: {first: Ann, last: Lee}\n  terms: [{type: rep, state: NY}, {type: sen, state: CA, party: Other}]\n"
+    people = seeds.legislators(spark, now, now.replace("B1", "B2").replace("Lee", "Poe"))
+    politicians = spark.createDataFrame([("P1", "lee", "ca"), ("P2", "poe", "ny")], "politician_id string, last_name string, state string")
+    assert sorted(tuple(r) for r in matching.match_legislators(people, politicians).collect()) == [("P1", "B1", "H1"), ("P1", "B1", "S1")]
+
+
+def test_exports(spark):
+    df = spark.createDataFrame([(1, "a|b\nc", ["x", None], (None, "<&>")), (2, None, None, None)], "id int, `name` string, labels array<string>, deep struct<n:int,t:string>")
+    assert [r.line for r in exports.markdown_rows(df.select("id", "name")).collect()] == ["| 1 | a\\|b c |", "| 2 |  |"]
+    assert exports.markdown_head(df.select("id", "name")) == ["| id | name |", "| --- | --- |"]
+    assert [r.line for r in exports.xml_rows(df, "row").collect()] == ["<row><id>1</id><name>a|b\nc</name><labels><label>x</label></labels><deep><t>&lt;&amp;&gt;</t></deep></row>", "<row><id>2</id></row>"]
+    assert [r.s for r in exports.safe_csv(spark.createDataFrame([("=1",), ("+1",), ("-1",), ("@a",), ("a=1",), (None,)], "s string")).collect()] == ["\t=1", "\t+1", "\t-1", "\t@a", "a=1", None]
+
+
+def test_feed_schemas_hold_what_the_contracts_require(spark):
+    """Required fields of the feed's records, by name and type."""
+    need = {"FEED_TRADE": {"_txId": "bigint", "_politicianId": "string", "_issuerId": "bigint", "pubDate": "timestamp", "txDate": "date", "txType": "string", "owner": "string", "chamber": "string", "value": "bigint", "reportingGap": "bigint", "committees": "array<string>", "labels": "array<string>"}}
+    for name, fields in need.items():
+        have = {f.name: f.dataType.simpleString() for f in getattr(S, name).fields}
+        assert fields.items() <= have.items()
+
+
+def test_merge_rules_of_single_tables(spark):
+    at = "2024-05-01 00:00:00"
+    mappings = spark.createDataFrame([("P1", "H1", "B1", ["C1"], 2022, None)], "politician_id string, fec_candidate_id string, bioguide_id string, committee_ids array<string>, election_cycle int, last_synced timestamp")
+    found = spark.createDataFrame([("P1", "H1", "B9"), ("P2", "S2", "B2")], "politician_id string, fec_candidate_id string, bioguide_id string")
+    got = {r.politician_id: r for r in merge.upsert_mappings(mappings, found, 2024, at).collect()}
+    assert got["P1"].bioguide_id == "B9" and got["P1"].committee_ids == ["C1"] and got["P2"].election_cycle == 2024
+    again = {r.politician_id: r.committee_ids for r in merge.update_committees(merge.upsert_mappings(mappings, found, 2024, at), "P2", ["C7", "C8"], at).collect()}
+    assert again == {"P1": ["C1"], "P2": ["C7", "C8"]}
+    trades = spark.createDataFrame([(1, "A", 1.0, 5.0, None), (2, "B", 2.0, None, None)], "tx_id bigint, ticker string, current_price double, benchmark_price double, price_enriched_at timestamp")
+    assert [(r.current_price, r.price_enriched_at is None) for r in merge.update_current_prices(trades, spark.createDataFrame([("A", None)], "ticker string, price double"), at).orderBy("tx_id").collect()] == [(None, False), (2.0, True)]
+    assert [r.benchmark_price for r in merge.update_benchmark_prices(trades, spark.createDataFrame([(1, None), (2, 3.0), (9, 1.0)], "tx_id bigint, benchmark_price double")).orderBy("tx_id").collect()] == [None, 3.0]
+    stats = spark.createDataFrame([("P1", 3, 9)], "politician_id string, count_trades bigint, volume bigint")
+    assert sorted(tuple(r) for r in merge.upsert_stats(stats, spark.createDataFrame([("P1", 4, None), ("P2", 1, 1)], stats.schema), "politician_id").collect()) == [("P1", 4, None), ("P2", 1, 1)]
+    committees = spark.createDataFrame([("C1", "Old", "[2020]")], "committee_id string, name string, cycles string")
+    assert [tuple(r) for r in merge.upsert_fec_committees(committees, spark.createDataFrame([("C1", "New", [2022, 2024])], "committee_id string, name string, cycles array<int>")).collect()] == [("C1", "New", "[2022,2024]")]
+    stored = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 4.0), (3, 5.0, 6.0)], "issuer_id bigint, mcap double, trailing1 double")
+    feed = spark.createDataFrame([(1, (10.0, 20.0)), (2, (30.0, None)), (4, None)], "_issuerId bigint, performance struct<mcap:double,trailing1:double>")
+    assert sorted(tuple(r) for r in merge.replace_performance(stored, feed, ("mcap", "trailing1")).collect()) == [(1, 10.0, 20.0), (3, 5.0, 6.0)]
+    issuers = spark.createDataFrame([(1, "A", "ca", None)], "issuer_id bigint, issuer_name string, state string, enriched_at timestamp")
+    assert [tuple(r)[:3] for r in merge.update_issuer_details(issuers, spark.createDataFrame([(1, None, "ny"), (5, "Z", None)], "issuer_id bigint, issuer_name string, state string"), at).collect()] == [(1, "A", "ny")]
+
+
 def test_streams_write_each_row_once(spark):
     assert incremental.stream_incremental_ingest(spark, SMALL).count() == spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").distinct().count()
     out = incremental.stream_volume_window(spark, SMALL)
