@@ -218,6 +218,18 @@ def due(stored: DataFrame, as_of: str | dt.datetime, hours: int = 24) -> DataFra
     return stored.where(F.coalesce(F.col("last_synced") <= F.lit(as_of).cast("timestamp") - F.expr(f"interval {hours} hours"), F.lit(True)))
 
 
+def synced(tables: dict[str, DataFrame], trades: DataFrame, politicians: DataFrame, issuers: DataFrame, members: DataFrame, since: str | dt.date | None = None) -> dict[str, DataFrame]:
+    """One round of synchronisation as plans over the tables trades, politicians, issuers and politician_committees: incoming rows from a day on (that day included, as merging is idempotent) are merged, memberships are refreshed whole."""
+    some = trades if since is None else trades.where(F.to_date("pub_date") >= F.lit(since).cast("date"))
+    people = upsert_politicians(tables["politicians"], politicians)
+    return {
+        "politicians": people,
+        "issuers": upsert_issuers(tables["issuers"], issuers),
+        "trades": upsert_trades(tables["trades"], some),
+        "politician_committees": replace_memberships(members, people),
+    }
+
+
 # Changes of older tables.
 
 

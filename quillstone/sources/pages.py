@@ -163,20 +163,51 @@ def _value(name: str) -> Column:
     return F.get(_cell(name), F.lit(1))
 
 
-def politician_cards(pages: DataFrame) -> DataFrame:
-    """Cards of listing pages. A card that lacks its name, party, state or figures is an error; a page without cards has no rows."""
+def politician_cards(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Cards of listing pages, with the pages' columns of keep. A card that lacks its name, party, state or figures is an error; a page without cards has no rows."""
     from quillstone.functions.scalars import compact_number, whole_number
 
-    parts = pages.select(F.explode(F.slice(F.split(payload(), _LINK), 2, 1_000_000)).alias("card"))
-    parts = parts.select("card", F.split("card", _CELL).alias("cells"))
+    parts = pages.select(*keep, F.explode(F.slice(F.split(payload(), _LINK), 2, 1_000_000)).alias("card"))
+    parts = parts.select(*keep, "card", F.split("card", _CELL).alias("cells"))
     rows = parts.select(
-        F.regexp_extract("card", r"^([A-Z]\d{6})\"", 1).alias("politician_id"), F.get(_cell("name"), F.lit(0)).alias("name"), F.regexp_extract("card", r"party--(democrat|republican|other)\b", 1).alias("party"),
+        *keep, F.regexp_extract("card", r"^([A-Z]\d{6})\"", 1).alias("politician_id"), F.get(_cell("name"), F.lit(0)).alias("name"), F.regexp_extract("card", r"party--(democrat|republican|other)\b", 1).alias("party"),
         F.upper(F.regexp_extract("card", r"us-state-full--([a-z]{2})\b", 1)).alias("state"), whole_number(_value("count-trades")).alias("trades"), whole_number(_value("count-issuers")).alias("issuers"),
         F.coalesce(_value("volume"), F.lit("")).alias("_volume"), _value("last-traded").try_cast("date").alias("last_traded"))
     rows = rows.where("politician_id != ''")
     whole = F.col("name").isNotNull() & (F.col("party") != "") & (F.col("state") != "") & F.col("trades").isNotNull() & F.col("issuers").isNotNull() & (F.col("_volume") != "") & F.col("last_traded").isNotNull()
     checked = rows.withColumn("_ok", F.when(~whole, F.raise_error(F.concat(F.lit("incomplete card: "), "politician_id")).cast("boolean")))
-    return checked.where("_ok is null").select("politician_id", "name", "party", "state", "trades", "issuers", compact_number("_volume").alias("volume"), "last_traded")
+    return checked.where("_ok is null").select(*keep, "politician_id", "name", "party", "state", "trades", "issuers", compact_number("_volume").alias("volume"), "last_traded")
+
+
+def committee_members(pages: DataFrame) -> DataFrame:
+    """Listing pages filtered by committee (committee, html) to distinct memberships (politician_id, committee)."""
+    return politician_cards(pages, ("committee",)).select("politician_id", "committee").distinct()
+
+
+#: Issuers whose pages hold no record; fixed values.
+NO_RECORD = (
+    (432049, "oh", "us", "Goodyear Tire & Rubber Co", "GT:US", "consumer-discretionary"),
+    (2334265, "ma", "us", "TOWN OF HINGHAM MASSACHUSETTS", None, None),
+    (2334268, "fl", "us", "JEA WATER AND SEWER SYSTEM REVENUE", None, None),
+)
+
+
+def issuer_details(pages: DataFrame) -> DataFrame:
+    """Detail pages (issuer_id, html) to feed records. Of pages without a record the known issuers get a row without counts; any other such page is an error."""
+    spark = pages.sparkSession
+    known = spark.createDataFrame(NO_RECORD, "issuer_id bigint, state string, country string, name string, ticker string, sector string")
+    none = F.lit(0).cast("bigint")
+    given = F.struct(
+        F.col("issuer_id").alias("_issuerId"), F.col("state").alias("_stateId"), F.lit(None).cast("string").alias("c2iq"), "country", F.col("name").alias("issuerName"), F.col("ticker").alias("issuerTicker"), "sector",
+        F.lit(None).cast(S.FEED_ISSUER["performance"].dataType).alias("performance"), F.struct(none.alias("countTrades"), none.alias("countPoliticians"), none.alias("volume"), F.lit(None).cast("date").alias("dateLastTraded")).alias("stats"))
+    rows = pages.withColumn("_r", F.from_json(isolated(payload(), value_after, '"issuerData":'), S.FEED_ISSUER)).join(known, "issuer_id", "left")
+    found = F.coalesce("_r", F.when(F.col("name").isNotNull(), given.cast(S.FEED_ISSUER)), F.raise_error(F.concat(F.lit("no record of issuer "), F.col("issuer_id").cast("string"))).cast(S.FEED_ISSUER))
+    return rows.select(found.alias("r")).select("r.*")
+
+
+def politician_details(pages: DataFrame) -> DataFrame:
+    """Detail pages (politician_id, html) to feed records of politicians; null where a page holds none that can be read."""
+    return pages.select("politician_id", F.from_json(isolated(payload(), value_after, '"politician":'), S.FEED_POLITICIAN).alias("politician"))
 
 
 def eod_prices(issuers: DataFrame) -> DataFrame:

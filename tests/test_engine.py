@@ -320,6 +320,34 @@ def test_politician_cards(spark):
         pages.politician_cards(df(card(issuers=False))).collect()
 
 
+def test_issuer_and_politician_details(spark):
+    record = '{"issuerData":{"_issuerId":7,"issuerName":"Acme","issuerTicker":"A:US","stats":{"countTrades":3}}} tail'
+    df = spark.createDataFrame([(7, pushed(record)), (432049, pushed("nothing"))], "issuer_id bigint, html string")
+    rows = {r._issuerId: r for r in pages.issuer_details(df).collect()}
+    assert rows[7].issuerName == "Acme" and rows[7].stats.countTrades == 3 and rows[432049].issuerTicker == "GT:US" and rows[432049].stats.volume == 0
+    with pytest.raises(Exception, match="no record of issuer 8"):
+        pages.issuer_details(spark.createDataFrame([(8, pushed("nothing"))], df.schema)).collect()
+    people = spark.createDataFrame([("P1", pushed('{"politician":{"firstName":"Ann","lastName":"Lee"}}')), ("P2", pushed('{"politician":{"firstName":')), ("P3", None)], "politician_id string, html string")
+    got = {r.politician_id: r.politician for r in pages.politician_details(people).collect()}
+    assert got["P1"].firstName == "Ann" and got["P2"] is None and got["P3"] is None
+
+
+def test_committee_listings_and_a_round_of_synchronisation(spark):
+    listing = spark.createDataFrame([("hsag", pushed(card() + "," + card("S000033"))), ("ssbk", pushed(card())), ("ssbk", pushed(card())), ("hsba", pushed("none"))], "committee string, html string")
+    members = pages.committee_members(listing)
+    assert sorted(tuple(r) for r in members.collect()) == [("P000197", "hsag"), ("P000197", "ssbk"), ("S000033", "hsag")]
+    people = spark.createDataFrame([("P000197", "Ann", None)], "politician_id string, full_name string, enriched_at timestamp")
+    issuers = spark.createDataFrame([(1, "Acme", None)], "issuer_id bigint, issuer_name string, enriched_at timestamp")
+    trades = spark.createDataFrame([(1, dt.date(2024, 1, 1), 5)], "tx_id bigint, pub_date date, value bigint")
+    coming = spark.createDataFrame([(2, dt.date(2024, 1, 2), 6), (3, dt.date(2024, 1, 1), 7)], trades.schema)
+    tables = {"trades": trades, "politicians": people, "issuers": issuers, "politician_committees": members.limit(0)}
+    out = merge.synced(tables, coming, people, issuers.withColumn("issuer_name", F.lit("Acme Inc")), members, "2024-01-02")
+    assert sorted(r.tx_id for r in out["trades"].collect()) == [1, 2] and out["issuers"].first().issuer_name == "Acme Inc"
+    assert sorted(r.committee for r in out["politician_committees"].collect()) == ["hsag", "ssbk"]
+    again = merge.synced(out, coming, people, issuers, members, "2024-01-02")
+    assert sorted(r.tx_id for r in again["trades"].collect()) == [1, 2]
+
+
 # Tables kept by hand, and exports.
 
 
