@@ -31,6 +31,8 @@ from quillstone.llm.zipread import directory, place
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 #: Payloads from this many bytes on are deduplicated; bytes fetched at once when records are neighbours.
 LEAST_BYTES, FETCH_BYTES = 0, 8 << 20
+#: Payload bytes after which a task begins another package.
+PACKAGE_BYTES = 1 << 28
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -96,12 +98,13 @@ def read_package(source, fetch_bytes: int = FETCH_BYTES) -> Iterator[dict]:
         k = to
 
 
-def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes one package for each task; the manifest: (path, n_records)."""
-    spark = pages.sparkSession
+def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes the packages, one or more for each task and none much beyond package_bytes of payload; the manifest: (path, n_records)."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).where("c > 1").select("key", "best")
+    # Written before it is joined, so that a payload of very many pages can be split among tasks.
+    groups = staged(groups, "warc-groups")
     decided = rows.join(groups, "key", "left").select("page_id", "url", "html", "best", F.expr("best is not null and not (page_id <=> best)").alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,16 +114,31 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.wacz"
+        part = TaskContext.get().partitionId()
 
         def each() -> Iterator[tuple]:
             for batch in (b for bs in ([first], batches) for b in bs):
                 for page, url, html, best, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield page, url, html.encode(), best if revisit else None, revisit
 
-        with written(path) as out:
-            n = write_package(out, each())
-        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
+        rows = each()
+        upcoming = next(rows, None)
+
+        def package() -> Iterator[tuple]:
+            nonlocal upcoming
+            size = 0
+            while upcoming is not None and (size == 0 or size + len(upcoming[2]) <= package_bytes):
+                size += len(upcoming[2]) + 1
+                yield upcoming
+                upcoming = next(rows, None)
+
+        k = 0
+        while upcoming is not None:
+            path = f"{folder}/part-{part:06d}-{k:04d}.wacz"
+            with written(path) as out:
+                n = write_package(out, package())
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "n_records"])
+            k += 1
 
     return staged(decided.mapInArrow(run, "path string, n_records bigint"), "warc-manifest")
 
