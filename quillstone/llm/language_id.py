@@ -27,6 +27,8 @@ from quillstone.llm.common import column, fresh, table
 
 FOLDS, HELD = 5, 0
 PER_LANGUAGE, WINDOWS, TRAIN_CHARS, TRAIN_BYTES = 400, 3, 96, 64
+#: Labels learned at most, so that a column full of junk labels doesn't make the sample grow.
+MOST_LANGUAGES = 100
 WINDOW, HALO, AT_ONCE, STEP = 224, 16, 2048, 32
 
 
@@ -34,11 +36,12 @@ def held_out(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int) -> pd.DataFrame:
-    """(lang, piece): at most per_language * windows rows for each language."""
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, windows: int, most_languages: int = MOST_LANGUAGES) -> pd.DataFrame:
+    """(lang, piece): at most per_language * windows rows for each language, of the most_languages that have most texts; scarcer labels aren't learned."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), text_col).alias("seed"))
-    counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.countDistinct("seed").alias("c")).collect()}
+    frequent = rows.groupBy("lang").agg(F.countDistinct("seed").alias("c")).orderBy(F.desc("c"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["c"] for r in frequent.collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "piece": []})
     # Equal texts count once. A share of each language by hash leaves about three times the bound; ranking then sees little.
