@@ -340,7 +340,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80, id_co
         more = staged(pairs.groupBy("v", "i", "j").applyInArrow(_block_join(threshold), _LINKS).distinct(), "ngram-more")
         if more.head(1):
             roots = components(edges.unionByName(more))
-    return known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    return known.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

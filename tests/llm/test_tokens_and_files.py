@@ -217,6 +217,17 @@ def test_warc_packages_round_trip(spark, tmp_path):
     assert kind == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None), None: ("revisit", 2)}
 
 
+def test_warc_packages_end_at_their_bound(spark, tmp_path):
+    """A task of many pages, equal ones among them, writes several packages; one page beyond the bound has one of its own."""
+    rows = [(i, "u", "same page" if i % 2 else f"page {i} " * 50) for i in range(200)] + [(900, "u", "long " * 2000)]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    manifest = warc.write_packages(docs, f"file://{tmp_path}/w", package_bytes=4000)
+    assert manifest.count() > 10 and manifest.agg({"n_records": "sum"}).first()[0] == 201
+    found = {r.page_id: r for r in warc.read_packages(manifest).collect()}
+    assert len(found) == 201 and found[900].payload_bytes == 10_000
+    assert all(found[i].refers_to == (199 if i != 199 else None) for i in range(1, 200, 2))
+
+
 def test_warc_payloads_below_the_bound_are_responses(spark, tmp_path):
     rows = [(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long enough"), (4, "d", "long enough")]
     found = {r.page_id: r.record_type for r in warc.read_packages(warc.write_packages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w", least_bytes=5)).collect()}
