@@ -69,29 +69,3 @@ def positions(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         F.sum(F.when(~open_, F.col("shares") * (F.col("sell.price") - F.col("buy.price"))).otherwise(0.0)).alias("realized_pnl"),
     )
     return total.withColumn("cost_basis", F.when(F.col("shares_held") > EPSILON, F.col("_cost") / F.col("shares_held")).otherwise(0.0)).select(*keys, "shares_held", "cost_basis", "realized_pnl")
-
-
-def sequential_lots(trades: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """The same matches by a queue in order, one group at a time: the semantic reference that tests hold the windows against."""
-    import pandas as pd
-
-    kind = {f.name: f.dataType.simpleString() for f in trades.schema}
-    schema = ", ".join(f"{k} {kind[k]}" for k in keys) + ", shares double, buy_tx_id bigint, sell_tx_id bigint"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lots, out = [], []
-        for row in group.sort_values(["tx_date", "tx_id"]).itertuples():
-            if row.tx_type in ("buy", "receive"):
-                lots.append([row.tx_id, row.shares])
-            elif row.tx_type == "sell":
-                left = row.shares
-                while left > EPSILON and lots:
-                    n = min(left, lots[0][1])
-                    out.append((*[getattr(row, k) for k in keys], n, lots[0][0], row.tx_id))
-                    left -= n
-                    lots[0][1] -= n
-                    if lots[0][1] < EPSILON:
-                        lots.pop(0)
-        return pd.DataFrame(out, columns=[*keys, "shares", "buy_tx_id", "sell_tx_id"])
-
-    return trades.select(*keys, "tx_id", "tx_date", "tx_type", "shares").groupBy(*keys).applyInPandas(run, schema)
