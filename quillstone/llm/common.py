@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a function sees at once: long texts make wide rows.
-BATCH_ROWS = 1000
+#: Rows that a function sees at once, and bytes that Spark sends it at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +47,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lowers the bytes of an Arrow batch to BATCH_BYTES for the session: whole texts beside each other take memory on both sides of a Python worker. All operators set this one value, so it doesn't matter which plan runs when."""
+    name, factor = "spark.sql.execution.arrow.maxBytesPerBatch", {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    given = spark.conf.get(name).lower().removesuffix("b")
+    size = int(given[:-1]) * factor[given[-1]] if given[-1:] in factor else int(given)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows; Spark bounds a batch's bytes itself, and no setting of the session is touched."""
+    """The batches in slices of at most so many rows."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

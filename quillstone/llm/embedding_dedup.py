@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short, staged, table
+from quillstone.llm.common import bounded, short, staged, table
 from quillstone.llm.components import components
 
 #: Vectors of a block; unlike vectors that a bucket may hold; rows that a call compares.
@@ -186,6 +186,7 @@ def spanning(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 def embedding_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     spark = vectors.sparkSession
+    bounded(spark)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vector", lambda v: v != 0)
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))

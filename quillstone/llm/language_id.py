@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.llm.byte_gru import ByteGru
-from quillstone.llm.common import column, fresh, table
+from quillstone.llm.common import bounded, column, fresh, table
 
 FOLDS, HELD = 5, 0
 PER_LANGUAGE, WINDOWS, TRAIN_CHARS, TRAIN_BYTES = 400, 3, 96, 64
@@ -133,6 +133,7 @@ def predictor(model: tuple[ByteGru, list[str]] | None):
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> DataFrame:
     """docs with one more column at the end, a struct of lang_pred and score: language, or with underscores where docs has such a column."""
+    bounded(docs.sparkSession)
     model = fit(training_sample(docs, id_col, text_col, lang_col, per_language, windows))
     return docs.withColumn(fresh(docs, "language"), predictor(model)(column(text_col)))
 

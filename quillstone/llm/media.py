@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import column, short, table
+from quillstone.llm.common import bounded, column, short, table
 from quillstone.llm.mpeg import scan, unwrap, wrap
 
 UNIT = 64
@@ -29,6 +29,7 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
 
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, media)."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches, 500):

@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import column, fresh, staged, table
+from quillstone.llm.common import bounded, column, fresh, staged, table
 from quillstone.llm.token_counts import n_tokens
 
 #: Bits of a range of the order, twice; leaves that may be broadcast.
@@ -88,6 +88,7 @@ def mixed(docs: DataFrame, domain: Callable[[], Column], weights: dict[tuple, fl
     share: of all tokens there; domain: makes the column that names a row's domain. Where docs has a column of
     such a name, the new one's name gets an underscore.
     """
+    bounded(docs.sparkSession)
     text_of = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
     doc = F.struct(*[column(c) for c in docs.columns]).alias("doc")
     rows = staged(docs.select(doc, domain().alias("domain"), text_of(lang_col).alias("lang"), text_of(source_col).alias("source"), n_tokens(column(text_col), vocabulary).alias("tokens"), F.xxhash64(column(id_col), column(text_col)).alias("u")), "mix-rows")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short, staged, table
+from quillstone.llm.common import bounded, short, staged, table
 from quillstone.llm.components import components
 from quillstone.llm.shingles import mix, shingle_sets
 
@@ -299,6 +299,7 @@ def _block_join(threshold: int):
 def ngram_nodes(docs: DataFrame, width: int, threshold: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Steps 1 and 2: every document with its set's size and key, and the shared n-grams of those that may link."""
     spark = docs.sparkSession
+    bounded(spark)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     packed = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_postings(width, buckets), _POSTINGS)

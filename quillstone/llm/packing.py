@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import short, staged, table
+from quillstone.llm.common import bounded, short, staged, table
 from quillstone.llm.vocab import ByteBpe, default_path, loaded
 
 _CUT = "doc_id bigint, part int, row bigint, doc_tokens bigint, full_before bigint, crcs array<bigint>, rest int, rest_rank bigint, rest_crc bigint, rest_ids binary"
@@ -198,6 +198,7 @@ def _crc_of_cut(wide: str):
 def packed(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     path = vocabulary or default_path("byte_bpe_50k.json")
+    bounded(docs.sparkSession)
     cut = staged(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(path, window, end_id), _CUT), "pack-cut")
     lengths = cut.groupBy("part", "rest").agg(F.count("*").alias("c"))
     windows = cut.groupBy("part").agg(F.max(F.col("full_before") + F.size("crcs")).alias("c"))

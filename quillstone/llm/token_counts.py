@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import column, short, table
+from quillstone.llm.common import bounded, column, short, table
 from quillstone.llm.vocab import ByteBpe, default_path, loaded
 
 #: Characters of a chunk, and of the overlap it begins with.
@@ -111,6 +111,7 @@ def n_tokens(text: Column, vocabulary: str | None = None) -> Column:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 1024, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) of every row; narrow, without a shuffle."""
+    bounded(docs.sparkSession)
     path = vocabulary or default_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import new_folder, short, staged, table
+from quillstone.llm.common import bounded, new_folder, short, staged, table
 from quillstone.llm.files import opened, written
 from quillstone.llm.simple8b import Reader, Writer
 from quillstone.llm.vocab import WordBpe, default_path, loaded
@@ -27,6 +27,7 @@ from quillstone.llm.vocab import WordBpe, default_path, loaded
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; the manifest: (part, path, n_docs, n_ids), a row for each file."""
     spark = docs.sparkSession
+    bounded(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

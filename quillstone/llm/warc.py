@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import new_folder, short, staged, table
+from quillstone.llm.common import bounded, new_folder, short, staged, table
 from quillstone.llm.files import opened, written
 from quillstone.llm.zipread import directory, place
 
@@ -100,6 +100,7 @@ def read_package(source, fetch_bytes: int = FETCH_BYTES) -> Iterator[dict]:
 
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes the packages, one or more for each task and none much beyond package_bytes of payload; the manifest: (path, n_records)."""
+    bounded(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
     groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).where("c > 1").select("key", "best")
