@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -13,6 +14,7 @@ from quillstone.llm.byte_gru import ByteGru
 from quillstone.llm.language_id import fit, op3_language_id, pooled, training_sample, with_language
 from quillstone.llm.mixing import SOURCES, WEIGHTS, budgets, domain_of_source, mixed, op10_source_mixing
 from quillstone.llm.vocab import ByteBpe, default_path, loaded
+from tests.llm.test_pairs import brute_ngram, edits, roots_of
 
 MIDDLE = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -150,12 +152,9 @@ def test_budgets_are_those_of_plain_fractions(spark, seed):
         assert spark_budgets(spark, leaves, weights, total, 2) == plain_budgets(leaves, weights, total, 2)
 
 
-@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.7, 2), (1.0, 3)])
-def test_mixed_documents_are_those_of_sorted_leaves(spark, share, epochs):
-    """Each leaf sorted whole, its epochs walked one by one: the same documents, as often."""
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    enc, seed = loaded(ByteBpe, default_path("byte_bpe_50k.json")), 17
-    weights = WEIGHTS | {("web", "fr"): 0.0, ("books",): 0.5}
+def plain_mixture(spark, docs, weights, share, epochs, seed):
+    """(copies by doc_id, budgets and tokens by leaf): each leaf sorted whole, its epochs walked one by one."""
+    enc = loaded(ByteBpe, default_path("byte_bpe_50k.json"))
     domain = {s: d for d, ss in SOURCES.items() for s in ss}
     leaves = {}
     for r in docs.withColumn("u", F.xxhash64("doc_id", "text")).collect():
@@ -176,7 +175,15 @@ def test_mixed_documents_are_those_of_sorted_leaves(spark, share, epochs):
             if left < 0:
                 break
             want[d] = want.get(d, 0) + 1
-    chosen = mixed(docs.repartition(7), domain_of_source, weights, share, epochs, seed).collect()
+    return want, given, sums
+
+
+@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.7, 2), (1.0, 3)])
+def test_mixed_documents_are_those_of_sorted_leaves(spark, share, epochs):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    weights = WEIGHTS | {("web", "fr"): 0.0, ("books",): 0.5}
+    want, given, sums = plain_mixture(spark, docs, weights, share, epochs, 17)
+    chosen = mixed(docs.repartition(7), domain_of_source, weights, share, epochs, 17).collect()
     assert {r.doc_id: r.copies for r in chosen if sums[r.domain, r.lang or "", r.source or ""]} == want
     assert all(r.leaf_budget == given[r.domain, r.lang or "", r.source or ""] for r in chosen)
 
@@ -235,6 +242,46 @@ def test_stages_keep_clean_documents_and_drop_what_they_should(spark):
             docs = spark.createDataFrame(out.collect(), docs.schema)
 
 
+def plain_lines(rows):
+    """Texts by doc_id without repeated and similar lines: every pair of lines is compared."""
+    words = lambda line: tuple(regex.findall(r"[\p{L}\p{N}\p{M}]+", line.lower()))
+    first, where = {}, {}
+    for d, text in sorted(rows):
+        for pos, line in enumerate(text.split("\n")):
+            w = words(line)
+            if w:
+                first.setdefault(w, (d, pos))
+                where.setdefault(w, []).append((d, pos))
+    nodes = sorted(first, key=first.get)
+    bags = {w: set(w) for w in nodes}
+    links = []
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            most = max(len(a), len(b)) // 5
+            if min(len(a), len(b)) >= max(5, max(len(a), len(b)) - most) and len(bags[a] - bags[b]) <= most and len(bags[b] - bags[a]) <= most and edits(a, b) <= most:
+                links.append((first[a], first[b]))
+    top = roots_of(sorted(first.values()), links)
+    gone = {at for w, places in where.items() for at in places if at != top[first[w]]}
+    return {d: "\n".join(line for pos, line in enumerate(text.split("\n")) if (d, pos) not in gone) for d, text in rows}
+
+
+def test_stages_equal_plain_versions(spark):
+    """Line dedup, n-gram join and mixing, one after the other, against every pair compared and every leaf sorted."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 6000")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_lines(list(before.items()))
+    want = {d: t for d, t in want.items() if t == before[d] or regex.search(r"[\p{L}\p{N}]", t)}
+    lined = P.line_stage(spark, docs, SMALL)
+    assert {r.doc_id: r.text for r in lined.collect()} == want
+    lined = spark.createDataFrame(lined.collect(), docs.schema)
+    groups = brute_ngram(list(want.items()), 5, 80)
+    joined = P.ngram_stage(spark, lined, SMALL)
+    assert {r.doc_id for r in joined.collect()} == {d for d, (_, top) in groups.items() if top == d}
+    joined = spark.createDataFrame(joined.collect(), docs.schema)
+    copies, _, sums = plain_mixture(spark, joined, WEIGHTS, P.SHARE, P.EPOCHS, P.SEED)
+    assert all(sums.values()) and {r.doc_id for r in P.mixing_stage(spark, joined, SMALL).collect()} == set(copies)
+
+
 def test_line_stage_keeps_what_is_nowhere_else(spark):
     shared = "\n".join(f"passage {i} that two documents share word for word {i}" for i in range(30))
     rows = [(1, shared, "en", "s", len(shared)), (2, f"{shared}\nonly here", "en", "s", len(shared) + 10), (3, f"{shared}\n---", "en", "s", len(shared) + 4)]
