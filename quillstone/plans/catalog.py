@@ -157,11 +157,10 @@ _board("leaderboard_1y", f"sell_date >= date '{AS_OF}' - 365", "win_rate", 10, l
 _board("leaderboard_ytd", f"sell_date >= date_trunc('year', date '{AS_OF}')", "avg_return", 25, period="ytd")
 _LATEST = _METRICS + """,
 latest as (select * from (select *, row_number() over (partition by politician_id, ticker order by sell_date desc, sell_tx_id desc, buy_date desc, buy_tx_id desc) as k from tm) where k = 1)"""
-_add("trades_with_metrics", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).where(F.col("tx_date") >= "2001-01-01").select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
-     _LATEST + """ select t.tx_id, t.tx_type, cast(l.holding_days as double) as holding_days, round(l.return_pct, 4) as return_pct, round(l.alpha, 4) as alpha, l.benchmark_type from trades t left join latest l on t.tx_type = 'sell' and t.politician_id = l.politician_id and t.ticker = l.ticker where t.tx_date >= date '2001-01-01'""", *_FIFO_TABLES)
-# The same over all dates.
-_add("trades_with_metrics_all", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
+_add("trades_with_metrics", lambda d: metrics.trades_with_metrics(d.trades, metrics.trade_metrics(closed(d))).select("tx_id", "tx_type", F.col("holding_days").cast("double").alias("holding_days"), *r4("return_pct", "alpha"), "benchmark_type"),
      _LATEST + """ select t.tx_id, t.tx_type, cast(l.holding_days as double) as holding_days, round(l.return_pct, 4) as return_pct, round(l.alpha, 4) as alpha, l.benchmark_type from trades t left join latest l on t.tx_type = 'sell' and t.politician_id = l.politician_id and t.ticker = l.ticker""", *_FIFO_TABLES)
+# The same under the name that it had beside a sample.
+_QUERIES["trades_with_metrics_all"] = _QUERIES["trades_with_metrics"]
 _add("politicians_with_metrics", lambda d: metrics.politicians_with_metrics(d.politicians, metrics.trade_metrics(closed(d))).select("politician_id", "party", "total_trades", *r4("avg_return", "win_rate", "percentile")),
      _pm() + """ select politician_id, party, total_trades, round(avg_return, 4) as avg_return, round(win_rate, 4) as win_rate, round(percentile * 100, 4) as percentile from politicians left join (select *, case when count(*) over () > 1
      then 1 - (row_number() over (order by avg_return desc nulls last, politician_id) - 1) * 1e0 / (count(*) over () - 1) else 1 end as percentile from pm) using (politician_id)""", *_FIFO_TABLES, "politicians")
@@ -253,12 +252,10 @@ _add("ticker_normalized", lambda d: d.issuers.withColumn("raw", F.expr(_RAW)).se
      f"""+ r as (select issuer_id, {_RAW} as raw from issuers), s as (select *, trim(raw) as t from r)
      select issuer_id, raw, case when t = '' then null when t like '$$%' then substr(t, 3) || '-USD' when contains(t, ':') then replace(replace(split_part(t, ':', 1), '/', '-'), '.', '-') || (case upper(split_part(t, ':', 2)) when 'LN' then '.L' when 'HK' then '.HK' else '' end) else replace(replace(t, '/', '-'), '.', '-') end as price_ticker,
      case when contains(raw, ':') then substr(raw, instr(raw, ':') + 1) else '(none)' end as suffix from s""", "issuers")
-_add("price_asof_backfill", lambda d: pricing.as_of_prices(d.trades.where("ticker in ('BR01', 'BR02', 'BR04')"), d.prices.where("day(price_date) % 3 = 0")).select("tx_id", "asof_date", *r4("asof_price")),
-     """+ p as (select * from prices where day(price_date) % 3 = 0), t as (select * from trades where ticker in ('BR01', 'BR02', 'BR04'))
-     select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from t left join p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id""", "trades", "prices")
-# The same over all trades and prices; the one above has gaps in its prices for the look-back.
-_add("price_asof_backfill_all", lambda d: pricing.as_of_prices(d.trades, d.prices).select("tx_id", "asof_date", *r4("asof_price")),
-     """select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from trades t left join prices p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id""", "trades", "prices")
+_ASOF_SQL = """select tx_id, max(p.price_date) as asof_date, round(max_by(p.price, p.price_date), 4) as asof_price from trades t left join {0} p on t.ticker = p.ticker and p.price_date between t.tx_date - 7 and t.tx_date group by tx_id"""
+# Over a price table with gaps, as markets have them, so that the look-back counts; and over one with a price for each day of a trade.
+_add("price_asof_backfill", lambda d: pricing.as_of_prices(d.trades, d.market_prices).select("tx_id", "asof_date", *r4("asof_price")), _ASOF_SQL.format("market_prices"), "trades", "market_prices")
+_add("price_asof_backfill_all", lambda d: pricing.as_of_prices(d.trades, d.prices).select("tx_id", "asof_date", *r4("asof_price")), _ASOF_SQL.format("prices"), "trades", "prices")
 _add("benchmark_assignment", lambda d: pricing.benchmarks(d.trades, d.issuers, d.sector_benchmarks).groupBy("gics_sector", "benchmark").agg(F.count("*").alias("n")), "select gics_sector, coalesce(etf, 'SPY') as benchmark, count(*) as n from trades join issuers using (issuer_id) left join (select * from sector_benchmarks where sector is not null) b on b.sector = gics_sector group by 1, 2", "trades", "issuers", "sector_benchmarks")
 _add("enrichment_diagnostics", lambda d: pricing.diagnostics(d.trades)["totals"].select("total", "tried", "priced", "failed", *r4("priced_pct")),
      "select count(*) as total, count(price_enriched_at) as tried, count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) as priced, count(*) filter (price_enriched_at is not null and current_price is null) as failed, round(count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) * 100e0 / count(*), 4) as priced_pct from trades", "trades")
@@ -330,8 +327,8 @@ _add("committees_resolved", lambda d: matching.resolve_committees(d.politicians,
      "select politician_id, coalesce(string_agg(distinct committee_id, ',') filter (cycle is null), string_agg(distinct committee_id || 'x', ',')) as committees from donation_sync group by 1", "donation_sync")
 _braced = lambda sql: sql.replace("{", "{{").replace("}", "}}")
 _CARD_BODY = """concat('["$","a",null,{"href":"/politicians/', politician_id, '","children":[{"className":"cell--name","children":"', full_name, '"},{"className":"party--', party, '"},{"className":"us-state-full--', lower(substr(state, 1, 2)), '"},{"className":"cell--count-trades","a":{"children":"Trades"},"b":{"children":"', cast(cast(substr(politician_id, 2) as bigint) * 7 % 5000 as string), '"}},{"className":"cell--count-issuers","a":{"children":"Issuers"},"b":{"children":"12"}},{"className":"cell--volume","a":{"children":"Volume"},"b":{"children":"$1.5M"}},{"className":"cell--last-traded","a":{"children":"Last Traded"},"b":{"children":"2001-05-06"}}]}]')"""
-_add("politician_cards", lambda d: pages.politician_cards(d.spark.sql(f"select concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_CARD_BODY)})), 2, length(to_json(array({_braced(_CARD_BODY)}))) - 2), '])</script>') as html from {{p}}", p=d.politicians.where("state rlike '^[A-Z]{2}'"))),
-     "select politician_id, full_name as name, party, upper(substr(state, 1, 2)) as state, cast(substr(politician_id, 2) as bigint) * 7 % 5000 as trades, cast(12 as bigint) as issuers, cast(1500000 as bigint) as volume, date '2001-05-06' as last_traded from politicians where regexp_matches(state, '^[A-Z]{2}')", "politicians")
+_add("politician_cards", lambda d: pages.politician_cards(d.spark.sql(f"select concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_CARD_BODY)})), 2, length(to_json(array({_braced(_CARD_BODY)}))) - 2), '])</script>') as html from {{p}}", p=d.politicians)),
+     "select politician_id, full_name as name, party, upper(substr(state, 1, 2)) as state, cast(substr(politician_id, 2) as bigint) * 7 % 5000 as trades, cast(12 as bigint) as issuers, cast(1500000 as bigint) as volume, date '2001-05-06' as last_traded from politicians", "politicians")
 _TRADE_BODY = """concat('{"trades":[{"tradeId":', tx_id, '0,"filingUrl":"http://x/other.pdf"},{"tradeId":', tx_id, ',"size":', value, ',"filingUrl":"http://x/', tx_id, '.pdf","assetType":"', asset_type, '"}]}')"""
 _add("trade_detail_pages", lambda d: pages.trade_details(d.spark.sql(f"select tx_id as trade_id, concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_TRADE_BODY)})), 2, length(to_json(array({_braced(_TRADE_BODY)}))) - 2), '])</script>') as html from {{t}}", t=d.trades)).select("trade_id", "size", "filing_url", "asset_type"),
      "select tx_id as trade_id, value as size, 'http://x/' || tx_id || '.pdf' as filing_url, asset_type from trades", "trades")
