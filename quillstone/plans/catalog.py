@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import schemas as S
 from quillstone.functions import scalars
 from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads
 from quillstone.operators.filters import DonationFilter, IssuerFilter, PoliticianFilter, PortfolioFilter, TradeFilter, any_of
@@ -332,6 +333,20 @@ _add("politician_cards", lambda d: pages.politician_cards(d.spark.sql(f"select c
 _TRADE_BODY = """concat('{"trades":[{"tradeId":', tx_id, '0,"filingUrl":"http://x/other.pdf"},{"tradeId":', tx_id, ',"size":', value, ',"filingUrl":"http://x/', tx_id, '.pdf","assetType":"', asset_type, '"}]}')"""
 _add("trade_detail_pages", lambda d: pages.trade_details(d.spark.sql(f"select tx_id as trade_id, concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_TRADE_BODY)})), 2, length(to_json(array({_braced(_TRADE_BODY)}))) - 2), '])</script>') as html from {{t}}", t=d.trades)).select("trade_id", "size", "filing_url", "asset_type"),
      "select tx_id as trade_id, value as size, 'http://x/' || tx_id || '.pdf' as filing_url, asset_type from trades", "trades")
+_LISTING_BODY = """concat('1:{"data":[{"_txId":', tx_id, ',"txType":"', upper(tx_type), '","value":', value, ',"comment":"a ] \\\\" b","issuer":{"issuerTicker":"', ticker, '"}}]}')"""
+_add("trade_listing_pages", lambda d: pages.trades_of(pages.feed_rows(d.spark.sql(f"select concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_LISTING_BODY)})), 2, length(to_json(array({_braced(_LISTING_BODY)}))) - 2), '])</script>') as html from {{t}}", t=d.trades), "_txId", S.FEED_TRADE)).select("tx_id", "tx_type", "value", "ticker", "comment"),
+     "select tx_id, tx_type, value, ticker, 'a ] \" b' as comment from trades", "trades")
+
+
+def _cursors(d: Domain) -> DataFrame:
+    every = d.donation_sync.withColumns({"last_index": F.lit(100).cast("bigint"), "total_synced": F.lit(7).cast("bigint"), "last_synced": F.lit(None).cast("timestamp")})
+    moved = d.donation_sync.where("cycle is not null").withColumns({"last_index": F.lit(200).cast("bigint"), "total_synced": F.lit(5).cast("bigint")})
+    return merge.complete_cursors(merge.save_cursors(every, moved), d.donation_sync.where("cycle is null"), AS_OF)
+
+
+_add("donation_cursors", lambda d: _cursors(d).select("politician_id", "committee_id", "cycle", "last_index", "total_synced", F.to_date("last_synced").alias("last_synced")),
+     f"select politician_id, committee_id, cycle, cast(case when cycle is not null then 200 end as bigint) as last_index, cast(case when cycle is not null then 12 else 7 end as bigint) as total_synced, case when cycle is null then date '{AS_OF}' end as last_synced from donation_sync", "donation_sync")
+_add("cursors_open", lambda d: merge.open_cursors(_cursors(d)).select("politician_id", "committee_id"), "select politician_id, committee_id from donation_sync where cycle is not null", "donation_sync")
 _add("positions_stored", lambda d: merge.upsert_positions(people_positions(d).where("ticker < 'BR12'").select("politician_id", "ticker", F.lit(0.0).alias("shares_held"), F.lit(None).cast("timestamp").alias("last_updated")), people_positions(d).where("ticker >= 'BR06'").select("politician_id", "ticker", "shares_held"), AS_OF).select("politician_id", "ticker", *r4("shares_held"), F.to_date("last_updated").alias("last_updated")),
      _POSITIONS + f" select politician_id, ticker, case when ticker >= 'BR06' then round(shares_held, 4) else 0 end as shares_held, case when ticker >= 'BR06' then date '{AS_OF}' end as last_updated from positions", *_FIFO_TABLES)
 _add("prices_stored", lambda d: merge.update_current_prices(d.trades.select("tx_id", "ticker", "current_price", F.col("price_enriched_at").cast("timestamp").alias("price_enriched_at")), d.issuers.where("issuer_id % 3 = 0").select("ticker", F.when(F.col("issuer_id") % 2 == 0, F.col("issuer_id") * 1.5).alias("price")), AS_OF).select("tx_id", *r4("current_price"), F.to_date("price_enriched_at").alias("price_enriched_at")),
