@@ -9,13 +9,14 @@ from quillstone.llm.media import op9_mpeg_media
 from quillstone.llm.mixing import op10_source_mixing
 from quillstone.llm.ngram_join import op1_ngram_jaccard_join
 from quillstone.llm.packing import op4_packing
+from quillstone.llm.token_alignment import op12_token_alignment
 from quillstone.llm.token_counts import op2_token_counts
 from quillstone.llm.token_files import op6_token_id_files
 from quillstone.llm.warc import op5_warc_packages
 
 
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op4_packing": op4_packing, "op5_warc_packages": op5_warc_packages, "op6_token_id_files": op6_token_id_files, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_mpeg_media": op9_mpeg_media, "op10_source_mixing": op10_source_mixing}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_token_counts": op2_token_counts, "op3_language_id": op3_language_id, "op4_packing": op4_packing, "op5_warc_packages": op5_warc_packages, "op6_token_id_files": op6_token_id_files, "op7_embedding_near_dedup": op7_embedding_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_mpeg_media": op9_mpeg_media, "op10_source_mixing": op10_source_mixing, "op12_token_alignment": op12_token_alignment}
 
 
 def oracle_sql() -> dict[str, str]:
