@@ -274,7 +274,8 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100, scale: int =
     # The k + 1 smallest ids of each vector; what a task holds more of goes before the shuffle.
     rows = staged(rows, "tree-rows")
     nodes = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("x").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("own").alias("own"))
-    nodes = staged(nodes.withColumn("node", F.element_at("ids", 1)), "tree-vectors")
+    # Numbers that a written table keeps; rows may share an id, so ids don't serve.
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "tree-vectors")
 
     dim = F.expr("length(x) div 4").cast("int")
     # At most PIVOTS vectors of each length, by a hash of the vector: places to begin with, whatever the number of rows.
