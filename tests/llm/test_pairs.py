@@ -203,6 +203,31 @@ def test_all_pairs_of_similar_lines_meet(spark, least, most, blocks):
     assert {r.doc_id for r in out if r.removed} == {d for d in split if top[d] != d}
 
 
+def test_reordered_words_and_longest_deletions_against_brute_force(spark):
+    """Lines of the same words in another order aren't similar; lines shorter by all the edits allowed are, wherever the scarce pairs lie. With nine blocks up to 24 words, beyond with all blocks."""
+    rng = random.Random(4)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(a, b)))
+    rows = [(0, "w2 w11 w28 w101 w109 w164 alpha beta"), (1, "w11 w2 w101 w28 w164 w109 alpha beta"), (2, "xa xb xc xd xe xf abcdefgh xh ijklmnop xj"), (3, "xa xb extraordinary xd xe xf abcdefgh ijklmnop xj")]
+    for n in (5, 8, 10, 12, 15, 16, 20, 24, 30, 45):
+        for _ in range(12):
+            line = [word(2, 9) for _ in range(n)]
+            short, shuffled = list(line), list(line)
+            gone = rng.sample(range(n), n // 5)
+            if len(gone) > 1:  # one of the edits brings a pair that sorts before all others
+                short[gone.pop()] = word(18, 20)
+            for at in sorted(gone, reverse=True):
+                del short[at]
+            for at in range(0, n - 1, 2):
+                shuffled[at], shuffled[at + 1] = shuffled[at + 1], shuffled[at]
+            for x in (line, short, shuffled):
+                rows.append((len(rows), " ".join(x)))
+    for most, blocks in ((24, 9), (99, None)):
+        some = [r for r in rows if len(r[1].split(" ")) <= most]
+        top = roots_of([d for d, _ in some], similar_pairs(some))
+        out = dedup_lines(spark.createDataFrame(some, "doc_id bigint, text string"), most_blocks=blocks).collect()
+        assert {r.doc_id for r in out if r.removed} == {d for d, _ in some if top[d] != d}
+
+
 @pytest.mark.parametrize("words", [8, 10, 15, 20, 30, 40, 80, 200])
 def test_share_of_similar_pairs_found_with_nine_blocks(spark, words):
     """Pairs of a line and one with exactly as many words edited as similarity 0.8 allows: at least 0.97 are found (all of them up to 24 words)."""
