@@ -2,47 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.scalars import committee_class, employer_name, is_no_employer
-from quillstone.functions.similarity import jaro_winkler
+from quillstone.functions.similarity import Names, least_jaro, near_pairs
 
 #: Names shorter than this match exactly or not at all; similarity a fuzzy match needs.
 LEAST_LETTERS, THRESHOLD = 5, 0.85
+#: Names of a block, and code points of all of them.
+BLOCK, BLOCK_UNITS = 4096, 1 << 20
 
 
-def _letters(name: str) -> Column:
-    """The letters of a name, each with its number among equal ones, scarce ones (later numbers) first: two names have as many such in common as letters."""
-    chars = F.filter(F.split(name, ""), lambda c: c != "")
-    return F.array_sort(F.transform(chars, lambda c, i: F.concat(F.lpad((F.lit(99) - F.least(F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == c)), F.lit(99))).cast("string"), 2, "0"), c)))
+def _classes(df: DataFrame) -> dict[int, int]:
+    """Names of each class of lengths, whose longest is less than twice the shortest: a few rows."""
+    return {r.k: r.n for r in df.groupBy("k").agg(F.count("*").alias("n")).collect()}
 
 
-def _least_jaro(threshold: float, same: int) -> float:
-    """What Jaro must be at least where so many first letters are equal: they add a tenth of the rest each, but only above 0.7."""
-    return min(threshold, max(0.7, (threshold - 0.1 * same) / (1 - 0.1 * same)))
+def _numbered(classes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """The first block of each class and their number; blocks of long names hold fewer of them."""
+    out, at = {}, 0
+    for k in sorted(classes):
+        n = -(-classes[k] // max(1, min(BLOCK, BLOCK_UNITS >> (k + 1))))
+        out[k], at = (at, n), at + n
+    return out
 
 
 def near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of names that may reach the threshold, a superset of those that do, by equality joins.
+    """Pairs (a, b, score) of distinct names, `a` of left and `b` of right, whose Jaro-Winkler similarity reaches the threshold; null and empty names are near none.
 
-    Jaro of names with m letters in common is at most (m / |a| + m / |b| + 1) / 3. Names with an equal first
-    letter meet by it. All others get nothing for their beginning, so they need more letters in common: of
-    the letters in one order they share one among the first |a| - least + 1 of each. What meets is held
-    against the bound by its letters before it is scored.
+    Names are dealt to blocks by classes of their length, and blocks meet where lengths allow for the threshold
+    at all. Within two blocks the letters that names have in common are counted in bit marks, array against
+    array, and only pairs within the bound of the threshold are formed and scored. So each name of one side is
+    held against marks of the other side's names, none is dropped, and a task holds two blocks of bounded size.
     """
-    shape = lambda df, c: df.select(F.col(c), F.length(c).alias(f"n{c}"), _letters(c).alias(f"l{c}"))
-    one, two = shape(left, "a"), shape(right, "b")
-    apart = max(0.0, 3 * _least_jaro(threshold, 0) - 2)
-    prefix = lambda df, c: df.withColumn("key", F.explode(F.slice(f"l{c}", F.lit(1), F.greatest(F.lit(0), F.col(f"n{c}") - F.greatest(F.lit(1), F.ceil(F.col(f"n{c}") * apart - 1e-9)) + 1).cast("int"))))
-    begin = lambda df, c: df.withColumn("key", F.substring(c, 1, 1))
-    met = begin(one, "a").join(begin(two, "b"), "key").unionByName(prefix(one, "a").join(prefix(two, "b"), "key").where(F.substring("a", 1, 1) != F.substring("b", 1, 1)))
-    same = F.lit(4)
-    for k in (4, 3, 2, 1):
-        same = F.when(F.substring("a", 1, k) != F.substring("b", 1, k), k - 1).otherwise(same)
-    least = F.element_at(F.array(*[F.lit(3 * _least_jaro(threshold, k) - 1) for k in range(5)]), same + 1)
-    common = F.size(F.array_intersect("la", "lb"))
-    return met.where(common * (1 / F.col("na") + 1 / F.col("nb")) >= least - 1e-9).select("a", "b").distinct()
+    side = lambda df, c: df.select(F.col(c)).where(F.length(c) > 0).distinct().withColumn("k", F.floor(F.log2(F.length(c).cast("double")) + 1e-9).cast("int"))
+    one, two = side(left, "a"), side(right, "b")
+    of_one, of_two = _numbered(_classes(one)), _numbered(_classes(two))
+    # The shorter name's letters are at most all in common.
+    ratio = max(0.0, 3 * least_jaro(threshold, 4) - 2)
+    meets = lambda k, j: min(2 ** (k + 1) - 1, 2 ** (j + 1) - 1) >= ratio * max(2**k, 2**j) - 1e-9
+
+    def dealt(df: DataFrame, name: str, own: dict, other: dict, mine: str, others: str) -> DataFrame:
+        spans = {k: [other[j] for j in other if meets(k, j)] for k in own}
+        spans = {k: (min(at for at, _ in s), max(at + n for at, n in s) - 1) for k, s in spans.items() if s}
+        if not spans:
+            return df.where("false").select(F.lit(0).alias(mine), F.lit(0).alias(others), name)
+        of = lambda f: F.element_at(F.create_map(*[F.lit(x) for k in spans for x in (k, f(k))]), F.col("k"))
+        block = of(lambda k: own[k][0]) + F.pmod(F.xxhash64(name), of(lambda k: own[k][1])).cast("int")
+        met = df.where(F.col("k").isin(list(spans)))
+        return met.select(block.alias(mine), F.explode(F.sequence(of(lambda k: spans[k][0]), of(lambda k: spans[k][1]))).alias(others), name)
+
+    def compared(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = a.column("a").to_pylist(), b.column("b").to_pylist()
+        i, j, score, _ = near_pairs(Names.of(x), Names.of(y), threshold)
+        return pa.table({"a": pa.array([x[k] for k in i], pa.string()), "b": pa.array([y[k] for k in j], pa.string()), "score": pa.array(score)})
+
+    key = ["block", "other"]
+    rows, columns = dealt(one, "a", of_one, of_two, "block", "other"), dealt(two, "b", of_two, of_one, "other", "block")
+    return rows.groupBy(*key).cogroup(columns.groupBy(*key)).applyInArrow(compared, "a string, b string, score double")
 
 
 def match_employers(employers: DataFrame, issuers: DataFrame, threshold: float = THRESHOLD, column: str = "contributor_employer") -> DataFrame:
@@ -56,8 +75,7 @@ def match_employers(employers: DataFrame, issuers: DataFrame, threshold: float =
     distinct = raw.select("normalized").distinct()
     exact = distinct.join(names, F.col("normalized") == F.col("issuer")).groupBy("normalized").agg(F.min(F.struct("issuer_id", "ticker")).alias("m")).select("normalized", "m.*", F.lit(1.0).alias("confidence"), F.lit("exact").alias("match_type"))
     rest = distinct.join(exact, "normalized", "left_anti").where(F.octet_length("normalized") >= LEAST_LETTERS)
-    pairs = near_names(rest.select(F.col("normalized").alias("a")), names.select(F.col("issuer").alias("b")).distinct(), threshold)
-    scored = pairs.withColumn("score", jaro_winkler("a", "b")).where(F.col("score") >= threshold)
+    scored = near_names(rest.select(F.col("normalized").alias("a")), names.select(F.col("issuer").alias("b")), threshold)
     # Of issuers that share a name, the one of the smallest id.
     first = names.groupBy("issuer").agg(F.min(F.struct("issuer_id", "ticker")).alias("m")).select(F.col("issuer").alias("b"), "m.*")
     fuzzy = scored.join(first, "b").groupBy(F.col("a").alias("normalized")).agg(F.max_by(F.struct("issuer_id", "ticker", "score"), F.struct("score", -F.col("issuer_id"))).alias("m")).select("normalized", "m.issuer_id", "m.ticker", F.col("m.score").alias("confidence"), F.lit("fuzzy").alias("match_type"))

@@ -277,6 +277,13 @@ _add("employer_fuzzy_match", lambda d: matching.match_employers(d.donations, d.i
      _MATCH + """, s as (select normalized, issuer_id, jaro_winkler_similarity(normalized, issuer) as score from (select distinct normalized from e where normalized not in (select normalized from x) and strlen(normalized) >= 5) cross join n),
      best as (select normalized, max_by(issuer_id, (score, -issuer_id)) as issuer_id, max(score) as confidence from s where score >= 0.75 group by 1)
      select employer, normalized, issuer_id, ticker, round(confidence, 4) as confidence, match_type from e join (select normalized, issuer_id, 1e0 as confidence, 'exact' as match_type from x union all select normalized, issuer_id, confidence, 'fuzzy' from best) using (normalized) join n using (issuer_id)""", "donations", "issuers")
+# Hundreds of names on both sides: parts by name and type, once with the endings and misspellings of donors, once as listed companies.
+_FIRMS = ("select distinct concat(case when p_size % 3 = 0 then replace(p_name, 'e', '') when p_size % 3 = 1 then concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) else p_name end, ' ', lower(p_type), case when p_size % 2 = 0 then ' Inc.' else ', LLC' end) as contributor_employer from part",
+          "select dense_rank() over (order by name) as issuer_id, concat(name, ' Corp') as issuer_name, concat('T', dense_rank() over (order by name)) as ticker from (select distinct concat(p_name, ' ', lower(p_type)) as name from part where p_partkey % 7 <> 3) n")
+_add("employer_names_near", lambda d: matching.match_employers(*[d.spark.sql(q.replace("from part", "from {part}"), part=d.base("part")) for q in _FIRMS]).select("employer", "normalized", F.col("issuer_id").cast("bigint").alias("issuer_id"), "ticker", F.round("confidence", 4).alias("confidence"), "match_type"),
+     f"""with donations as ({_FIRMS[0]}), issuers as ({_FIRMS[1]}),\n""" + _MATCH.lstrip("+ ") + """, s as (select normalized, issuer_id, jaro_winkler_similarity(normalized, issuer) as score from (select distinct normalized from e where normalized not in (select normalized from x) and strlen(normalized) >= 5) cross join n),
+     best as (select normalized, max_by(issuer_id, (score, -issuer_id)) as issuer_id, max(score) as confidence from s where score >= 0.85 group by 1)
+     select employer, normalized, cast(issuer_id as bigint) as issuer_id, ticker, round(confidence, 4) as confidence, match_type from e join (select normalized, issuer_id, 1e0 as confidence, 'exact' as match_type from x union all select normalized, issuer_id, confidence, 'fuzzy' from best) using (normalized) join n using (issuer_id)""")
 _LEGISLATORS = "select struct(concat('B', politician_id) as bioguide, array(concat('H', politician_id), concat('S', politician_id)) as fec) as id, struct('x' as first, upper(last_name) as last, full_name as official_full) as name, array(struct('rep' as type, '' as start, '' as end, 'ZZ' as state, '' as party), struct('rep' as type, '' as start, '' as end, lower(state) as state, '' as party)) as terms from {p}"
 _add("fec_name_match", lambda d: matching.match_legislators(d.spark.sql(_LEGISLATORS, p=d.politicians), d.politicians.unionByName(d.politicians.where("party = 'other'").withColumn("politician_id", F.concat("politician_id", F.lit("x"))))),
      "+ p as (select politician_id, last_name, state from politicians where party <> 'other') select politician_id, 'B' || politician_id as bioguide_id, unnest(['H' || politician_id, 'S' || politician_id]) as fec_candidate_id from p", "politicians")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone import schemas as S
 from quillstone.functions import scalars, validation
-from quillstone.functions.similarity import jaro_winkler_score
+from quillstone.functions.similarity import Names, jaro_winkler_score, near_pairs
 from quillstone.operators import anomaly, conflicts, donations, fifo, filters, matching, merge, metrics, portfolio, pricing, reads
 from quillstone.plans import catalog
 from quillstone.sources import exports, pages, seeds
@@ -201,25 +201,68 @@ def test_jaro_winkler(a, b, want):
     assert jaro_winkler_score(a, b) == pytest.approx(want, abs=1e-6)
 
 
-@pytest.mark.parametrize("threshold", [0.75, 0.85, 0.95])
-def test_no_near_name_is_missed(spark, threshold):
-    """The pairs that meet hold all that reach the threshold when every pair is scored."""
+def plain_jaro_winkler(a, b):
+    """Letter by letter, as the definition goes."""
+    if a == b or not a or not b:
+        return float(a == b)
+    reach, taken, kept = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, ch in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == ch), None)
+        if j is not None:
+            taken.add(j)
+            kept.append(ch)
+    m = len(kept)
+    if not m:
+        return 0.0
+    s = (m / len(a) + m / len(b) + (m - sum(x != b[j] for x, j in zip(kept, sorted(taken), strict=True)) // 2) / m) / 3
+    same = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return s + 0.1 * same * (1 - s) if s > 0.7 else s
+
+
+def made_names(rng, n, letters="etaoinshrdlucmfywgpbvk "):
+    words = ["".join(rng.choice(letters[:-1]) for _ in range(rng.randint(2, 9))) for _ in range(max(30, n // 4))]
+    return list(dict.fromkeys(" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(n)))
+
+
+def misspelt(rng, name):
+    out = list(name)
+    for _ in range(rng.randint(0, 4)):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice(([], [out[at], rng.choice("abcxyz7-")], [rng.choice("abcxyzé")], [" ", out[at]]))
+        out = out or ["q"]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold,block", [(0.75, 4096), (0.85, 16), (0.95, 50)])
+def test_near_names_are_all_that_reach_the_threshold(spark, monkeypatch, threshold, block):
+    """Against every pair scored letter by letter; in one block and in many; short, long, repeated, empty and null names."""
+    monkeypatch.setattr(matching, "BLOCK", block)
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 18))).strip() + "z" for _ in range(60)]
+    right = [*made_names(rng, 150), "a", "ab", "é", "7", "aaaaaaaaaaaa", "x" * 700, None, ""]
+    left = sorted({misspelt(rng, b) for b in right if b for _ in range(2)}) + ["", "a", "b", "ba", "aaaaaaa", "x" * 650 + "y" * 50]
+    as_table = lambda names, c: spark.createDataFrame([(x,) for x in [*names, names[0], None]], f"{c} string")
+    got = {(r.a, r.b): r.score for r in matching.near_names(as_table(left, "a"), as_table(right, "b"), threshold).collect()}
+    near = {(a, b): s for a in left for b in right if a and b and (s := plain_jaro_winkler(a, b)) >= threshold}
+    assert got == pytest.approx(near, abs=1e-12) and len(near) > 100
 
-    def edited(name):
-        out = list(name)
-        for _ in range(rng.randint(0, 4)):
-            at = rng.randrange(len(out))
-            out[at : at + 1] = rng.choice(([], [out[at], rng.choice("abcxyz")], [rng.choice("abcxyz")]))
-            out = out or ["q"]
-        return "".join(out)
 
-    left, right = sorted({edited(b) for b in base for _ in range(3)}), sorted(set(base))
-    met = {(r.a, r.b) for r in matching.near_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), threshold).collect()}
-    near = {(a, b) for a in left for b in right if jaro_winkler_score(a, b) >= threshold}
-    assert near <= met and len(near) > 50
-    assert len(met) < 0.8 * len(left) * len(right)
+def test_few_pairs_of_names_are_formed():
+    """At 3,000 x 3,000 distinct names under a twentieth of all pairs, and all that count."""
+    rng = random.Random(11)
+    right = made_names(rng, 3000)
+    left = list(dict.fromkeys(misspelt(rng, b) for b in right))
+    a, b = Names.of(left), Names.of(right)
+    i, j, _, scored = near_pairs(a, b, matching.THRESHOLD)
+    assert scored < 0.05 * len(left) * len(right)
+    some = rng.sample(range(len(left)), 40)
+    near = {(x, y) for x in some for y in range(len(right)) if plain_jaro_winkler(left[x], right[y]) >= matching.THRESHOLD}
+    assert near == {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x in set(some)} and near
+
+
+def test_near_names_of_nothing(spark):
+    names = spark.createDataFrame([("alpha beta",)], "a string")
+    assert matching.near_names(names, spark.createDataFrame([], "b string"), 0.85).count() == 0
+    assert matching.near_names(names, spark.createDataFrame([("x" * 300,)], "b string"), 0.85).count() == 0
 
 
 def test_validators():
@@ -302,6 +345,34 @@ def test_page_payloads(spark):
     assert pages.enclosing_object('{"a":{"tradeId":5,"b":1}}', '"tradeId":5') == '{"tradeId":5,"b":1}'
 
 
+def test_structure_of_odd_texts():
+    stray = '1:T9,a " stray [ quote }\n2:{"data":[ {"_txId":7,"note":"] \\" }"}],"next":[1]}\n'
+    assert json.loads(pages.array_with_key(stray, "_txId")) == [{"_txId": 7, "note": '] " }'}]
+    assert pages.array_with_key('{"data":[{"inner":{"_txId":1}}]}', "_txId") is None  # not a key of the item itself
+    assert pages.array_with_key('{"data":[{"a":[{"_txId":1}]}],"more":{"data":[{"_txId":2}]}}', "_txId") == '[{"_txId":2}]'
+    assert pages.array_with_key('{"data":[],"x":{"data":[{"_txId":bad}]},"y":{"data":[{"_txId":3}]}}', "_txId") == '[{"_txId":3}]'
+    assert pages.array_with_key('{"data":[{"_txId":1}', "_txId") is None and pages.array_with_key("", "_txId") is None
+    assert pages.value_at('{"a":"é [","b":[{}]}x', 0) == '{"a":"é [","b":[{}]}' and pages.value_at("x", 0) is None
+    assert pages.trade_record('{"a":{"tradeId":5,"b":{"c":1},"d":2},"tradeId":6}', 6) == ('{"a":{"tradeId":5,"b":{"c":1},"d":2},"tradeId":6}', None)
+    assert pages.enclosing_object('{"a":[1,{"b":2},"mark"]}', '"mark"') == '{"a":[1,{"b":2},"mark"]}'
+
+
+@pytest.mark.parametrize("make", [lambda n: '{"data":[{"x":' * n + "1" + "}]}" * n, lambda n: '{"data":[{"tradeId":12,"y":[' + '{"tradeId":12,"z":' * n + "0" + "}" * n + "]}]}", lambda n: '"' + "[{" * n])
+def test_time_of_pages_is_linear_in_their_length(make):
+    """Deeply nested candidates: eight times the text takes well under the square of that."""
+    import time
+
+    def took(n):
+        text, began = make(n), time.process_time()
+        assert pages.array_with_key(text, "_txId") is None
+        pages.enclosing_object(text, "0")
+        pages.trade_record(text, 99)
+        return time.process_time() - began
+
+    small = max(took(20_000), 0.02)
+    assert took(160_000) < 24 * small
+
+
 def pushed(body):
     return f'<script>self.__next_f.push([1,{json.dumps(body)}])</script>'
 
