@@ -1,13 +1,15 @@
 """Captured pages and feed files to typed rows.
 
 Payloads of pages are found with regular expressions in the JVM; only the isolation of a JSON value by its
-matching bracket is an Arrow UDF, a helper of a few lines.
+matching bracket is an Arrow UDF: one pass over a text's strings and brackets gives all spans at once, so time is
+linear in the text whatever its nesting.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,22 +29,53 @@ def payload(html: str = "html") -> Column:
     return F.when(F.size(parts) > 0, F.array_join(texts, ""))
 
 
+#: What structure follows from: whole strings, and brackets outside them. A string ends with its line at the latest, so a stray quote in plain text spoils no other line.
+_TOKEN = re.compile(r'"(?:[^"\\\n]++|\\.)*+"|[\[\]{}]')
+
+
+class Structure:
+    """The arrays and objects of a text, found in one pass with a stack: where each begins and ends, and what it lies in.
+
+    A bracket that closes nothing of its kind is plain text. `keyed` are the objects that have `key` as a key of their own.
+    """
+
+    def __init__(self, text: str, key: str | None = None):
+        self.text, self.opens, self.ends, self.parents, self.keyed = text, [], [], [], set()
+        quoted, stack = None if key is None else json.dumps(key), []
+        for m in _TOKEN.finditer(text):
+            at = m.start()
+            ch = text[at]
+            if ch == '"':
+                if stack and m.end() - at == len(quoted or "") and m[0] == quoted and text[m.end() : m.end() + 1] == ":" and text[self.opens[stack[-1]]] == "{":
+                    self.keyed.add(stack[-1])
+            elif ch in "[{":
+                self.opens.append(at)
+                self.ends.append(0)
+                self.parents.append(stack[-1] if stack else -1)
+                stack.append(len(self.opens) - 1)
+            elif stack and text[self.opens[stack[-1]]] == ("[" if ch == "]" else "{"):
+                self.ends[stack.pop()] = at + 1
+
+    def begun(self, at: int) -> int:
+        """The array or object that begins at a place, or -1."""
+        k = bisect_left(self.opens, at)
+        return k if k < len(self.opens) and self.opens[k] == at else -1
+
+    def value(self, k: int) -> str | None:
+        return self.text[self.opens[k] : self.ends[k]] if k >= 0 and self.ends[k] else None
+
+    def around(self, at: int) -> int:
+        """The innermost array or object that holds a place, or -1."""
+        k = bisect_right(self.opens, at) - 1
+        while k >= 0 and self.ends[k] <= at:
+            k = self.parents[k]
+        return k
+
+
 def value_at(text: str, start: int) -> str | None:
     """The array or object that begins at a place; brackets within strings don't count."""
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)):
-        ch = text[i]
-        if quoted:
-            escaped, quoted = ch == "\\" and not escaped, not (ch == '"' and not escaped)
-        elif ch == '"':
-            quoted = True
-        elif ch in "[{":
-            depth += 1
-        elif ch in "]}":
-            depth -= 1
-            if depth == 0:
-                return text[start : i + 1]
-    return None
+    part = Structure(text[start:])
+    return part.value(part.begun(0))
 
 
 def value_after(text: str, mark: str, opening: str = "{") -> str | None:
@@ -54,35 +87,36 @@ def value_after(text: str, mark: str, opening: str = "{") -> str | None:
 
 def array_with_key(text: str, key: str) -> str | None:
     """The first "data" array whose first item has the key."""
+    if key not in text:
+        return None
+    parts = Structure(text, key)
     at = text.find('"data":[')
     while at >= 0:
-        found = value_at(text, at + 7)
-        if found:
+        k = parts.begun(at + 7)
+        # Its first item, if that is an object, is what is opened next.
+        if k >= 0 and parts.ends[k] and k + 1 in parts.keyed and parts.parents[k + 1] == k and not text[at + 8 : parts.opens[k + 1]].strip():
             try:
-                items = json.loads(found)
+                json.loads(parts.value(k))
+                return parts.value(k)
             except ValueError:
-                items = []
-            if items and isinstance(items[0], dict) and key in items[0]:
-                return found
+                pass
         at = text.find('"data":[', at + 8)
     return None
 
 
-def object_around(text: str, at: int) -> str | None:
-    """The innermost object that holds a place."""
-    start = text.rfind("{", 0, at)
-    while start >= 0:
-        found = value_at(text, start)
-        if found and start + len(found) > at:
-            return found
-        start = text.rfind("{", 0, start)
-    return None
+def object_around(parts: Structure, at: int) -> int:
+    """The innermost object that holds a place, or -1."""
+    k = parts.around(at)
+    while k >= 0 and parts.text[parts.opens[k]] != "{":
+        k = parts.parents[k]
+    return k
 
 
 def enclosing_object(text: str, mark: str) -> str | None:
     """The innermost object that holds a mark."""
     at = text.find(mark)
-    return object_around(text, at) if at >= 0 else None
+    parts = Structure(text) if at >= 0 else None
+    return parts.value(object_around(parts, at)) if parts else None
 
 
 #: Characters on each side of a trade's id in which an address still counts as that trade's.
@@ -92,14 +126,18 @@ _ADDRESS = re.compile(r'"filingUrl":"((?:[^"\\]|\\.)*)"')
 
 def trade_record(text: str, trade_id: int) -> tuple[str | None, str | None]:
     """(object, address): the first object that is the trade's own by its parsed id; short of that, an address near its id."""
+    parts, seen = None, set()
     for m in re.finditer(rf'"tradeId":\s*{int(trade_id)}(?!\d)', text):
-        found = object_around(text, m.start())
-        try:
-            record = json.loads(found) if found else None
-        except ValueError:
-            record = None
-        if isinstance(record, dict) and record.get("tradeId") == trade_id:
-            return found, None
+        parts = parts or Structure(text)
+        k = parts.around(m.start())
+        if k >= 0 and k not in seen and text[parts.opens[k]] == "{":  # its own key, not that of an object around it
+            seen.add(k)
+            try:
+                record = json.loads(parts.value(k) or "")
+            except ValueError:
+                record = None
+            if isinstance(record, dict) and record.get("tradeId") == trade_id:
+                return parts.value(k), None
         address = _ADDRESS.search(text, max(0, m.start() - NEARBY), m.start() + NEARBY)
         if address:
             return None, json.loads(f'"{address[1]}"')
