@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from quillstone import schemas as S
 from quillstone.functions import scalars
-from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads
+from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads, statistics
+from quillstone.operators.buckets import Buckets
 from quillstone.operators.filters import DonationFilter, IssuerFilter, PoliticianFilter, PortfolioFilter, TradeFilter, any_of
 from quillstone.sources import exports, pages, seeds
 from quillstone.sources.adapters import AS_OF, JURISDICTIONS, Domain, ctes
+from quillstone.sources.shared import shared_folder
 
 _QUERIES: dict[str, tuple[Callable[[Domain], DataFrame], str | None]] = {}
 
@@ -309,6 +311,54 @@ _add("backfill_shares", lambda d: merge.backfill_shares(d.trades.select("tx_id",
 _add("membership_replace", lambda d: merge.replace_memberships(d.politician_committees.unionByName(d.politician_committees), d.politicians.where("chamber = 'house'")), "select politician_id, committee from politician_committees where politician_id in (select politician_id from politicians where chamber = 'house')", "politicians", "politician_committees")
 _add("orphan_donations", lambda d: merge.orphans(d.donations, d.fec_committees, "committee_id").groupBy("committee_id").agg(F.count("*").alias("n")), "select committee_id, count(*) as n from donations where committee_id not in (select committee_id from fec_committees) group by 1", "donations", "politicians", "donation_sync", "fec_committees")
 
+# Merges of touched buckets, and statistics that add up.
+def _bucket_store(d: Domain) -> Buckets:
+    return Buckets(d.spark, shared_folder(d.spark, "buckets"), 32)
+
+
+def _touched(d: Domain) -> DataFrame:
+    """The trades of one politician in a hundred come again; only their buckets are written anew."""
+    store, columns = _bucket_store(d), ["tx_id", "politician_id", "asset_type", "value", "comment"]
+    rows = d.trades.select(*columns)
+    store.create(trades=(rows, ["politician_id"]))
+    store.merge(trades=(rows.where("cast(substr(politician_id, 2) as bigint) % 100 = 7").withColumns({"value": F.col("value") + 5, "comment": F.when(F.col("value") % 2 == 0, F.col("comment"))}), merge.upsert_trades))
+    return store.read("trades")
+
+
+_add("merge_touched_buckets", _touched, "select tx_id, politician_id, asset_type, value + case when cast(substr(politician_id, 2) as bigint) % 100 = 7 then 5 else 0 end as value, comment from trades", "trades")
+
+
+def _pulled(d: Domain) -> DataFrame:
+    """Donations and the cursors of their pull, published together page by page; the second page brings rows of the first again."""
+    store = _bucket_store(d)
+    gifts = d.donations.select("sub_id", "committee_id", "amount", "receipt_date")
+    cursor = lambda rows: rows.groupBy(F.lit("P").alias("politician_id"), "committee_id", F.lit(2024).alias("cycle")).agg(F.max(F.col("sub_id").cast("bigint")).alias("last_index"), F.count("*").alias("total_synced"))
+    pages = [gifts.where("receipt_date < date '2024-01-16'"), gifts.where("receipt_date >= date '2024-01-11'")]
+    store.create(donations=(gifts.where("false"), ["sub_id"]), cursors=(cursor(gifts.where("false")), ["committee_id"]))
+    for number, page in enumerate(pages):
+        store.merge(number, donations=(page, merge.insert_donations), cursors=(cursor(page), merge.save_cursors))
+    total = store.read("donations").groupBy("committee_id").agg(F.count("*").alias("n"), F.round(donations.money(), 2).alias("amount"))
+    return store.read("cursors").join(total, "committee_id").select("committee_id", "last_index", "total_synced", "n", "amount")
+
+
+_add("pull_published_together", _pulled,
+     """+ c as (select committee_id, max(cast(sub_id as bigint)) filter (receipt_date >= date '2024-01-11') as late, max(cast(sub_id as bigint)) as last_index, count(*) filter (receipt_date < date '2024-01-16') + count(*) filter (receipt_date >= date '2024-01-11') as total_synced, count(*) as n, round(cast(sum(cast(amount as decimal(18, 4))) as double), 2) as amount from donations group by 1)
+     select committee_id, coalesce(late, last_index) as last_index, total_synced, n, amount from c""", "donations")
+
+
+def _incremental(d: Domain, key: str, other: str) -> DataFrame:
+    """Three runs of new trades, each added to what is kept."""
+    runs = [d.trades.where(f"tx_id % 3 = {k}") for k in range(3)]
+    states, known = statistics.state(runs[0], key, other), statistics.pairs(runs[0], key, other)
+    for run in runs[1:]:
+        states, known = statistics.added(states, statistics.state(run, key, other), key), statistics.added_pairs(known, statistics.pairs(run, key, other))
+    out = statistics.told(states, known, key)
+    return out.select(key, "count_trades", "volume", "date_last", "count_partners", (F.abs(F.col("about_partners") - F.col("count_partners")) <= 1 + 0.1 * F.col("count_partners")).alias("sketch_near"))
+
+
+for _key, _other in (("issuer_id", "politician_id"), ("politician_id", "issuer_id")):
+    _add(f"stats_added_{_key.removesuffix('_id')}", lambda d, k=_key, o=_other: _incremental(d, k, o), f"select {_key}, count(*) as count_trades, cast(sum(cast(value as decimal(28, 2))) as double) as volume, max(tx_date) as date_last, count(distinct {_other}) as count_partners, true as sketch_near from trades group by 1", "trades")
+
 # Pages and formats.
 _add("html_extract", lambda d: d.base("pages").select("page_id", F.regexp_extract("html", r"<html lang=\"([a-z]+)\"", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).cast("bigint").alias("links"), scalars.filing_id(F.concat("url", F.lit("/"), "page_id", F.lit(".pdf?x=1"))).alias("filing_id")),
      r"""select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, cast(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) as bigint) as links, case when contains(url, '?') then try_cast(nullif(regexp_extract(split_part(url, '?', 1), '(?:^|/)([0-9]+)(?:\.pdf)*$', 1), '') as bigint) else page_id end as filing_id from pages""")

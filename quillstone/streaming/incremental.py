@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.sources import captures
+from quillstone.sources.shared import shared_folder
 
 
 def _folder(spark: SparkSession) -> str:
-    """State and sinks live in the shared folder that the session names. Where it names none, a session in local mode gets a temporary one; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and spark.sparkContext.master.startswith("local"):
-        base = tempfile.mkdtemp(prefix="quillstone-")
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Where a stream keeps its state and what it writes."""
+    return shared_folder(spark, "stream")
 
 
 def read_new(spark: SparkSession, path: str, schema) -> DataFrame:
