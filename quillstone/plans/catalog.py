@@ -137,6 +137,9 @@ pos as (select b.politician_id, b.ticker, sum(b.shares - coalesce(s.shares, 0))
     from f4 b left join sold s on b.tx_id = s.buy_tx_id where b.tx_type <> 'sell' group by all),
 positions as (select politician_id, ticker, shares_held, case when shares_held > 1e-4 then cost / shares_held else 0 end as cost_basis, realized_pnl from pos)"""
 )
+# All politicians' trades as those of one: keys with very many trades, each shared among tasks.
+_add("fifo_hot_keys", lambda d: fifo.closed_lots(analytics_trades(d).withColumn("politician_id", F.lit("P")), most=400).select("ticker", "buy_tx_id", "sell_tx_id", *r4("shares")),
+     _FIFO.replace("select t.*,", "select t.* replace ('P' as politician_id),") + " select ticker, buy_tx_id, sell_tx_id, round(shares, 4) as shares from lots", *_FIFO_TABLES)
 _add("fifo_positions", lambda d: people_positions(d).select("politician_id", "ticker", *r4("shares_held", "cost_basis", "realized_pnl")),
      _POSITIONS + "\nselect politician_id, ticker, round(shares_held, 4) as shares_held, round(cost_basis, 4) as cost_basis, round(realized_pnl, 4) as realized_pnl from positions", *_FIFO_TABLES)
 _add("trade_metrics", lambda d: metrics.trade_metrics(closed(d)).select("buy_tx_id", "sell_tx_id", "holding_days", *r4("return_pct", "annualized", "alpha"), "benchmark_type"),

@@ -259,6 +259,18 @@ def test_few_pairs_of_names_are_formed():
     assert near == {(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x in set(some)} and near
 
 
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_stretches_of_a_key_give_the_rows_of_one_run(spark, most):
+    """One key with all trades, many on a day and at equal ends, sells beyond what is held; and a small key beside it."""
+    rng = random.Random(most)
+    rows = [(i, "P1" if i % 9 else "P2", "AA", rng.choice(("buy", "sell", "sell", "receive", "exchange")), dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(40)), float(rng.randint(1, 6)), float(i)) for i in range(400)]
+    trades = spark.createDataFrame(rows, TRADE)
+    flat = lambda df: sorted((r.politician_id, r.buy.tx_id, r.sell.tx_id if r.sell else -1, round(r.shares, 6)) for r in df.collect())
+    assert flat(fifo.slices(trades, most=most)) == flat(fifo.slices(trades))
+    parts = fifo._stretches(trades, fifo.KEYS, F.datediff("tx_date", F.lit("1970-01-01")).cast("double"), most).groupBy("politician_id").agg(F.countDistinct("_part").alias("n")).collect()
+    assert max(r.n for r in parts) == {1: 40, 7: 40, 100_000: 1}[most]
+
+
 def test_near_names_of_nothing(spark):
     names = spark.createDataFrame([("alpha beta",)], "a string")
     assert matching.near_names(names, spark.createDataFrame([], "b string"), 0.85).count() == 0
