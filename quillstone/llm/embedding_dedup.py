@@ -213,3 +213,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of vectors of a label: fit for the small tables of the comparison only.
+SQL = r"""WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.93),
+    c AS (SELECT vec_id AS node, vec_id AS dest FROM v UNION SELECT c.node, l.b FROM c JOIN l ON l.a = c.dest),
+    root AS (SELECT node, min(dest) AS root FROM c GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+    SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(root.root, e.vec_id) AS component_id, coalesce(root.root, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN root ON root.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

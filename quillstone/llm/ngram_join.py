@@ -346,3 +346,19 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: int = 80, id_co
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), width=4, threshold=85)
+
+
+#: Every pair of documents that share a shingle: fit for the small tables of the comparison only.
+SQL = r"""WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS s FROM w, unnest(range(1, greatest(2, len(w) - 2))) AS u(i) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS rep FROM (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS whole FROM s GROUP BY 1)),
+    r AS (SELECT s.* FROM s JOIN same USING (doc_id) WHERE doc_id = rep),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM r x JOIN r y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    c AS (SELECT rep AS node, rep AS dest FROM same UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.dest),
+    root AS (SELECT node, min(dest) AS root FROM c GROUP BY 1)
+    SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root.root, d.doc_id) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN same USING (doc_id) LEFT JOIN root ON root.node = same.rep"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.llm import exponion, metric_tree
+from quillstone.llm import embedding_dedup, exponion, metric_tree, ngram_join, warc
 from quillstone.llm.embedding_dedup import op7_embedding_near_dedup
 from quillstone.llm.exponion import op11_exponion_clusters
 from quillstone.llm.language_id import op3_language_id
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_exponion_clusters": exponion.SQL, "op13_metric_tree_top_k": metric_tree.SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op5_warc_packages": warc.SQL, "op7_embedding_near_dedup": embedding_dedup.SQL, "op11_exponion_clusters": exponion.SQL, "op13_metric_tree_top_k": metric_tree.SQL}

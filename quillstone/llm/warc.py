@@ -169,3 +169,11 @@ def read_packages(manifest: DataFrame) -> DataFrame:
 
 def op5_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packages(write_packages(table(spark, sf_dir, "pages"), new_folder(spark, "warc")))
+
+
+#: Digests in base32, five bits at a time.
+SQL = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS best FROM p),
+    b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(hex, i, 1)) - 3, 4)), '') AS bits FROM d)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(1, 6), lambda k: CAST(substr(bits, 5 * g + k, 1) AS INTEGER) * (32 >> k))) AS INTEGER), 1)), '') AS payload_digest,
+        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+    FROM b"""
