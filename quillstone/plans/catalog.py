@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from quillstone import schemas as S
 from quillstone.functions import scalars
-from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads, statistics
+from quillstone.operators import anomaly, conflicts, donations, fifo, matching, merge, metrics, portfolio, pricing, reads, statistics, versions
 from quillstone.operators.buckets import Buckets
 from quillstone.operators.filters import DonationFilter, IssuerFilter, PoliticianFilter, PortfolioFilter, TradeFilter, any_of
-from quillstone.sources import exports, pages, seeds
+from quillstone.sources import contracts, exports, pages, seeds
 from quillstone.sources.adapters import AS_OF, JURISDICTIONS, Domain, ctes
 from quillstone.sources.shared import shared_folder
 
@@ -38,6 +38,8 @@ def _round_sums() -> list:
 
 # Shared plans.
 
+_braced = lambda sql: sql.replace("{", "{{").replace("}", "}}")
+
 
 def analytics_trades(d: Domain) -> DataFrame:
     rows = fifo.eligible(d.trades).join(d.issuers.select("issuer_id", "gics_sector"), "issuer_id")
@@ -362,6 +364,54 @@ def _incremental(d: Domain, key: str, other: str) -> DataFrame:
 for _key, _other in (("issuer_id", "politician_id"), ("politician_id", "issuer_id")):
     _add(f"stats_added_{_key.removesuffix('_id')}", lambda d, k=_key, o=_other: _incremental(d, k, o), f"select {_key}, count(*) as count_trades, cast(sum(cast(value as decimal(28, 2))) as double) as volume, max(tx_date) as date_last, count(distinct {_other}) as count_partners, true as sketch_near from trades group by 1", "trades")
 
+# Versions of tables, a round of synchronisation, mappings, records with faults.
+def _aged(d: Domain) -> dict[str, DataFrame]:
+    """Tables as version 6 kept them: some trades priced, few with shares."""
+    trades = d.trades.select("tx_id", "value", F.when(F.col("tx_id") % 5 != 0, F.col("price")).alias("trade_date_price"), F.when(F.col("asset_type") == "stock", F.col("shares")).alias("estimated_shares"), F.lit(None).cast("double").alias("estimated_value"))
+    return {"trades": trades, "issuers": d.issuers.drop("gics_sector"), "meta": d.spark.createDataFrame([("schema_version", "5")], "key string, value string")}
+
+
+_add("trades_migrated", lambda d: versions.migrated(d.spark, _aged(d))["trades"].select("tx_id", *r4("estimated_shares", "estimated_value"), "price_source", "benchmark_price"),
+     "+ t as (select *, case when tx_id % 5 <> 0 then price end as p, case when asset_type = 'stock' then shares end as s from trades) select tx_id, round(coalesce(s, case when p > 0 and value > 0 then value / p end), 4) as estimated_shares, case when s is null and p > 0 and value > 0 then cast(value as double) end as estimated_value, case when p is not null then 'yahoo' end as price_source, cast(null as double) as benchmark_price from t", "trades")
+_add("issuers_migrated", lambda d: versions.migrated(d.spark, _aged(d), sectors=seeds.sector_mappings(d.spark, _SECTOR_FILE))["issuers"].select("issuer_id", "ticker", "gics_sector"),
+     "select issuer_id, ticker, case when issuer_id between 1 and 19 then case when issuer_id % 3 = 0 then 'Health Care' else 'Energy' end end as gics_sector from issuers", "issuers")
+
+
+def _round(d: Domain) -> dict[str, DataFrame]:
+    """A round from a day on: trades of that day and later come again with other values, older ones are left."""
+    stored = {"trades": d.trades.where("pub_date < date '1998-01-01'").select("tx_id", "pub_date", "value", "comment"), "politicians": d.politicians.where("chamber = 'house'").select("politician_id", "full_name", F.lit(AS_OF).cast("timestamp").alias("enriched_at")), "issuers": d.issuers.where("issuer_id < 10").select("issuer_id", "issuer_name", F.lit(None).cast("timestamp").alias("enriched_at")), "politician_committees": d.politician_committees.where("false")}
+    coming = d.trades.select("tx_id", "pub_date", (F.col("value") + 1).alias("value"), F.lit(None).cast("string").alias("comment"))
+    people = d.politicians.select("politician_id", F.upper("full_name").alias("full_name"), F.lit(None).cast("timestamp").alias("enriched_at"))
+    return merge.synced(stored, coming, people, d.issuers.select("issuer_id", "issuer_name"), d.politician_committees.unionByName(d.politician_committees), "1997-01-01")
+
+
+_add("synced_trades", lambda d: _round(d)["trades"], "select tx_id, pub_date, value + case when pub_date >= date '1997-01-01' then 1 else 0 end as value, case when pub_date < date '1998-01-01' then comment end as comment from trades", "trades")
+_add("synced_politicians", lambda d: _round(d)["politicians"].select("politician_id", "full_name", F.to_date("enriched_at").alias("enriched_at")), f"select politician_id, upper(full_name) as full_name, case when chamber = 'house' then date '{AS_OF}' end as enriched_at from politicians", "politicians")
+_add("synced_committees", lambda d: _round(d)["politician_committees"], "select politician_id, committee from politician_committees", "politicians", "politician_committees")
+_add("children_replaced", lambda d: merge.replace_children(d.politician_committees, d.politician_committees.where("committee < 'hsm'").select("politician_id", F.upper("committee").alias("committee")), d.politicians.where("chamber = 'senate'"), "politician_id"),
+     "select c.politician_id, c.committee from politician_committees c join politicians p using (politician_id) where chamber <> 'senate' union all select politician_id, upper(committee) from politician_committees where committee < 'hsm'", "politicians", "politician_committees")
+_add("trade_details_filled", lambda d: merge.trade_detail(d.trades.select("tx_id", "asset_type", "comment", F.lit(None).cast("timestamp").alias("enriched_at")), d.trades.where("tx_id % 2 = 0").select("tx_id", F.lit("etf").alias("asset_type"), F.when(F.col("value") % 2 == 0, F.lit("seen")).alias("comment")), AS_OF).select("tx_id", "asset_type", "comment", F.to_date("enriched_at").alias("enriched_at")),
+     f"select tx_id, case when tx_id % 2 = 0 and asset_type = 'unknown' then 'etf' else asset_type end as asset_type, case when tx_id % 2 = 0 and value % 2 = 0 then 'seen' else comment end as comment, case when tx_id % 2 = 0 then date '{AS_OF}' end as enriched_at from trades", "trades")
+_add("stats_stored", lambda d: merge.upsert_stats(reads.trade_stats(d.trades, "issuer_id", "politician_id").where("issuer_id < 15").withColumn("count_trades", F.lit(0).cast("bigint")).select("issuer_id", "count_trades"), d.trades.where("issuer_id > 5").groupBy("issuer_id").agg(F.count("*").alias("count_trades")), "issuer_id"),
+     "select issuer_id, case when issuer_id > 5 then count(*) else 0 end as count_trades from trades group by 1", "trades")
+_mappings = lambda d, ids, c: d.politicians.select("politician_id", F.concat(F.lit(ids), "politician_id").alias("fec_candidate_id"), F.concat(F.lit("B"), "politician_id").alias("bioguide_id"), c.alias("committee_ids"))
+_add("mappings_stored", lambda d: merge.update_committees(merge.upsert_mappings(_mappings(d, "H", F.array(F.lit("C1"))).withColumns({"election_cycle": F.lit(2022), "last_synced": F.lit(None).cast("timestamp")}), _mappings(d, "H", F.lit(None).cast("array<string>")).where("party = 'democrat'").unionByName(_mappings(d, "S", F.array(F.lit("C2"))).where("party = 'other'")), 2024, AS_OF), "P000002", ["C8", "C9"], AS_OF).select("politician_id", "fec_candidate_id", F.array_join("committee_ids", ",").alias("committees"), "election_cycle", F.to_date("last_synced").alias("last_synced")),
+     f"""+ m as (select politician_id, 'H' || politician_id as fec_candidate_id, 'C1' as committees, case when party = 'democrat' then 2024 else 2022 end as election_cycle, case when party = 'democrat' then date '{AS_OF}' end as last_synced from politicians
+     union all select politician_id, 'S' || politician_id, 'C2', 2024, date '{AS_OF}' from politicians where party = 'other')
+     select politician_id, fec_candidate_id, case when politician_id = 'P000002' then 'C8,C9' else committees end as committees, election_cycle, case when politician_id = 'P000002' then date '{AS_OF}' else last_synced end as last_synced from m""", "politicians")
+_FAULTY = """concat('{"_txId":', case when tx_id % 7 = 1 then concat('"', tx_id, '"') else cast(tx_id as string) end, ',"_politicianId":"', politician_id, '","txType":"', case when tx_id % 11 = 2 then 'lease' else tx_type end, '"', case when tx_id % 5 = 3 then '' else concat(',"txDate":"', cast(tx_date as string), '"') end, ',"value":', value, case when tx_id % 13 = 4 then '' else '}' end)"""
+_FAULTS = "case when tx_id % 13 = 4 then 'no JSON' else concat_ws('|', case when tx_id % 7 = 1 then '$._txId: not integer' end, case when tx_id % 11 = 2 then '$.txType: not among its values' end, case when tx_id % 5 = 3 then '$.txDate: missing' end) end"
+
+
+def _records(d: Domain) -> DataFrame:
+    texts = d.spark.sql(f"select tx_id, {_braced(_FAULTY)} as text from {{t}}", t=d.trades)
+    return contracts.checked(texts, contracts.Contract(contracts.TRADE), "text")
+
+
+_add("records_taken", lambda d: contracts.parted(_records(d))[0].select("tx_id", F.col("record._politicianId").alias("politician_id"), F.col("record.txType").alias("tx_type"), F.col("record.txDate").alias("tx_date"), "record.value"),
+     f"select tx_id, politician_id, tx_type, tx_date, value from trades where {_FAULTS} = ''", "trades")
+_add("records_in_quarantine", lambda d: contracts.parted(_records(d))[1].select("tx_id", "text", F.array_join("errors", "|").alias("broken")), f"select tx_id, {_FAULTY} as text, {_FAULTS} as broken from trades where {_FAULTS} <> ''", "trades")
+
 # Pages and formats.
 _add("html_extract", lambda d: d.base("pages").select("page_id", F.regexp_extract("html", r"<html lang=\"([a-z]+)\"", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).cast("bigint").alias("links"), scalars.filing_id(F.concat("url", F.lit("/"), "page_id", F.lit(".pdf?x=1"))).alias("filing_id")),
      r"""select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, cast(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) as bigint) as links, case when contains(url, '?') then try_cast(nullif(regexp_extract(split_part(url, '?', 1), '(?:^|/)([0-9]+)(?:\.pdf)*$', 1), '') as bigint) else page_id end as filing_id from pages""")
@@ -386,7 +436,6 @@ _add("tickers_resolved", lambda d: matching.resolve_tickers(d.trades.select(F.re
      "+ w as (select distinct replace(ticker, 'BR0', 'BR') as ticker, issuer_id from trades) select ticker, ticker || case when issuer_id % 2 = 0 then ':US' else '' end as issuer_ticker from w", "trades")
 _add("committees_resolved", lambda d: matching.resolve_committees(d.politicians, [matching.committees_of(d.donation_sync.where("cycle is null").groupBy("politician_id").agg(F.collect_list("committee_id").alias("committee_ids"))), matching.committees_of(d.donation_sync.groupBy("politician_id").agg(F.collect_list(F.concat("committee_id", F.lit("x"))).alias("committee_ids")))]).select("politician_id", F.array_join("committee_ids", ",").alias("committees")),
      "select politician_id, coalesce(string_agg(distinct committee_id, ',') filter (cycle is null), string_agg(distinct committee_id || 'x', ',')) as committees from donation_sync group by 1", "donation_sync")
-_braced = lambda sql: sql.replace("{", "{{").replace("}", "}}")
 _CARD_BODY = """concat('["$","a",null,{"href":"/politicians/', politician_id, '","children":[{"className":"cell--name","children":"', full_name, '"},{"className":"party--', party, '"},{"className":"us-state-full--', lower(substr(state, 1, 2)), '"},{"className":"cell--count-trades","a":{"children":"Trades"},"b":{"children":"', cast(cast(substr(politician_id, 2) as bigint) * 7 % 5000 as string), '"}},{"className":"cell--count-issuers","a":{"children":"Issuers"},"b":{"children":"12"}},{"className":"cell--volume","a":{"children":"Volume"},"b":{"children":"$1.5M"}},{"className":"cell--last-traded","a":{"children":"Last Traded"},"b":{"children":"2001-05-06"}}]}]')"""
 _add("politician_cards", lambda d: pages.politician_cards(d.spark.sql(f"select concat('<script>self.__next_f.push([1,', substr(to_json(array({_braced(_CARD_BODY)})), 2, length(to_json(array({_braced(_CARD_BODY)}))) - 2), '])</script>') as html from {{p}}", p=d.politicians)),
      "select politician_id, full_name as name, party, upper(substr(state, 1, 2)) as state, cast(substr(politician_id, 2) as bigint) * 7 % 5000 as trades, cast(12 as bigint) as issuers, cast(1500000 as bigint) as volume, date '2001-05-06' as last_traded from politicians", "politicians")
