@@ -1,6 +1,8 @@
 """Documents' token ids as Simple-8b files in ascending doc_id order, written and read back by Spark tasks.
 
-Rows are dealt out by ranges of doc_id and sorted; each task writes one file in the shared folder. A file's
+Rows are dealt out by ranges of doc_id and sorted; each task writes one file in the shared folder. Files hold some
+FILE_BYTES of text and FILE_DOCS documents, so there are as many as the input takes, and a task holds the table of
+one file's documents, whatever the input. A file's
 name follows from its range, and it appears only when complete, so a lost task is simply run again. Reading
 deals out the files; starts over all files are sums over the manifest, which has a row for each file.
 
@@ -18,12 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import bounded, new_folder, short, staged, table
+from quillstone.llm.common import bounded, column, new_folder, short, staged, table
 from quillstone.llm.files import opened, written
 from quillstone.llm.simple8b import Reader, Writer
 from quillstone.llm.vocab import WordBpe, default_path, loaded
 
 
+#: Bytes of text and documents of a file, as ranges of doc_id come out even.
+FILE_BYTES, FILE_DOCS = 16 << 20, 100_000
+
+
+def files_for(docs: DataFrame, id_col: str, text_col: str) -> int:
+    """The number of files for so much text and so many documents; ids alone and lengths are read."""
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(column(text_col)).cast("bigint")), F.lit(0)).alias("b")).first()
+    return max(1, -(-size.b // FILE_BYTES), -(-size.n // FILE_DOCS))
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files; the manifest: (part, path, n_docs, n_ids), a row for each file."""
     spark = docs.sparkSession
@@ -46,9 +58,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             file.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(file.docs)], pa.int64()), pa.array([file.ids], pa.int64())], ["part", "path", "n_docs", "n_ids"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(column(id_col).cast("bigint").alias("doc_id"), column(text_col).alias("text"))
+    dealt = rows.repartitionByRange(files_for(docs, id_col, text_col), "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(dealt.mapInArrow(run, "part int, path string, n_docs bigint, n_ids bigint"), "token-manifest")
 
 
@@ -82,8 +93,9 @@ def read_token_files(manifest: DataFrame, run_ids: int = 1 << 20) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(part[:, 0], mask=part[:, 1] == 1), pa.array(part[:, 2] + base), pa.array(np.diff(begin[at : to + 1])), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         at = to
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return starts.select("path", "base").repartition(n).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A task for each file, up to a million of them.
+    n = max(1, min(manifest.count(), 1_000_000))
+    return starts.select("path", "base").repartition(n, "path").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.llm import embedding_dedup
 from quillstone.llm.components import components
 from quillstone.llm.embedding_dedup import embedding_links, hadamard
 from quillstone.llm.line_dedup import dedup_lines, op8_line_dedup
@@ -136,6 +137,23 @@ def test_embedding_links_are_right_and_recall_is_high(spark):
     assert all(want[r.vec_id] == want[r.component_id] and r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
+@pytest.mark.parametrize("bucket,hashes", [(1e-3, 3), (1e-5, 4)])
+def test_recall_with_more_hashes(spark, monkeypatch, bucket, hashes):
+    """The hashes that millions of vectors take, by a smaller BUCKET: at least 0.9 of all planted links, and a column of the operator's own name beside."""
+    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+    rng = np.random.default_rng(hashes)
+    base = rng.normal(size=(250, 64))
+    near = base + rng.normal(size=base.shape) * 0.3
+    rows = [(k, v.tolist(), 1, 5) for k, v in enumerate(np.concatenate([base, near]))]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node int")
+    n = spark.range(1).select(embedding_dedup.hashes_of(F.lit(500), F.lit(64)).alias("n")).first().n
+    assert n == hashes
+    want = {(a, b) for a, b in itertools.combinations(range(500), 2) if cosine(rows[a][1], rows[b][1]) >= 0.93}
+    found = {r.vec_id: r.n_links for r in embedding_links(data).collect()}
+    degree = {k: sum(k in p for p in want) for k in found}
+    assert all(found[k] <= degree[k] for k in found) and sum(found.values()) >= 0.9 * 2 * len(want) > 300
+
+
 def test_embedding_edge_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (2, v, 0), (3, v, 1), (4, v, None), (5, None, 0), (6, [0.0, 0.0, 0.0], 0), (7, [1.0, None, 3.0], 0), (8, [1.0, float("nan"), 2.0], 0), (9, [], 0), (10, [2.0, 4.0, 6.0], 0), (11, [1.0, 2.0], 0), (None, v, 0)]

@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.llm import mpeg, simple8b, warc, zipread
+from quillstone.llm import mpeg, simple8b, token_files, warc, zipread
 from quillstone.llm.media import described, op9_mpeg_media, padded, stored
 from quillstone.llm.packing import combinations, packed, solve
 from quillstone.llm.token_counts import op2_token_counts, spliced_ids, token_counts
@@ -189,9 +189,15 @@ def test_runs_of_zeros_take_one_word_and_ranges_decode():
         simple8b.Reader(Bytes(b"not a file, but long enough to have a tail of forty bytes"))
 
 
-def test_token_files_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("docs,n_bytes,files", [(100_000, 16 << 20, 1), (4, 16 << 20, 6), (100_000, 9000, 7)])
+def test_token_files_round_trip(spark, tmp_path, monkeypatch, docs, n_bytes, files):
+    """In as many files as the texts or the documents take, with a column of the operator's own name beside."""
+    monkeypatch.setattr(token_files, "FILE_DOCS", docs)
+    monkeypatch.setattr(token_files, "FILE_BYTES", n_bytes)
     rows = [(i * 3 % 17, t) for i, t in enumerate(ODD)] + [(None, "null id"), (100, "same"), (100, "same")]
-    manifest = write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/ids", default_path("word_bpe_49k.json"), 2)
+    data = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, part string")
+    manifest = write_token_files(data, f"file://{tmp_path}/ids", default_path("word_bpe_49k.json"), 2)
+    assert files - 2 <= manifest.count() <= files + 2
     found = read_token_files(manifest, run_ids=64).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     at, want = 0, []
