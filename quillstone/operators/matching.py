@@ -94,6 +94,11 @@ def committees_of(mappings: DataFrame) -> DataFrame:
     return mappings.select("politician_id", F.explode("committee_ids").alias("c")).groupBy("politician_id").agg(F.array_sort(F.collect_set("c")).alias("committee_ids"))
 
 
+def mapped_politicians(politicians: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Politicians with any candidate id, each once however many it has."""
+    return politicians.join(mappings.select("politician_id"), "politician_id", "left_semi")
+
+
 def resolve_tickers(wanted: DataFrame, issuers: DataFrame) -> DataFrame:
     """The issuer's ticker for each wanted one: equal, else the smallest that begins with it and a colon. wanted: (ticker)."""
     listed = issuers.where("ticker is not null").select(F.col("ticker").alias("found"), F.substring_index("ticker", ":", 1).alias("stem"))

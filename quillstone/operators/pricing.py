@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,24 @@ def diagnostics(trades: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def report(trades: DataFrame) -> DataFrame:
+    """The diagnostics as one table (section, item, n, pct): reasons and tickers as shares of what failed, kinds of assets as shares priced of what was tried; null where there is nothing to be a share of."""
+    found = diagnostics(trades)
+    total, failed = found["totals"].select("total").first()[0], found["totals"].select("failed").first()[0]
+    part = lambda of: F.when(of > 0, F.round(100 * F.col("n") / of, 4))
+    row = lambda df, section, item, pct: df.select(F.lit(section).alias("section"), item.alias("item"), F.col("n").cast("bigint").alias("n"), pct.alias("pct"))
+    counts = found["totals"].select(F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("n")) for c in ("total", "tried", "priced", "failed")])).alias("r")).select("r.*")
+    kinds = found["asset_types"].select("asset_type", F.col("priced").alias("n"), F.when(F.col("n") > 0, F.round(100 * F.col("priced") / F.col("n"), 4)).alias("pct"))
+    parts = [row(counts, "trades", F.col("item"), part(F.lit(total))), row(kinds, "priced of tried", F.col("asset_type"), F.col("pct"))]
+    return functools.reduce(DataFrame.unionByName, parts + [row(found[k], k, F.coalesce(F.col(c), F.lit("")), part(F.lit(failed))) for k, c in (("reasons", "reason"), ("tickers", "ticker"))])
+
+
+def unenriched(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table, n, first_id): rows of each table that were never enriched, and the smallest id among them. tables: rows and the name of their key."""
+    parts = [rows.where("enriched_at is null").agg(F.count("*").alias("n"), F.min(key).cast("string").alias("first_id")).select(F.lit(name).alias("table"), "n", "first_id") for name, (rows, key) in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def reset_failed(trades: DataFrame) -> DataFrame:
     """Trades with failed enrichments open again."""
     return trades.withColumn("price_enriched_at", F.when(F.col("current_price").isNotNull(), F.col("price_enriched_at")))

@@ -412,6 +412,20 @@ _add("records_taken", lambda d: contracts.parted(_records(d))[0].select("tx_id",
      f"select tx_id, politician_id, tx_type, tx_date, value from trades where {_FAULTS} = ''", "trades")
 _add("records_in_quarantine", lambda d: contracts.parted(_records(d))[1].select("tx_id", "text", F.array_join("errors", "|").alias("broken")), f"select tx_id, {_FAULTY} as text, {_FAULTS} as broken from trades where {_FAULTS} <> ''", "trades")
 
+_failed = "price_enriched_at is not null and current_price is null"
+_add("enrichment_report", lambda d: pricing.report(d.trades),
+     f"""+ f as (select count(*) as failed from trades where {_failed}), c as (select count(*) as total, count(price_enriched_at) as tried, count(*) filter (price_enriched_at is not null and price is not null and current_price is not null) as priced, count(*) filter ({_failed}) as failed from trades),
+     t as (select ticker, count(*) as n from trades where {_failed} group by 1 order by 2 desc, 1 limit 30)
+     select 'trades' as section, item, n, round(100e0 * n / nullif(total, 0), 4) as pct from (select total, unnest(['total', 'tried', 'priced', 'failed']) as item, unnest([total, tried, priced, failed]) as n from c)
+     union all select 'priced of tried', asset_type, count(current_price), round(100e0 * count(current_price) / count(*), 4) from trades where price_enriched_at is not null group by 2
+     union all select 'reasons', case when ticker is null or ticker = '' then 'no ticker' when tx_date is null then 'no date' else 'no price found' end, count(*), round(100e0 * count(*) / any_value(failed), 4) from trades, f where {_failed} group by 2
+     union all select 'tickers', coalesce(ticker, ''), n, round(100e0 * n / failed, 4) from t, f""", "trades")
+_stamped = lambda df, rest: df.withColumn("enriched_at", F.when(F.expr(rest), F.lit(AS_OF).cast("timestamp")))
+_add("unenriched_counts", lambda d: pricing.unenriched({"trades": (_stamped(d.trades, "tx_id % 3 <> 0"), "tx_id"), "politicians": (_stamped(d.politicians, "party = 'other'"), "politician_id"), "issuers": (_stamped(d.issuers, "true"), "issuer_id")}),
+     """select 'trades' as "table", count(*) as n, cast(min(tx_id) as string) as first_id from trades where tx_id % 3 = 0 union all select 'politicians', count(*), min(politician_id) from politicians where party <> 'other' union all select 'issuers', 0, null""", "trades", "politicians")
+_add("politicians_mapped", lambda d: matching.mapped_politicians(d.politicians, d.donation_sync.where("cycle is null").unionByName(d.donation_sync.where("cycle is null"))).select("politician_id", "full_name"),
+     "select distinct p.politician_id, full_name from politicians p join donation_sync s on s.politician_id = p.politician_id where s.cycle is null", "politicians", "donation_sync")
+
 # Pages and formats.
 _add("html_extract", lambda d: d.base("pages").select("page_id", F.regexp_extract("html", r"<html lang=\"([a-z]+)\"", 1).alias("lang"), F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), F.lit(1))).cast("bigint").alias("links"), scalars.filing_id(F.concat("url", F.lit("/"), "page_id", F.lit(".pdf?x=1"))).alias("filing_id")),
      r"""select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang, cast(len(regexp_extract_all(html, 'href="([^"]+)"', 1)) as bigint) as links, case when contains(url, '?') then try_cast(nullif(regexp_extract(split_part(url, '?', 1), '(?:^|/)([0-9]+)(?:\.pdf)*$', 1), '') as bigint) else page_id end as filing_id from pages""")
