@@ -13,8 +13,8 @@ segment is encoded and aligned once, whatever its number of occurrences:
   either side, and two tokens overlap in exactly one such piece. A row of the join is a link, once each side's
   next token is filled in by a window.
 
-The most frequent segments, at most `most_frequent` of them, are broadcast; the rest, a few hundredths of all
-occurrences, meet the documents by joins. Documents that hold a pair of ids are counted over all documents, and
+The most frequent segments, at most `most_frequent` of them, are broadcast and documents become lists of their
+numbers; the rest, a few hundredths of all occurrences, meet the documents by joins. Documents that hold a pair of ids are counted over all documents, and
 the counts come back as sums for each segment.
 
 A null or empty text, or one whose joined token bytes of either side differ from blank + text, has no tokens: zeros
@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from quillstone.llm.vocab import ByteBpe, default_path, loaded
 MOST_FREQUENT = 1 << 18
 #: Distinct segments, and pairs of ids, that a task gathers before it hands them on.
 FLUSH_SEGMENTS, FLUSH_PAIRS = 400_000, 1 << 21
-#: Bits of an id of B within a pair.
-B_BITS = 24
+#: Bits of an id of B within a pair; bits of an id beside the bytes of its token. Vocabularies that don't fit are refused.
+B_BITS, ID_BITS = 24, 20
 
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _MARK = r"!-@\[-`{-~"
@@ -71,6 +72,8 @@ class Aligned:
         n = self.b.get_piece_size()
         pieces = self.b.id_to_piece(list(range(n)))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if max(len(self.a_bytes), n) > 1 << ID_BITS or max(map(len, (*self.a_bytes, *self.b_bytes))) >= 1 << (31 - ID_BITS):
+            raise ValueError(f"ids beyond {ID_BITS} bits, or tokens of {1 << (31 - ID_BITS)} bytes")
         own = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         #: Whether B's pieces stay within segments. A's word pattern ends a token at each such place.
         self.cuts = not any(_CROSSED.search(p.replace("▁", " ")) for p in own)
@@ -116,11 +119,11 @@ def _counted_segments(paths: tuple[str, str]):
     return run
 
 
-_ENCODED = pa.schema([("sid", pa.int64()), ("seg", pa.string()), ("n", pa.int64()), ("ok", pa.bool_()), *((f"{s}_{k}", pa.list_(pa.int32())) for s in "ab" for k in ("ids", "lens"))])
+_ENCODED = pa.schema([("sid", pa.int64()), ("seg", pa.string()), ("n", pa.int64()), ("ok", pa.bool_()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
 def _encoded(paths: tuple[str, str]):
-    """Numbers the segments and adds both sides' ids and the bytes of each."""
+    """Numbers the segments and adds both sides' tokens: id, and number of bytes above ID_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +137,7 @@ def _encoded(paths: tuple[str, str]):
             for ids, raw in ((enc.ids_a(segs), enc.a_bytes), (enc.ids_b(segs), enc.b_bytes)):
                 parts = [[raw[i] for i in x] for x in ids]
                 ok = [o and b"".join(p) == s.encode() for o, p, s in zip(ok, parts, segs, strict=True)]
-                sides += [ids, [list(map(len, p)) for p in parts]]
+                sides.append([[i | len(b) << ID_BITS for i, b in zip(x, p, strict=True)] for x, p in zip(ids, parts, strict=True)])
             cols = [pa.array(np.arange(at, at + len(segs)), pa.int64()), batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), *(pa.array(x, pa.list_(pa.int32())) for x in sides)]
             yield pa.RecordBatch.from_arrays(cols, schema=_ENCODED)
             at += len(segs)
@@ -143,11 +146,12 @@ def _encoded(paths: tuple[str, str]):
 
 
 def aligned_segments(encoded: DataFrame) -> DataFrame:
-    """(sid, seg, n, n_a, n_b, n_groups, n_links, groups, links) of each segment of (sid, seg, n, ok, a_ids, a_lens, b_ids, b_lens); groups is null where not ok. links: pairs of ids as one number each."""
-    # seg and n stand on one row of each segment only, so that windows don't carry them along.
-    one = lambda c: F.when((F.col("pos") == 0) & (F.col("side") == 0), F.col(c)).alias(c)
-    side = lambda s, k: encoded.where("ok").select("sid", "seg", "n", F.lit(k).alias("side"), F.posexplode(F.arrays_zip(F.col(f"{s}_ids").alias("id"), F.col(f"{s}_lens").alias("len"))).alias("pos", "t")).select("sid", "side", "pos", F.col("t.id").alias("id"), F.col("t.len").alias("len"), one("seg"), one("n"))
-    tokens = side("a", 0).unionByName(side("b", 1)).repartition("sid")
+    """(sid, seg, n, n_a, n_b, n_groups, n_links, groups, links) of each segment of (sid, seg, n, ok, a, b); groups is null where not ok. links: pairs of ids as one number each."""
+    # Segments are dealt out before their tokens are exploded. seg and n stand on one row of each only, so that windows don't carry them along.
+    token = lambda s, k: F.transform(s, lambda t: F.struct(F.lit(k).alias("side"), t.alias("t")))
+    tokens = encoded.where("ok").repartition("sid").select("sid", "seg", "n", F.posexplode(F.concat(token("a", 0), token("b", 1))).alias("pos", "x"))
+    one = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
+    tokens = tokens.select("sid", "x.side", "pos", F.col("x.t").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("id"), F.shiftright("x.t", ID_BITS).alias("len"), one("seg"), one("n"))
     ends = tokens.withColumn("end", F.sum("len").over(Window.partitionBy("sid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     met = ends.groupBy("sid", "end").agg(*[F.max(F.when(F.col("side") == k, F.col("id"))).alias(c) for k, c in enumerate("ab")], F.max("seg").alias("seg"), F.max("n").alias("n"))
     # From the last end backwards, so that frames only run from the first row to the current one.
@@ -176,100 +180,150 @@ def _least_frequent(segments: DataFrame, most: int) -> int:
     return 1
 
 
-class _Lookup(dict):
-    """Frequent segments, with the rare ones of the current document behind them."""
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, in which the higher ones are mostly zeros."""
+    return np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    rare: dict = {}
 
-    def __missing__(self, key):
-        return self.rare[key]
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _rare_segments(paths: tuple[str, str], frequent):
-    """(key, seg): the segments of each text that aren't frequent; a task tells them once for each text."""
+_CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("code", pa.binary()), ("rare", pa.list_(pa.string()))])
+
+
+def _coded(paths: tuple[str, str], frequent):
+    """(row, doc_id, code, rare): each text as numbers of its segments, compressed; those beyond the frequent ones number its rare segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known, told = _aligned(paths).segments, frequent.value[0].keys(), set()
+        import zstandard
+        from pyspark import TaskContext
+
+        cut, known = _aligned(paths).segments, frequent.value
+        number, most, pack, at = known.get, len(known), zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 33
         for batch in short(batches):
-            keys, segs = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and key not in told:
-                    if len(told) >= FLUSH_SEGMENTS:  # telling them again does no harm
-                        told.clear()
-                    told.add(key)
-                    rare = set(cut(" " + text)) - known
-                    keys += [key] * len(rare)
-                    segs += rare
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(segs, pa.string())], ["key", "seg"])
+            codes, rares = [], []
+            for text in batch.column(1).to_pylist():
+                segs = cut(" " + text) if text else []
+                ids = np.fromiter(map(number, segs, repeat(-1)), np.int32, len(segs))
+                missed = np.flatnonzero(ids < 0).tolist()
+                rare = sorted({segs[k] for k in missed})
+                of_rare = {s: most + k for k, s in enumerate(rare)}
+                ids[missed] = [of_rare[segs[k]] for k in missed]
+                codes.append(pack(packed(ids)))
+                rares.append(rare)
+            rows = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(codes, pa.binary()), pa.array(rares, pa.list_(pa.string()))], schema=_CODED)
+            at += batch.num_rows
 
     return run
 
 
-_DOC = [("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("common", pa.list_(pa.int32())), ("common_n", pa.list_(pa.int32())), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int32()))]
-_PAIR = [("pair", pa.int64()), ("n_docs", pa.int64())]
-_BOTH = pa.schema(_DOC + _PAIR)
+_SUMS = ("n_a", "n_b", "n_groups", "n_links")
+_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in _SUMS), ("groups_sha256", pa.string()), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int32()))])
+_BOTH = pa.schema([*_DOC, ("pair", pa.int64()), ("n_docs", pa.int64())])
+_BOTH_SQL = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, rare array<bigint>, rare_n array<int>, pair bigint, n_docs bigint"
 
 
-def _assembled(paths: tuple[str, str], frequent):
-    """Rows of two kinds: a document's sums, digest and segments; and pairs of ids with the documents of the task that hold them."""
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        cut, (common, numbers, links) = _aligned(paths).segments, frequent.value
-        at, held, size = TaskContext.get().partitionId() << 33, [], 0
-        groups = _Lookup(common)
+class Held:
+    """How many documents hold each pair: a count for each pair of the frequent segments, lists for others."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.counts, self.seen, self.others, self.size = known, np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), [], 0
 
-        def pairs() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(pair), t) for _, t in _DOC), pa.array(pair), pa.array(n.astype(np.int64))], schema=_BOTH)
+    def add(self, numbers: np.ndarray, others: np.ndarray) -> None:
+        """A document's pairs: numbers of known ones, and pairs that may or may not be known."""
+        if len(others):
+            at = np.searchsorted(self.known, others)
+            at[at == len(self.known)] = 0
+            here = self.known[at] == others if len(self.known) else np.zeros(len(others), bool)
+            numbers = np.concatenate([numbers, at[here]])
+            self.others.append(np.unique(others[~here]))
+            self.size += len(self.others[-1])
+        # Of equal numbers the last one written stays, and counts.
+        places = np.arange(len(numbers))
+        self.seen[numbers] = places
+        self.counts[numbers[self.seen[numbers] == places]] += 1
 
+    def batch(self, last: bool) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(self.others), return_counts=True) if self.others else (np.zeros(0, np.int64),) * 2
+        self.others, self.size = [], 0
+        if last:
+            hit = np.flatnonzero(self.counts)
+            pair, n = np.concatenate([pair, self.known[hit]]), np.concatenate([n, self.counts[hit]])
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(pair), f.type) for f in _DOC), pa.array(pair, pa.int64()), pa.array(n.astype(np.int64))], schema=_BOTH)
+
+
+def _assembled(frequent):
+    """Rows of two kinds: a document's sums, digest and rare segments; and pairs of ids with the documents of the task that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        texts, numbers, pairs, links, starts = frequent.value
+        most, unpack, held, widths = len(texts), zstandard.ZstdDecompressor().decompress, Held(pairs), np.diff(starts)
         for batch in short(batches):
-            docs = []
-            for doc, text, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                segs = cut(" " + text) if text else []
-                rare = {r["seg"]: r for r in rare.as_py() or []} if segs else {}
-                groups.rare = {s: (r["groups"], -1 - k) for k, (s, r) in enumerate(rare.items())}
-                found = [groups[s] for s in segs]
-                if not found or any(t is None for t, _ in found):
-                    docs.append((at, doc, 0, 0, 0, 0, "", [], [], [], []))
-                    at += 1
+            rare = batch.column(3)
+            at, info = (np.asarray(rare.offsets) - rare.offsets[0].as_py()).tolist(), rare.flatten()
+            segs, told, sids = info.field("seg").to_pylist(), info.field("groups").to_pylist(), info.field("sid").to_numpy(zero_copy_only=False)
+            own_links = info.field("links")
+            own_at, own_flat = np.append(0, np.cumsum(own_links.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64).tolist(), np.asarray(own_links.flatten(), np.int64)
+            # A group has a comma less than ids on either side, and a link less than ids.
+            n_a, n_groups = info.field("n_a").to_numpy(zero_copy_only=False).astype(np.int64), np.array([(t or "").count(";") + 1 for t in told], np.int64)
+            n_both = np.array([(t or "").count(",") for t in told], np.int64) + 2 * n_groups
+            sums = np.stack([n_a, n_both - n_a, n_groups, n_both - n_groups], axis=1) if len(told) else np.zeros((0, 4), np.int64)
+            n_sums, digests, own, own_n = np.zeros((batch.num_rows, 4), np.int64), [], [], []
+            for r, code in enumerate(batch.column(2).to_pylist()):
+                ids = unpacked(unpack(code))
+                # Rare segments are numbered in their own order.
+                order = sorted(range(at[r], at[r + 1]), key=segs.__getitem__)
+                few = ids < most
+                if order:
+                    mine = [told[k] for k in order]
+                    groups = [texts[i] if i < most else mine[i - most] for i in ids.tolist()]
+                else:
+                    groups = list(map(texts.__getitem__, ids.tolist()))
+                if not groups or None in groups:
+                    digests.append("")
+                    own.append(())
+                    own_n.append(())
                     continue
-                digest = hashlib.sha256(";".join([t for t, _ in found]).encode()).hexdigest()
-                ids, times = np.unique(np.fromiter((k for _, k in found), np.int64, len(found)), return_counts=True)
-                own = ids >= 0
-                infos = list(rare.values())
-                mine = [infos[-1 - k] for k in ids[~own]]
-                sums = times[own] @ numbers[ids[own]]
-                if mine:
-                    sums = sums + times[~own] @ np.array([[r[c] for c in ("n_a", "n_b", "n_groups", "n_links")] for r in mine], np.int64)
-                docs.append((at, doc, *map(int, sums), digest, ids[own].tolist(), times[own].tolist(), [r["sid"] for r in mine], times[~own].tolist()))
-                at += 1
-                held.append(np.unique(np.concatenate([links[k] for k in ids[own]] + [np.array(r["links"], np.int64) for r in mine])))
-                size += len(held[-1])
-                if size > FLUSH_PAIRS:
-                    yield pairs()
-                    held, size = [], 0
-            cols = [pa.array(c, t) for c, (_, t) in zip(zip(*docs, strict=True), _DOC, strict=True)] if docs else [pa.nulls(0, t) for _, t in _DOC]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(docs), t) for _, t in _PAIR)], schema=_BOTH)
-        yield pairs()
+                digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest())
+                common, times = ids[few], np.bincount(ids[~few] - most, minlength=len(order))
+                n_sums[r] = numbers[common].sum(axis=0) + times @ sums[order]
+                own.append(sids[order])
+                own_n.append(times)
+                # All links of the frequent segments: places in the list of links, one run after the other.
+                common = np.unique(common)
+                width = widths[common]
+                ends = np.cumsum(width)
+                runs = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[common] - ends + width, width)
+                held.add(links[runs], np.concatenate([own_flat[own_at[k] : own_at[k + 1]] for k in order]) if order else np.zeros(0, np.int64))
+            if held.size > FLUSH_PAIRS:
+                yield held.batch(False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(n_sums[:, k]) for k in range(4)), pa.array(digests, pa.string()), _lists(own, pa.int64()), _lists(own_n, pa.int32()), *(pa.nulls(batch.num_rows, pa.int64()) for _ in range(2))], schema=_BOTH)
+        yield held.batch(True)
 
     return run
 
 
-def _with_sums(sums):
-    """Adds what the frequent segments of a document sum up to; sums: a row (n_best, count_sum) for each frequent segment."""
+def _summed(sums):
+    """(row, n_best, count_sum): what the frequent segments of a document come to; sums: both for each frequent segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_segment = sums.value
+        import zstandard
+
+        of_segment, unpack = sums.value, zstandard.ZstdDecompressor().decompress
         for batch in short(batches):
-            ids, n = batch.column("common"), batch.column("common_n")
-            at = np.asarray(ids.offsets)
-            at, flat = at - at[0], of_segment[np.asarray(ids.flatten())] * np.asarray(n.flatten())[:, None]
-            run_sum = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(flat, axis=0)])
-            total = run_sum[at[1:]] - run_sum[at[:-1]]
-            keep = [c for c in batch.schema.names if c not in ("common", "common_n")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(total[:, 0]), pa.array(total[:, 1])], [*keep, "n_best", "count_sum"])
+            found = np.zeros((batch.num_rows, 2), np.int64)
+            for r, code in enumerate(batch.column(1).to_pylist()):
+                ids = unpacked(unpack(code))
+                found[r] = of_segment[ids[ids < len(of_segment)]].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["row", "n_best", "count_sum"])
 
     return run
 
@@ -281,22 +335,25 @@ def aligned_documents(docs: DataFrame, vocabulary_a: str | None = None, vocabula
     paths = (vocabulary_a or default_path("byte_bpe_50k.json"), vocabulary_b or default_path("piece_bpe_32k.model"))
     text = column(text_col)
     counted = docs.select(text.alias("text")).mapInArrow(_counted_segments(paths), "seg string, n bigint").groupBy("seg").agg(F.sum("n").alias("n"))
-    encoded = staged(counted.mapInArrow(_encoded(paths), "sid bigint, seg string, n bigint, ok boolean, a_ids array<int>, a_lens array<int>, b_ids array<int>, b_lens array<int>"), "alignment-encoded")
+    encoded = staged(counted.mapInArrow(_encoded(paths), "sid bigint, seg string, n bigint, ok boolean, a array<int>, b array<int>"), "alignment-encoded")
     segments = staged(aligned_segments(encoded), "alignment-segments")
 
     least = _least_frequent(segments, most_frequent)
-    top = segments.where(F.col("n") >= least).select("sid", "seg", "groups", "n_a", "n_b", "n_groups", "n_links", "links").toArrow().sort_by("sid")
-    numbers = np.stack([top.column(c).to_numpy() for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1)
-    links = [np.array(x, np.int64) for x in top.column("links").to_pylist()]
-    known = {s: (g, k) for k, (s, g) in enumerate(zip(top.column("seg").to_pylist(), top.column("groups").to_pylist(), strict=True))}
-    frequent = spark.sparkContext.broadcast((known, numbers, links))
-
-    keyed = docs.select(column(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("key"))
-    wanted = keyed.select("key", "text").mapInArrow(_rare_segments(paths, frequent), "key binary, seg string")
-    info = F.struct("seg", "sid", "groups", "n_a", "n_b", "n_groups", "n_links", "links")
-    met = wanted.join(segments.where(F.col("n") < least), "seg").select("key", info.alias("info")).groupBy("key").agg(F.collect_list("info").alias("rare"))
-    kinds = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, common array<int>, common_n array<int>, rare array<bigint>, rare_n array<int>, pair bigint, n_docs bigint"
-    told = staged(keyed.join(met, "key", "left").select("doc_id", "text", "rare").mapInArrow(_assembled(paths, frequent), kinds), "alignment-documents")
+    # The most frequent first, so that codes are small numbers.
+    top = segments.where(F.col("n") >= least).select("sid", "seg", "n", "groups", *_SUMS, "links").toArrow().sort_by([("n", "descending"), ("sid", "ascending")])
+    links = top.column("links").combine_chunks()
+    pairs, numbered = np.unique(np.asarray(links.flatten(), np.int64), return_inverse=True)
+    starts = np.append(0, np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+    known = spark.sparkContext.broadcast({s: k for k, s in enumerate(top.column("seg").to_pylist())})
+    frequent = spark.sparkContext.broadcast((top.column("groups").to_pylist(), np.stack([top.column(c).to_numpy() for c in _SUMS], axis=1), pairs, numbered.astype(np.int32), starts))
+    order = top.select(["sid"])
+    del top, links
+
+    coded = staged(docs.select(column(id_col).cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(_coded(paths, known), "row bigint, doc_id bigint, code binary, rare array<string>"), "alignment-codes")
+    wanted = coded.select("row", F.explode("rare").alias("seg"))
+    info = F.struct("seg", "sid", "groups", "n_a", "links")
+    met = wanted.join(segments.where(F.col("n") < least).select("seg", "sid", "groups", "n_a", "links"), "seg").select("row", info.alias("info")).groupBy("row").agg(F.collect_list("info").alias("rare"))
+    told = staged(coded.select("row", "doc_id", "code").join(met, "row", "left").select("row", "doc_id", "code", "rare").mapInArrow(_assembled(frequent), _BOTH_SQL), "alignment-documents")
 
     counts = told.where("pair is not null").groupBy("pair").agg(F.sum("n_docs").alias("n_docs")).withColumn("a", F.shiftright("pair", B_BITS))
     counts = staged(counts, "alignment-pairs")
@@ -305,17 +362,18 @@ def aligned_documents(docs: DataFrame, vocabulary_a: str | None = None, vocabula
     judged = counts.join(F.broadcast(best), "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).cast("bigint").alias("best"))
     sums = staged(segments.select("sid", F.explode("links").alias("pair")).join(judged, "pair").groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("n_docs").alias("count_sum")), "alignment-sums")
 
-    first = spark.createDataFrame(pa.table({"sid": top.column("sid"), "k": pa.array(np.arange(top.num_rows), pa.int64())})) if top.num_rows else spark.createDataFrame([], "sid bigint, k bigint")
-    of_top = np.zeros((max(1, top.num_rows), 2), np.int64)
+    first = spark.createDataFrame(order.append_column("k", pa.array(np.arange(order.num_rows), pa.int64()))) if order.num_rows else spark.createDataFrame([], "sid bigint, k bigint")
+    of_top = np.zeros((order.num_rows, 2), np.int64)
     for batch in sums.join(first, "sid").select("k", "n_best", "count_sum").toArrow().to_batches():
         of_top[batch.column(0).to_numpy()] = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+    common = coded.select("row", "code").mapInArrow(_summed(spark.sparkContext.broadcast(of_top)), "row bigint, n_best bigint, count_sum bigint")
     rows = told.where("row is not null").drop("pair", "n_docs")
-    shown = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    base = rows.select(*shown, "common", "common_n").mapInArrow(_with_sums(spark.sparkContext.broadcast(of_top)), "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint")
     few = rows.select("row", F.explode(F.arrays_zip(F.col("rare").alias("sid"), F.col("rare_n").alias("times"))).alias("r")).select("row", "r.sid", "r.times")
-    more = few.join(sums, "sid").groupBy("row").agg(F.sum(F.col("n_best") * F.col("times")).alias("b"), F.sum(F.col("count_sum") * F.col("times")).alias("c"))
-    out = base.join(more, "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", (F.col("n_best") + F.coalesce("b", F.lit(0))).alias("n_best"), (F.col("count_sum") + F.coalesce("c", F.lit(0))).alias("count_sum"), "groups_sha256")
+    more = few.join(sums, "sid").select("row", (F.col("n_best") * F.col("times")).alias("n_best"), (F.col("count_sum") * F.col("times")).alias("count_sum"))
+    total = common.unionByName(more).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    # Texts without tokens have no digest, and no sums.
+    valid = lambda c: F.when(F.col("groups_sha256") != "", F.col(c)).otherwise(0).alias(c)
+    return rows.drop("rare", "rare_n").join(total, "row").select("doc_id", *_SUMS, valid("n_best"), valid("count_sum"), "groups_sha256")
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
