@@ -39,7 +39,7 @@ from quillstone.llm.common import bounded, column, short, staged, table
 from quillstone.llm.vocab import ByteBpe, default_path, loaded
 
 #: Segments whose alignment every worker holds; their share of all occurrences grows slowly, the rest is joined.
-MOST_FREQUENT = 1 << 18
+MOST_FREQUENT = 1 << 19
 #: Distinct segments, and pairs of ids, that a task gathers before it hands them on.
 FLUSH_SEGMENTS, FLUSH_PAIRS = 400_000, 1 << 21
 #: Bits of an id of B within a pair; bits of an id beside the bytes of its token. Vocabularies that don't fit are refused.

@@ -50,7 +50,7 @@ def plain_alignments(rows):
     return [(0, 0, 0, 0, 0, 0, "") if v is None else (v[0], v[1], v[2], len(v[3]), sum(counts[p] == best[p[0]] for p in v[3]), sum(counts[p] for p in v[3]), v[4]) for v in found]
 
 
-@pytest.mark.parametrize("most_frequent", [1, 300, 1 << 18])
+@pytest.mark.parametrize("most_frequent", [1, 300, 1 << 19])
 def test_alignment_equals_all_overlaps(spark, most_frequent):
     """Whatever share of the segments is broadcast. Columns with the operator's own names don't matter."""
     texts = ODD + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(60).collect()]
