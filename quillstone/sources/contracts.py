@@ -26,6 +26,11 @@ _KINDS = {"integer": r"BIGINT|DECIMAL\(\d+,0\)", "number": r"BIGINT|DOUBLE|FLOAT
 _TYPES = {"integer": T.LongType(), "number": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType()}
 
 
+def _with(value: Column, of) -> Column:
+    """of(value), with the value worked out once however often it stands in there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 class Contract:
     """The schema of one record; that of a list of records stands for its items."""
 
@@ -63,6 +68,9 @@ class Contract:
             return T.DateType() if node["format"] == "date" else T.TimestampType()
         return _TYPES[kinds[0]] if len(kinds) == 1 else T.StringType()
 
+    def _rules(self, node: dict, at: Column):
+        return lambda value: self.broken(value, node, at)
+
     def broken(self, value: Column, node: dict, at: Column) -> Column:
         """An array of what a variant breaks. at: its place, as text."""
         node = self._node(node)
@@ -93,16 +101,21 @@ class Contract:
             if word in node:
                 rules.append(said(is_a("number") & wrong(node[word]), f"beyond its {word}"))
         if "object" in kinds:
-            fields = F.try_variant_get(value, "$", "map<string,variant>")
             properties = node.get("properties", {})
-            for name in dict.fromkeys([*node.get("required", []), *properties]):
-                place = F.concat(at, F.lit(f".{name}"))
-                inner = self.broken(fields[name], properties[name], place) if name in properties else none
-                missing = F.array(F.concat(place, F.lit(": missing"))) if name in node.get("required", []) else none
-                rules.append(F.when(is_a("object"), F.when(F.map_contains_key(fields, name), inner).otherwise(missing)).otherwise(none))
-            if node.get("additionalProperties") is False:
-                more = F.array_except(F.map_keys(fields), F.array(*map(F.lit, properties)).cast("array<string>"))
-                rules.append(F.when(is_a("object"), F.transform(F.array_sort(more), lambda k: F.concat(at, F.lit("."), k, F.lit(": unknown")))).otherwise(none))
+
+            def of_fields(fields: Column) -> Column:
+                found = []
+                for name in dict.fromkeys([*node.get("required", []), *properties]):
+                    place = F.concat(at, F.lit(f".{name}"))
+                    inner = _with(fields[name], self._rules(properties[name], place)) if name in properties else none
+                    missing = F.array(F.concat(place, F.lit(": missing"))) if name in node.get("required", []) else none
+                    found.append(F.when(F.map_contains_key(fields, name), inner).otherwise(missing))
+                if node.get("additionalProperties") is False:
+                    more = F.array_except(F.map_keys(fields), F.array(*map(F.lit, properties)).cast("array<string>"))
+                    found.append(F.transform(F.array_sort(more), lambda k: F.concat(at, F.lit("."), k, F.lit(": unknown"))))
+                return F.concat(*found) if found else none
+
+            rules.append(F.when(is_a("object"), _with(F.try_variant_get(value, "$", "map<string,variant>"), of_fields)).otherwise(none))
         if "array" in kinds and "items" in node:
             items = F.try_variant_get(value, "$", "array<variant>")
             inner = F.flatten(F.transform(items, lambda v, i: self.broken(v, node["items"], F.concat(at, F.lit("["), i.cast("string"), F.lit("]")))))
@@ -112,8 +125,7 @@ class Contract:
 
 def checked(rows: DataFrame, contract: Contract, text: str, errors: str = "errors", record: str = "record") -> DataFrame:
     """rows with two more columns: what the text breaks, empty where nothing, and the record in types, null where it breaks anything."""
-    value = F.try_parse_json(text)
-    found = F.when(value.isNull(), F.array(F.lit("no JSON"))).otherwise(contract.broken(value, contract.record, F.lit("$")))
+    found = _with(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.array(F.lit("no JSON"))).otherwise(contract.broken(v, contract.record, F.lit("$"))))
     rows = rows.withColumn(errors, found)
     return rows.withColumn(record, F.when(F.size(errors) == 0, F.from_json(text, contract.spark_type())))
 
