@@ -86,9 +86,10 @@ class Aligned:
         return [self.a.ranks.encode_ordinary(s) if plain and max(s) < "ɐ" else self.a.tok.encode(s, add_special_tokens=False).ids for s in segments]
 
     def ids_b(self, segments: list[str]) -> list[list[int]]:
-        """B adds a blank in front; a segment without one stands after a letter, whose piece is taken off."""
-        ids = self.b.encode([s[1:] if s[0] == " " else "a" + s for s in segments], num_threads=1)
-        return [x if s[0] == " " else x[1:] for s, x in zip(segments, ids, strict=True)]
+        """B adds a blank in front, but none to an empty text; a segment without a blank, or of one alone, stands after a visible character, so it is encoded after a letter whose piece is taken off."""
+        after = [s[0] != " " or s == " " for s in segments]
+        ids = self.b.encode(["a" + s if x else s[1:] for s, x in zip(segments, after, strict=True)], num_threads=1)
+        return [y[1:] if x else y for y, x in zip(ids, after, strict=True)]
 
 
 def _aligned(paths: tuple[str, str]) -> Aligned:

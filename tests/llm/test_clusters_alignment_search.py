@@ -69,6 +69,13 @@ def test_alignment_of_repeats_nulls_and_empty_tables(spark):
     assert got == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
 
 
+def test_alignment_of_texts_that_end_in_a_blank(spark):
+    texts = ["a ", "one, two ", "é ", "1 ", "a\n ", " ", "  ", "a  ", "漢 ", "a b", "x. "]
+    out = aligned_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert [got[k] for k in range(len(texts))] == plain_alignments(texts)
+
+
 # Centroid clustering
 
 
