@@ -15,7 +15,7 @@ from quillstone.functions import scalars, validation
 from quillstone.functions.similarity import Names, jaro_winkler_score, near_pairs
 from quillstone.operators import anomaly, conflicts, donations, fifo, filters, matching, merge, metrics, portfolio, pricing, reads
 from quillstone.plans import catalog
-from quillstone.sources import exports, pages, seeds
+from quillstone.sources import adapters, exports, pages, seeds
 from quillstone.streaming import incremental
 from tests.conftest import SMALL
 
@@ -163,6 +163,59 @@ def test_donation_roll_ups(spark):
         donations.rolled_up(d, "planet")
 
 
+def gifts_and_bridge(spark):
+    """Donations with nulls and repeated ids, a bridge with repeated rows, a committee known twice and one unknown."""
+    gifts = [(str(k % 37), f"C{k % 4}", None if k % 5 == 0 else f"D{k % 7}", None if k % 3 == 0 else "CA", [None, "Tech", "tech ", "Acme"][k % 4 if k % 9 else 1], dt.date(2024, 1, 1 + k % 20), None if k % 11 == 0 else k % 13 * 1.37, 2024) for k in range(120)]
+    d = spark.createDataFrame(gifts, "sub_id string, committee_id string, contributor_name string, contributor_state string, contributor_employer string, receipt_date date, amount double, cycle int")
+    links = spark.createDataFrame([("P1", "C0"), ("P1", "C0"), ("P1", "C1"), ("P2", "C1"), ("P2", "C0"), ("P3", "C2"), ("P9", "C3")], "politician_id string, committee_id string")
+    people = spark.createDataFrame([(f"P{k}", f"N{k}", "democrat" if k % 2 else "other", "CA") for k in range(1, 5)], "politician_id string, full_name string, party string, state string")
+    known = spark.createDataFrame([("C0", "a", "H", "A"), ("C0", "b", "H", "A"), ("C2", "c", "H", "A")], "committee_id string, name string, committee_type string, designation string")
+    return d, links, people, known
+
+
+def test_donations_are_summed_before_the_bridge_as_they_are_listed(spark):
+    d, links, people, known = gifts_and_bridge(spark)
+    listed, times = donations.listed(d, links, people, known), donations.counted(donations.reached(links, people), known)
+    sorted_rows = lambda df, cols: sorted((tuple(map(plain, r)) for r in df.select(cols).collect()))
+    for by in ("contributor", "employer", "state"):
+        want = donations.rolled_up(listed, by)
+        assert sorted_rows(donations.rolled_up_reached(d, times, by), want.columns) == sorted_rows(want, want.columns)
+    want = listed.groupBy("politician_id").agg(donations.money().alias("total_amount"), F.count("*").alias("count_donations"))
+    assert sorted_rows(donations.totals(d, donations.counted(donations.reached(links, people), known, "politician_id")), want.columns) == sorted_rows(want, want.columns)
+    for limit in (1, 5, 40):
+        spec = filters.DonationFilter(min_amount=2.0, politician_id="P1" if limit == 40 else None)
+        want = donations.listed(d, links, people, known, spec).orderBy(F.desc("amount"), "sub_id", "politician_id").limit(limit).select("amount", "sub_id", "politician_id")
+        assert [tuple(r) for r in donations.listed(d, links, people, known, spec, limit).select(want.columns).collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_sectors_and_correlation_of_repeated_links_and_ids(spark):
+    """A donation's id may come again with another amount or committee; rows that are equal but for the committee count once for a politician of both."""
+    d, links, people, _ = gifts_and_bridge(spark)
+    matched = d.where("contributor_employer is not null").withColumns({"issuer_ticker": F.lit("T"), "gics_sector": F.when(F.col("contributor_employer") == "Acme", "Energy").otherwise("Tech"), "confidence": F.lit(0.9)})
+    trades = spark.createDataFrame([("P1", "T"), ("P1", "T"), ("P2", "T"), ("P3", "X")], "politician_id string, ticker string")
+    every = matched.join(links, "committee_id")
+    once = {(r.politician_id, r.sub_id, r.amount, r.contributor_employer) for r in every.collect()}
+    got = {r.politician_id: r for r in donations.trade_correlation(trades, matched, links, 0.8).collect()}
+    assert sorted(got) == ["P1", "P2"]
+    for who, r in got.items():
+        mine = [x for x in once if x[0] == who]
+        assert (r.count_donations, r.count_trades, r.employers) == (len({x[1] for x in mine}), 2 if who == "P1" else 1, ", ".join(sorted({x[3] for x in mine})))
+        assert math.isclose(r.total_amount, sum(x[2] or 0 for x in mine))
+    want = {(r.politician_id, r.gics_sector): (round(r.t, 6), r.n) for r in every.groupBy("politician_id", "gics_sector").agg(donations.money().alias("t"), F.count_distinct("contributor_employer").alias("n")).collect()}
+    assert {(r.politician_id, r.gics_sector): (round(r.total_amount, 6), r.count_employers) for r in donations.sector_summary(matched, links).collect()} == want
+
+
+def test_trades_of_orders_beyond_23_bits_have_ids_of_their_own(spark):
+    top = 1 << 23
+    keys = [(k, p, n) for k in (1, top - 1, top, top + 1, top + (1 << 17), 9_000_000, 1 << 33) for p in (1, 7, 1_200_000) for n in (1, 2, 7)]
+    rows = [(k, p, n, dt.datetime(1996, 3, day)) for k, p, n in keys for day in (1, 2)]
+    lines = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_shipdate timestamp")
+    ids = [(r.l_orderkey, r._tx_id) for r in adapters.numbered(lines).collect()]
+    assert len({i for _, i in ids}) == len(rows) and min(i for _, i in ids) >= 0
+    assert {(r.l_orderkey, r._tx_id) for r in adapters.numbered(lines.where(f"l_orderkey < {top}")).collect()} == {(r.l_orderkey, r.x) for r in lines.where(f"l_orderkey < {top}").select("l_orderkey", F.expr(adapters._TX_ID).alias("x")).collect()}
+    assert sorted(r._tx_id for r in adapters.numbered(lines.repartition(3)).collect()) == sorted(i for _, i in ids)
+
+
 # Scalars.
 
 
