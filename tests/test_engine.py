@@ -604,3 +604,18 @@ def test_entry_runs(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "rank" in __spark_entry__.entry(spark).columns
+
+
+def test_report_reads_trades_once_and_counts_none(spark, tmp_path):
+    rows = [("stock", None, None, None, None, None)] + [(k, t, dt.date(2000, 1, 1) if n % 4 else None, 1.0 if n % 3 else None, 2.0 if n % 5 == 0 else None, dt.date(2000, 1, 2) if n % 7 else None) for n, (k, t) in enumerate((k, t) for k in ("stock", None) for t in (None, "", *(f"T{i:02d}" for i in range(40))))]
+    trades = spark.createDataFrame(rows, "asset_type string, ticker string, tx_date date, price double, current_price double, price_enriched_at date")
+    trades.write.parquet(str(tmp_path / "t"))
+    trades = spark.read.parquet(str(tmp_path / "t"))
+    out, found = pricing.report(trades), pricing.diagnostics(trades)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = sorted(map(str, (tuple(r)[:3] for r in out.collect())))
+    totals = found["totals"].first()
+    want = [("trades", c, totals[c]) for c in ("total", "tried", "priced", "failed")] + [("priced of tried", r.asset_type, r.priced) for r in found["asset_types"].collect()]
+    want += [("reasons", r.reason, r.n) for r in found["reasons"].collect()]
+    assert [x for x in got if "'tickers'" not in x] == sorted(map(str, want)) and sum("'tickers'" in x for x in got) == 30
+    assert {(r.item, r.n, r.pct) for r in pricing.report(trades.where("false")).collect()} == {(c, 0, None) for c in ("total", "tried", "priced", "failed")}
