@@ -246,6 +246,19 @@ def test_reordered_words_and_longest_deletions_against_brute_force(spark):
         assert {r.doc_id for r in out if r.removed} == {d for d, _ in some if top[d] != d}
 
 
+def test_long_lines_meet_whatever_words_are_edited(spark, tmp_path):
+    """All pairs that come first hold an edited word, so nine blocks miss the lines; the query and the stage of the pipeline have no such bound."""
+    plain = [f"w{k:02d}" for k in range(40)]
+    lines = [[f"long{side}word{k:02d}" if k % 5 == 2 else w for k, w in enumerate(plain)] for side in "ab"]
+    rows = [(1, " ".join(lines[0])), (2, " ".join(lines[1]))]
+    assert similar_pairs(rows) == [(1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not any(r.removed for r in dedup_lines(docs, most_blocks=9).collect())
+    assert {r.doc_id: r.removed for r in dedup_lines(docs).collect()} == {1: [], 2: [0]}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
 @pytest.mark.parametrize("words", [8, 10, 15, 20, 30, 40, 80, 200])
 def test_share_of_similar_pairs_found_with_nine_blocks(spark, words):
     """Pairs of a line and one with exactly as many words edited as similarity 0.8 allows: at least 0.97 are found (all of them up to 24 words)."""
