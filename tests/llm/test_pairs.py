@@ -321,3 +321,16 @@ def test_line_dedup_uses_no_python(spark):
     plan = dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search(r"Python|Pandas|Arrow", plan)
     assert dedup_lines(docs).where(F.col("text").isNull() != F.col("text").isNull()).count() == 0
+
+
+def test_line_dedup_leaves_no_files_but_its_result(spark, tmp_path, monkeypatch):
+    """Tables that nothing reads any more and the shuffle files of their writes would fill the disk."""
+    from quillstone.llm import common
+    from quillstone.llm.line_dedup import line_drops
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    rows = [(i, f"the lamp of house {i % 3} is lit at nightfall by the keeper {i}") for i in range(12)]
+    drops = line_drops(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert drops.count() > 0
+    assert [p.name[:11] for p in (tmp_path / "shared/quillstone").iterdir()] == ["line-drops-"]
+    assert spark.conf.get(common.CLEANUP, "false") == "false"
