@@ -308,6 +308,34 @@ def test_exact_repeats_of_short_lines_go_in_the_query(spark, tmp_path):
     assert {r.doc_id: r.removed for r in op8_line_dedup(spark, str(tmp_path)).collect()} == {1: [], 2: [0, 3], 3: [0, 1, 2]}
 
 
+def test_unlike_lines_do_not_fill_blocks_or_pairs(spark, monkeypatch):
+    """Lines that share a pair of words are in no block together, and lines of few words, each many times, become no pair for one of them."""
+    from quillstone.llm import line_dedup
+
+    rows_of, plain = {}, line_dedup.staged
+
+    def counted(df, name, *more):
+        out = plain(df, name, *more)
+        rows_of[name] = rows_of.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", counted)
+    shared = [f"{' '.join(f'a{k}x{i}' for i in range(k % 9))} extraordinarily uncharacteristic {' '.join(f'b{k}x{i}' for i in range(12 - k % 9))}" for k in range(40)]
+    assert not any(r.removed for r in dedup_lines(spark.createDataFrame(list(enumerate(shared)), "doc_id bigint, text string")).collect())
+    assert rows_of["line-turn-0"] == 0
+    rows_of.clear()
+    filled = [" ".join(w for w in ("uncharacteristic", *(f"word{k}x{i}" for i in range(7))) for _ in range(15)) for k in range(40)]
+    assert not any(r.removed for r in dedup_lines(spark.createDataFrame(list(enumerate(filled)), "doc_id bigint, text string")).collect())
+    assert rows_of["line-turn-0"] > 0 and rows_of["line-near-0"] == 0 and not any(n for name, n in rows_of.items() if name.startswith("line-late"))
+
+
+def test_lines_that_share_no_run_of_three_words_meet(spark):
+    """Of five words an edit in the middle breaks all runs of three; of six, words added or changed leave one."""
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha beta other delta epsilon"), (3, "one two three four five"), (4, "one two three more four five"), (5, "red green blue white black grey"), (6, "red green blue pink black grey")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in out if r.removed} == {2, 4, 6}
+
+
 def test_line_dedup_of_empty_and_huge(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long_line = " ".join(f"word{i}" for i in range(3000))
