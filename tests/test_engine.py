@@ -619,3 +619,15 @@ def test_report_reads_trades_once_and_counts_none(spark, tmp_path):
     want += [("reasons", r.reason, r.n) for r in found["reasons"].collect()]
     assert [x for x in got if "'tickers'" not in x] == sorted(map(str, want)) and sum("'tickers'" in x for x in got) == 30
     assert {(r.item, r.n, r.pct) for r in pricing.report(trades.where("false")).collect()} == {(c, 0, None) for c in ("total", "tried", "priced", "failed")}
+
+
+def test_trade_record_compiles_no_pattern_for_an_id(monkeypatch):
+    """A pattern of each id was compiled for each row; ids are told apart as before."""
+    def compiled(*_):
+        raise AssertionError("a pattern for one id")
+
+    monkeypatch.setattr(pages.re, "finditer", compiled)
+    text = '{"tradeId":55},{"tradeId":05},{"tradeId": -5},{"tradeId":\n5,"size":1}'
+    assert pages.trade_record(text, 5) == ('{"tradeId":\n5,"size":1}', None)
+    assert pages.trade_record(text, 55) == ('{"tradeId":55}', None) and pages.trade_record(text, -5) == ('{"tradeId": -5}', None)
+    assert pages.trade_record(text, 50) == (None, None)
