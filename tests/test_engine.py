@@ -631,3 +631,18 @@ def test_trade_record_compiles_no_pattern_for_an_id(monkeypatch):
     assert pages.trade_record(text, 5) == ('{"tradeId":\n5,"size":1}', None)
     assert pages.trade_record(text, 55) == ('{"tradeId":55}', None) and pages.trade_record(text, -5) == ('{"tradeId": -5}', None)
     assert pages.trade_record(text, 50) == (None, None)
+
+
+def test_composite_reads_the_trades_once(spark):
+    """The joins of trades with orders and parts were run ten times over, and their exchanges filled the disk."""
+    found = catalog.queries()["anomaly_composite"](spark, SMALL)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6
+
+
+def test_composite_knows_everyone_of_any_part(spark):
+    moves = spark.createDataFrame([("P1", 20), ("P3", 5), (None, 5)], "politician_id string, pre_moves bigint")
+    volumes = spark.createDataFrame([("P1", 5.0), ("P2", 2.5)], "politician_id string, ratio double")
+    hhi = spark.createDataFrame([("P4", 0.3)], "politician_id string, hhi double")
+    out = {r.politician_id: r for r in anomaly.composite_scores(moves, volumes, hhi).collect()}
+    assert {k: (r.pre_moves, r.ratio, r.hhi) for k, r in out.items()} == {"P1": (20, 5.0, 0.0), "P2": (0, 2.5, 0.0), "P3": (5, 0.0, 0.0), "P4": (0, 0.0, 0.3), None: (0, 0.0, 0.0)}
+    assert out["P1"].score == pytest.approx(2 / 3) and out["P2"].confidence == pytest.approx(1 / 3) and out[None].score == 0
